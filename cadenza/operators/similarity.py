@@ -233,3 +233,56 @@ def knn_edges(items: DataFrame, *, k: int, id_col: str, vec_col: str,
     return similarity_topk(items, k=k, q_id=id_col, q_vec=vec_col, metric=metric,
                            exclude_self=True, strategy=kw.pop("strategy", "block"),
                            out_names=("src", "dst", "dist", "rank"), **kw)
+
+
+_GSUM_SCHEMA = "qid long, clabel string, dsum double, cnt long"
+
+
+def _group_sum_fn():
+    def fn(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({"qid": pd.Series([], dtype="int64"), "clabel": pd.Series([], dtype="object"),
+                                 "dsum": pd.Series([], dtype="float64"), "cnt": pd.Series([], dtype="int64")})
+        Q = _as_matrix(left["qvec"])
+        C = _as_matrix(right["cvec"])
+        D = _scores(Q, C, "euclidean")
+        qid = left["qid"].to_numpy(np.int64)
+        cid = right["cid"].to_numpy(np.int64)
+        D = np.where(qid[:, None] == cid[None, :], np.nan, D)  # self excluded
+        labels, inv = np.unique(right["clabel"].astype(str).to_numpy(), return_inverse=True)
+        out = []
+        for j, lab in enumerate(labels):
+            cols = inv == j
+            sub = D[:, cols]
+            valid = ~np.isnan(sub)
+            out.append(pd.DataFrame({"qid": qid, "clabel": lab,
+                                     "dsum": np.where(valid, sub, 0.0).sum(axis=1),
+                                     "cnt": valid.sum(axis=1).astype(np.int64)}))
+        return pd.concat(out, ignore_index=True)
+    return fn
+
+
+def distance_sums_by_label(items: DataFrame, *, id_col: str, vec_col: str, label_col: str,
+                           block_rows: int | None = None) -> DataFrame:
+    """Per item and per label: sum and count of Euclidean distances to that label's items.
+
+    Same block layout as ``similarity_topk`` (self excluded by id); each block
+    task emits one row per (item, label) instead of per pair, then a
+    declarative sum merges the blocks.  Output ``(item_id, label, dsum, cnt)``.
+    """
+    q = items.select(F.col(id_col).cast("long").alias("qid"),
+                     F.col(vec_col).cast("array<double>").alias("qvec"))
+    c = items.select(F.col(id_col).cast("long").alias("cid"),
+                     F.col(vec_col).cast("array<double>").alias("cvec"),
+                     F.col(label_col).cast("string").alias("clabel"))
+    spark = items.sparkSession
+    n = c.count()
+    dim_row = c.select(F.size("cvec").alias("d")).first()
+    B = _n_blocks(n, dim_row["d"] if dim_row else 1, spark.sparkContext.defaultParallelism, block_rows)
+    blocks = F.sequence(F.lit(0), F.lit(B - 1))
+    qb = q.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(B))).withColumn("cb", F.explode(blocks))
+    cb = c.withColumn("cb", F.pmod(F.xxhash64("cid"), F.lit(B))).withColumn("qb", F.explode(blocks))
+    part = (qb.groupBy("qb", "cb").cogroup(cb.groupBy("qb", "cb"))
+              .applyInPandas(_group_sum_fn(), _GSUM_SCHEMA))
+    return (part.groupBy("qid", "clabel").agg(F.sum("dsum").alias("dsum"), F.sum("cnt").alias("cnt"))
+                .select(F.col("qid").alias("item_id"), F.col("clabel").alias("label"), "dsum", "cnt"))
