@@ -206,9 +206,9 @@ def similarity_topk(queries: DataFrame, candidates: DataFrame | None = None, *,
     dim = dim_row["d"] if dim_row else 1
     B = _n_blocks(n, dim, spark.sparkContext.defaultParallelism, block_rows)
     blocks = F.sequence(F.lit(0), F.lit(B - 1))
-    qb = (q.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(B)))
+    qb = (q.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(B)).cast("int"))
            .withColumn("cb", F.explode(blocks)))
-    cb = (c.withColumn("cb", F.pmod(F.xxhash64("cid"), F.lit(B)))
+    cb = (c.withColumn("cb", F.pmod(F.xxhash64("cid"), F.lit(B)).cast("int"))
            .withColumn("qb", F.explode(blocks)))
     part = (qb.groupBy("qb", "cb")
               .cogroup(cb.groupBy("qb", "cb"))
@@ -280,8 +280,8 @@ def distance_sums_by_label(items: DataFrame, *, id_col: str, vec_col: str, label
     dim_row = c.select(F.size("cvec").alias("d")).first()
     B = _n_blocks(n, dim_row["d"] if dim_row else 1, spark.sparkContext.defaultParallelism, block_rows)
     blocks = F.sequence(F.lit(0), F.lit(B - 1))
-    qb = q.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(B))).withColumn("cb", F.explode(blocks))
-    cb = c.withColumn("cb", F.pmod(F.xxhash64("cid"), F.lit(B))).withColumn("qb", F.explode(blocks))
+    qb = q.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(B)).cast("int")).withColumn("cb", F.explode(blocks))
+    cb = c.withColumn("cb", F.pmod(F.xxhash64("cid"), F.lit(B)).cast("int")).withColumn("qb", F.explode(blocks))
     part = (qb.groupBy("qb", "cb").cogroup(cb.groupBy("qb", "cb"))
               .applyInPandas(_group_sum_fn(), _GSUM_SCHEMA))
     return (part.groupBy("qid", "clabel").agg(F.sum("dsum").alias("dsum"), F.sum("cnt").alias("cnt"))
