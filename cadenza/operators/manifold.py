@@ -106,8 +106,8 @@ def silhouette(items: DataFrame, id_col="item_id", vec_col="vec", label_col="lab
     sizes = items.groupBy(F.col(label_col).cast("string").alias("own")).agg(F.count(F.lit(1)).alias("own_n"))
     j = sums.join(own, "item_id")
     per = j.groupBy("item_id", "own").agg(
-        F.max(F.when(F.col("label") == F.col("own"), F.col("dsum") / F.col("cnt"))).alias("a"),
-        F.min(F.when(F.col("label") != F.col("own"), F.col("dsum") / F.col("cnt"))).alias("b"))
+        F.max(F.when(F.col("label") == F.col("own"), F.try_divide(F.col("dsum"), F.col("cnt")))).alias("a"),
+        F.min(F.when(F.col("label") != F.col("own"), F.try_divide(F.col("dsum"), F.col("cnt")))).alias("b"))
     per = own.join(per.drop("own"), "item_id", "left").join(sizes, "own")
     a = F.coalesce(F.col("a"), F.lit(0.0))
     sil = F.when((F.col("own_n") <= 1) | F.col("b").isNull(), F.lit(0.0)) \
