@@ -64,3 +64,24 @@ def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
               .select(F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("item_id"))
               .distinct()
               .withColumn("rating", F.lit(1.0)))
+
+
+def library(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored-library input: vectors joined to the catalogue by id.
+
+    song_id, title, artist, genre, popularity, raw scalar features
+    (energy, valence, acousticness), chord_main, audio = dims 1..32 and
+    text = dims 33..64 of the embedding.
+    """
+    e = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    p = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type",
+                                                 "p_retailprice", "p_size")
+    v = F.col("embedding").cast("array<double>")
+    return e.join(p, e.vec_id == p.p_partkey).select(
+        F.col("vec_id").alias("song_id"), F.col("p_name").alias("title"), F.col("p_brand").alias("artist"),
+        F.col("p_type").alias("genre"), F.col("p_retailprice").alias("popularity"),
+        (F.col("p_size") / 50.0).alias("energy"),
+        ((F.col("p_retailprice") - F.floor(F.col("p_retailprice") / 100) * 100) / 100.0).alias("valence"),
+        F.least(F.lit(1.0), F.abs(F.element_at(v, 1)) * 5).alias("acousticness"),
+        F.regexp_replace("p_name", " ", " - ").alias("chord_main"),
+        F.slice(v, 1, 32).alias("audio"), F.slice(v, 33, 32).alias("text"))
