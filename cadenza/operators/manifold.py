@@ -159,3 +159,60 @@ def has_nan_inf(items: DataFrame, vec_col="vec") -> DataFrame:
     v = F.col(vec_col).cast("array<double>")
     return items.agg(F.coalesce(F.bool_or(F.exists(v, lambda x: F.isnan(x))), F.lit(False)).alias("any_nan"),
                      F.coalesce(F.bool_or(F.exists(v, lambda x: F.abs(x) == F.lit(math.inf))), F.lit(False)).alias("any_inf"))
+
+
+def kmeans_labels(items: DataFrame, k: int, vec_col: str = "vec", seed: int = 42, id_col: str = "item_id",
+                  max_iter: int = 20) -> DataFrame:
+    """M7 / Q7: k-means (k-means|| init, fixed seed) cluster of every item."""
+    from pyspark.ml.clustering import KMeans
+    v = items.select(F.col(id_col).alias("item_id"), array_to_vector(F.col(vec_col).cast("array<double>")).alias("features"))
+    model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="features").fit(v)
+    return model.transform(v).select("item_id", F.col("prediction").cast("int").alias("cluster"))
+
+
+def standardise_vectors(items: DataFrame, vec_col: str = "vec", out: str = "z") -> DataFrame:
+    """A4 + V2 on vectors: per-position mean and population std (zero std -> 0)."""
+    e = items.select(F.posexplode(F.col(vec_col).cast("array<double>")).alias("pos", "x"))
+    st = e.groupBy("pos").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s")).orderBy("pos").collect()
+    mean = F.array(*[F.lit(float(r["m"])) for r in st])
+    std = F.array(*[F.lit(float(r["s"]) if r["s"] else 1.0) for r in st])
+    z = F.transform(F.col(vec_col).cast("array<double>"),
+                    lambda x, i: (x - F.element_at(mean, i + 1)) / F.element_at(std, i + 1))
+    return items.withColumn(out, z)
+
+
+def reduce_dims(items: DataFrame, k: int, vec_col: str = "vec", out: str = "coords") -> DataFrame:
+    """Q8: standardised features projected on the top-k principal components (PCA)."""
+    from pyspark.ml.feature import PCA
+    z = standardise_vectors(items, vec_col, "__z").withColumn("__f", array_to_vector("__z"))
+    model = PCA(k=k, inputCol="__f", outputCol="__p").fit(z)
+    return model.transform(z).withColumn(out, vector_to_array("__p")).drop("__z", "__f", "__p")
+
+
+def sweep(items: DataFrame, dims_list, k_list, *, id_col="item_id", vec_col="vec", label_col="label") -> DataFrame:
+    """Q9: one row of quality metrics per (dims, k).
+
+    Per dims: one reduction and one kNN at max(k); every smaller k reuses the
+    same edge table (rank <= k) instead of a new neighbour search.
+    """
+    spark = items.sparkSession
+    rows = []
+    kmax = max(k_list)
+    n_labels = items.select(label_col).distinct().count()
+    for d in dims_list:
+        red = reduce_dims(items, d, vec_col, "coords").select(id_col, label_col, "coords").cache()
+        edges = labelled_edges(red.withColumnRenamed(id_col, "item_id"), k=kmax, id_col="item_id",
+                               vec_col="coords", label_col=label_col).cache()
+        ren = red.withColumnRenamed(id_col, "item_id")
+        sil = silhouette(ren, "item_id", "coords", label_col).first()[0]
+        ch = calinski_harabasz(ren, "coords", label_col).first()[0]
+        db = davies_bouldin(ren, "coords", label_col).first()[0]
+        cl = kmeans_labels(ren, n_labels, "coords").join(ren.select("item_id", label_col), "item_id")
+        ari = adjusted_rand(cl, label_col, "cluster").first()[0]
+        for k in k_list:
+            pur = mean_purity(ren, edges.where(F.col("rank") <= k), k).first()[0]
+            rows.append((int(d), int(k), float(sil), float(ch), float(db), float(pur), float(ari)))
+        edges.unpersist()
+        red.unpersist()
+    return spark.createDataFrame(rows, "dims int, k int, silhouette double, calinski_harabasz double, "
+                                       "davies_bouldin double, purity double, kmeans_ari double")

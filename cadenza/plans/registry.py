@@ -33,5 +33,5 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> dict[str, Query]:
     # importing the plan modules fills the registry
-    from cadenza.plans import catalog, evaluation, features, ideation, io, manifold, similarity, text  # noqa: F401
+    from cadenza.plans import catalog, evaluation, features, ideation, io, manifold, similarity, text, training  # noqa: F401
     return REGISTRY
