@@ -48,8 +48,12 @@ def union_all(*dfs: DataFrame) -> DataFrame:
 
 
 def semi_join(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of ``a`` whose key occurs in ``b`` (duplicates of ``a`` kept)."""
-    return a.join(b.select(*keys), list(keys), "left_semi")
+    """Rows of ``a`` whose key occurs in ``b`` (duplicates of ``a`` kept).
+
+    ``b`` is reduced to its distinct keys first (partial aggregation before the
+    shuffle), so a key repeated in a third of ``b`` is shuffled once per partition.
+    """
+    return a.join(b.select(*keys).distinct(), list(keys), "left_semi")
 
 
 def chord_merge(main: DataFrame, side: DataFrame, *, pair: str = "pair",

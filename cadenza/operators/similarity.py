@@ -201,9 +201,9 @@ def similarity_topk(queries: DataFrame, candidates: DataFrame | None = None, *,
 
     if strategy != "block":
         raise ValueError(f"unknown strategy {strategy!r}")
-    n = max(q.count(), c.count())
-    dim_row = c.select(F.size("cvec").alias("d")).first()
-    dim = dim_row["d"] if dim_row else 1
+    st = c.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("cvec")).alias("d")).first()
+    n = st["n"] if candidates is queries else max(st["n"], q.count())
+    dim = st["d"] or 1
     B = _n_blocks(n, dim, spark.sparkContext.defaultParallelism, block_rows)
     blocks = F.sequence(F.lit(0), F.lit(B - 1))
     qb = (q.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(B)).cast("int"))

@@ -25,8 +25,8 @@ _CHART = ("chart AS (SELECT p.p_brand AS artist, p.p_name AS title, l.l_partkey
           "p.p_type AS genre, l.l_returnflag AS flag FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey)")
 
 
-def _songs(spark, sf):
-    return catalogue(spark, sf)
+def _songs(spark, sf, lyrics=False):
+    return catalogue(spark, sf, lyrics=lyrics)
 
 
 def _chart_rows(spark, sf):
@@ -123,7 +123,7 @@ FROM songs s
 """)
 def agg_run_counts(spark, sf):
     """A10: totals, unique totals, matched and found in one aggregation."""
-    songs = _songs(spark, sf)
+    songs = _songs(spark, sf, lyrics=True)
     hits = (_chart_rows(spark, sf).where(F.col("flag") == "R")
             .select("artist", "title").distinct().withColumn("__m", F.lit(True)))
     s = songs.join(hits, ["artist", "title"], "left")

@@ -20,12 +20,19 @@ def song_items(spark, sf):
     pop = V.minmax_expr("popularity", *stats["popularity"])
     vec = V.assemble(F.array(V.minmax_expr("size", *stats["size"]), pop), F.col("hv"), V.zeros(V.MFCC_DIM))
     return s.select(F.col("song_id").alias("item_id"), "genre", "title", "artist", "popularity",
-                    pop.alias("popularity_score"), "lyrics", "chord_progression", vec.alias("vec"))
+                    pop.alias("popularity_score"), "chord_progression", vec.alias("vec"))
 
 
-def sampled_likes(spark, sf, per_user=40):
+def popularity_scores(spark, sf):
+    """(item_id, popularity_score): min-max scaled popularity of the catalogue."""
+    songs = catalogue(spark, sf).select("song_id", "popularity")
+    lo, hi = V.fit_minmax(songs, ["popularity"])["popularity"]
+    return songs.select(F.col("song_id").alias("item_id"), V.minmax_expr("popularity", lo, hi).alias("popularity_score"))
+
+
+def sampled_likes(spark, sf, per_user=40, items=None):
     """R7 on real purchases: per customer, 40 bought parts drawn with weight popularity_score + 0.01."""
-    items = song_items(spark, sf).select("item_id", "popularity_score")
+    items = (items if items is not None else popularity_scores(spark, sf)).select("item_id", "popularity_score")
     likes = interactions(spark, sf).join(items, "item_id")
     return weighted_sample(likes, "user_id", "item_id", F.col("popularity_score") + F.lit(0.01), per_user, SALT)
 

@@ -197,7 +197,7 @@ LEFT JOIN supplier s ON s.s_suppkey = p.p_partkey
 """)
 def prj_fill_defaults(spark, sf):
     """Null lyrics -> '', missing scalar -> 0.5, non-dict progression -> {}, popularity -> 0."""
-    songs = catalogue(spark, sf)
+    songs = catalogue(spark, sf, lyrics=True)
     lab = read_table(spark, sf, "labels").select(F.col("doc_id").alias("song_id"), F.col("quality").cast("double").alias("energy"))
     sup = read_table(spark, sf, "supplier").select(F.col("s_suppkey").alias("song_id"), F.col("s_acctbal").alias("pop2"))
     s = (songs.join(lab, "song_id", "left").join(sup, "song_id", "left")

@@ -14,7 +14,7 @@ from cadenza.operators import features as V
 from cadenza.operators.reconcile import enrich_lyrics
 from cadenza.plans.catalog import _lyrics_by_pair, join_chord_merge, s_strip
 from cadenza.plans.common import song_items
-from cadenza.plans.registry import query
+from cadenza.plans.registry import REGISTRY, query
 from cadenza.session import shared_path
 from cadenza.sources import files as S
 from cadenza.sources import sinks as K
@@ -26,7 +26,7 @@ _SONGS_SQL = ("SELECT p.p_name AS title, p.p_brand AS artist, p.p_type AS main_g
 
 
 def _write_song_json(spark, sf):
-    s = catalogue(spark, sf)
+    s = catalogue(spark, sf, lyrics=True)
     out = s.select("title", "artist", "genre", "popularity", (F.col("size") / 50.0).alias("energy"),
                    "chord_progression", "lyrics")
     path = shared_path(spark, "songs-json")
@@ -358,7 +358,7 @@ def sink_lyrics(spark, sf):
     return spark.read.schema("artist string, title string, lyrics string").json(path)
 
 
-@query("sink_update_in_place", sql=None)
+@query("sink_update_in_place", sql=REGISTRY["join_chord_merge"].sql)
 def sink_update_in_place(spark, sf):
     """K4: the merged catalogue goes to a new versioned path; the inputs stay untouched."""
     base = shared_path(spark, "catalogue")

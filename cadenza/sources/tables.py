@@ -32,11 +32,13 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.concat(F.lit("g"), F.col("label").cast("string")).alias("genre"))
 
 
-def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+def catalogue(spark: SparkSession, sf_dir: str, lyrics: bool = False) -> DataFrame:
     """Song-shaped view of ``part``.
 
     song_id, title, artist, genre, popularity, size, chord_progression
-    (map section -> chords joined by ' - '), lyrics (nullable).
+    (map section -> chords joined by ' - '); with ``lyrics=True`` also the
+    lyrics (nullable) from ``documents`` - a left join Catalyst cannot drop,
+    so it is only added when asked for.
     """
     p = read_table(spark, sf_dir, "part")
     d = read_table(spark, sf_dir, "documents").select(
@@ -53,7 +55,7 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit("outro"), F.concat_ws(" - ", F.lower("p_type"), F.col("p_brand")),
         ).alias("chord_progression"),
     )
-    return songs.join(d, "song_id", "left")
+    return songs.join(d, "song_id", "left") if lyrics else songs
 
 
 def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
