@@ -183,3 +183,73 @@ def test_excerpt_short_and_long(spark):
     r = df.select(V.excerpt("a", 2).alias("e")).collect()
     assert r[0]["e"] == [0, 1, 2, 3, 4]
     assert r[1]["e"] == [0, 1, 9, 10, 18, 19]
+
+
+def test_training_gradients_match_finite_differences():
+    from cadenza.operators.model import GatedModel
+    from cadenza.operators.training import triplet_loss_and_grads
+    rng = np.random.default_rng(3)
+    m = GatedModel.from_formula(5, 4, 6, 3)
+    A = [rng.normal(size=(7, 5)) for _ in range(3)]
+    T = [rng.normal(size=(7, 4)) for _ in range(3)]
+    args = (A[0], T[0], A[1], T[1], A[2], T[2])
+    margin = 1.5  # keep most triplets active
+    _, grads, _, _ = triplet_loss_and_grads(m, *args, margin)
+    for layer in ("audio", "text", "gate1", "gate2"):
+        for j in (0, 1):
+            w = m.params[layer][j]
+            idx = tuple(rng.integers(0, s) for s in w.shape)
+            h = 1e-6
+            plus, minus = [list(m.params[layer]) for _ in range(2)]
+            wp, wm = w.copy(), w.copy()
+            wp[idx] += h
+            wm[idx] -= h
+            m.params[layer] = (wp, m.params[layer][1]) if j == 0 else (m.params[layer][0], wp)
+            lp = triplet_loss_and_grads(m, *args, margin)[0]
+            m.params[layer] = (wm, m.params[layer][1]) if j == 0 else (m.params[layer][0], wm)
+            lm = triplet_loss_and_grads(m, *args, margin)[0]
+            m.params[layer] = (w, m.params[layer][1]) if j == 0 else (m.params[layer][0], w)
+            assert grads[layer][j][idx] == pytest.approx((lp - lm) / (2 * h), rel=1e-4, abs=1e-6)
+
+
+def test_model_properties():
+    from cadenza.operators.model import GatedModel
+    rng = np.random.default_rng(4)
+    m = GatedModel.from_formula(174, 387, 128, 64)  # the dimensions of the original self-test
+    pa, pt, alpha, fe = m.forward(rng.normal(size=(4, 174)), rng.normal(size=(4, 387)))
+    assert fe.shape == (4, 128) and alpha.shape == (4,)
+    assert np.allclose(np.linalg.norm(fe, axis=1), 1.0)
+    assert np.all((alpha >= 0) & (alpha <= 1))
+
+
+def test_triplet_properties(spark):
+    from cadenza.operators.training import dense_positions, triplets
+    rows = [(i, "g%d" % (i % 3)) for i in range(30)] + [(100, "solo")]
+    df = spark.createDataFrame(rows, "song_id long, genre string")
+    pos = {r["song_id"]: r["pos"] for r in dense_positions(df, "genre", "song_id").collect()}
+    for g in ("g0", "g1", "g2"):
+        assert sorted(pos[i] for i, gg in rows if gg == g) == list(range(10))
+    genre = dict(rows)
+    t = triplets(df, [0, 1]).collect()
+    assert len(t) == 2 * len(rows)
+    for r in t:
+        assert genre[r["positive"]] == genre[r["anchor"]]
+        assert genre[r["negative"]] != genre[r["anchor"]]
+        assert r["positive"] != r["anchor"] or r["anchor"] == 100  # alone -> itself
+    with pytest.raises(ValueError):
+        triplets(df.where("genre = 'g0'"), [0])
+
+
+def test_training_loss_falls_on_fixed_triplets(spark):
+    from cadenza.operators.model import GatedModel
+    from cadenza.operators.training import train
+    rng = np.random.default_rng(5)
+    rows = []
+    for ep in range(8):
+        r2 = np.random.default_rng(6)  # the same triplets every epoch
+        for _ in range(64):
+            rows.append((ep, *[r2.normal(size=6).tolist() for _ in range(6)]))
+    df = spark.createDataFrame(rows, "epoch int, a_audio array<double>, a_text array<double>, p_audio array<double>, "
+                                     "p_text array<double>, n_audio array<double>, n_text array<double>")
+    _, hist = train(df, GatedModel.from_formula(6, 6, 8, 4), epochs=8, lr=0.05, margin=0.5)
+    assert hist[-1]["loss"] < hist[0]["loss"]
