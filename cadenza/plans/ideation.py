@@ -414,3 +414,34 @@ def idea_keyword_search(spark, sf, prompt=_KW):
     res = keyword_search(s, prompt, title="title", order="song_id").withColumn("q", F.lit("q")) \
         .withColumn("rk", F.col("song_id"))
     return I.sonality(res, "q").join(I.popular_titles(res, "q"), "q").select("sonality", "popular")
+
+
+@query("topk_similar", sql=f"""
+WITH {LIB_SQL},
+p AS (SELECT s.song_id AS seed_id, c.song_id AS rec_id, {cos_sql('s.t', 'c.t')} AS sc FROM lib s JOIN lib c ON s.song_id <> c.song_id)
+SELECT seed_id, rec_id, round(sc, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY seed_id ORDER BY round(sc, 9) DESC, rec_id) AS rank FROM p) WHERE rank <= 15
+""")
+def topk_similar(spark, sf, k=15):
+    """Best k by text-vector similarity per seed (row_number <= k, ties by id)."""
+    lib = library(spark, sf)
+    r = similarity_topk(lib, k=k, q_id="song_id", q_vec="text", exclude_self=True, strategy="block")
+    return r.select("seed_id", "rec_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("prj_explain", sql=f"""
+WITH {LIB_SQL}, r AS ({_rec_sql('balanced', 5)}),
+x AS (SELECT r.*, {cos_sql('s.a', 'c.a')} AS asim, {cos_sql('s.t', 'c.t')} AS tsim, s.alpha AS s_alpha
+      FROM r JOIN lib s ON s.song_id = r.seed_id JOIN lib c ON c.song_id = r.rec_id)
+SELECT seed_id, rec_id, {_explain_sql('balanced')} AS explanation FROM x
+""")
+def prj_explain(spark, sf, mode="balanced"):
+    """Explanation text for every seed's top-5 from overall, raw audio and raw text cosine and alpha."""
+    from cadenza.functions.vectors import cosine
+    s = scored(spark, sf).cache()
+    r = similar(s, mode, 5)
+    sv = s.select(F.col("song_id").alias("seed_id"), F.col("audio").alias("sa"), F.col("text").alias("st"),
+                  F.col("alpha").alias("s_alpha"))
+    cv = s.select(F.col("song_id").alias("rec_id"), F.col("audio").alias("ca"), F.col("text").alias("ct"))
+    j = r.join(sv, "seed_id").join(cv, "rec_id")
+    return j.select("seed_id", "rec_id", explanation(mode, F.col("score"), cosine(F.col("sa"), F.col("ca")),
+                                                     cosine(F.col("st"), F.col("ct")), F.col("s_alpha")).alias("explanation"))
