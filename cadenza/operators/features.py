@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from cadenza.operators.aggregates import nan_to_null
 
-# Vocabularies larger than this are applied by join instead of a literal array.
-MAX_LITERAL_VOCAB = 100_000
+# Vocabularies larger than this are applied by a join instead of a literal array.
+MAX_LITERAL_VOCAB = 2_000
 MFCC_DIM = 13
 
 
@@ -56,7 +56,7 @@ def fit_vocab(df: DataFrame, prog: str, sections: Sequence[str] | None = None) -
 
 
 def multihot(df: DataFrame, prog: str, vocab: DataFrame, out: str = "harmonic_vector",
-             sections: Sequence[str] | None = None) -> DataFrame:
+             sections: Sequence[str] | None = None, key: str | None = None) -> DataFrame:
     """V3/V4: 0/1 vector over the vocabulary; chords outside it are ignored.
 
     ``sections=None`` uses every section (batch build); ``['main']`` the new-song rule.
@@ -67,14 +67,16 @@ def multihot(df: DataFrame, prog: str, vocab: DataFrame, out: str = "harmonic_ve
         words = [r["chord"] for r in vocab.orderBy("idx").collect()]  # bounded artifact
         lit = F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>")
         return df.withColumn(out, F.transform(lit, lambda w: F.array_contains(toks, w).cast("int")))
-    # very large vocabulary: sparse indices through a join, then densify
-    key = "__row"
-    d = df.withColumn(key, F.monotonically_increasing_id())
+    # large vocabulary: sparse indices through a (broadcastable) vocabulary join, then densify;
+    # rows are matched back by ``key`` (a unique id column) or a generated row id
+    d = df if key else df.withColumn("__row", F.monotonically_increasing_id())
+    key = key or "__row"
     idx = (d.select(key, F.explode(F.array_distinct(toks)).alias("chord"))
              .join(vocab, "chord").groupBy(key).agg(F.collect_set("idx").alias("__i")))
     dense = F.transform(F.sequence(F.lit(0), F.lit(n - 1)),
                         lambda i: F.array_contains(F.coalesce("__i", F.array().cast("array<long>")), i).cast("int"))
-    return d.join(idx, key, "left").withColumn(out, dense).drop(key, "__i")
+    res = d.join(idx, key, "left").withColumn(out, dense).drop("__i")
+    return res.drop("__row") if key == "__row" else res
 
 
 # ---------------------------------------------------------------- scaling

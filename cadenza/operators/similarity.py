@@ -188,7 +188,12 @@ def similarity_topk(queries: DataFrame, candidates: DataFrame | None = None, *,
                 strategy = "seeds"
 
     if strategy == "seeds":
-        rows = q.collect()  # bounded by the check above / the caller's choice
+        n_q = q.limit(SEED_BROADCAST_BYTES // 8 + 1).count()
+        dim_row = q.select(F.size("qvec").alias("d")).first()
+        if n_q * max(dim_row["d"] if dim_row else 1, 1) * 8 > SEED_BROADCAST_BYTES:
+            strategy = "block"  # the seed matrix is too large to broadcast
+    if strategy == "seeds":
+        rows = q.collect()  # bounded: at most SEED_BROADCAST_BYTES of vectors
         if not rows:
             return _finish(spark.createDataFrame([], _OUT_SCHEMA), k, metric, out_names)
         seed_ids = np.array([r["qid"] for r in rows], dtype=np.int64)

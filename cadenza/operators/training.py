@@ -30,9 +30,19 @@ from cadenza.operators.sampling import hash32
 SALT_BUCKETS = 16
 
 
-def dense_positions(df: DataFrame, group: str, order: str, out: str = "pos", salt_buckets: int = SALT_BUCKETS) -> DataFrame:
-    """Dense 0-based position of each row inside its group (skew-safe)."""
-    d = df.withColumn("__s", F.pmod(hash32("pos", F.col(order)), F.lit(salt_buckets)))
+def dense_positions(df: DataFrame, group: str, order: str, out: str = "pos",
+                    salt_buckets: int = SALT_BUCKETS, target_rows: int = 2_000_000) -> DataFrame:
+    """Dense 0-based position of each row inside its group (skew-safe).
+
+    A group is split into ``max(salt_buckets, ceil(n_g / target_rows))``
+    hashed sub-buckets (sizes from one small aggregate), each ranked
+    separately and offset by the sizes of the sub-buckets before it, so no
+    task sorts more than about ``target_rows`` rows of one group.
+    """
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
+    n_salt = F.greatest(F.lit(salt_buckets), F.ceil(F.col("__n") / F.lit(target_rows))).cast("long")
+    d = df.join(sizes.select(group, n_salt.alias("__ns")), group)
+    d = d.withColumn("__s", F.pmod(hash32("pos", F.col(order)), F.col("__ns"))).drop("__ns")
     d = d.withColumn("__r", F.row_number().over(Window.partitionBy(group, "__s").orderBy(order)) - 1)
     cnt = d.groupBy(group, "__s").agg(F.count(F.lit(1)).alias("__c"))
     w = Window.partitionBy(group).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
