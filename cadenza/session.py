@@ -33,6 +33,7 @@ def get_spark(master: str = "local[8]", app: str = "cadenza", **conf: str) -> Sp
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -67,3 +68,28 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``cadenza`` importable by the Python workers (once per SparkContext).
+
+    Arrow UDF closures refer to functions of this package by module name, so
+    executors need the package: it is zipped once and added with
+    ``addPyFile`` (Spark distributes it to every executor).
+    """
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_cadenza_shipped", False):
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    fd, zpath = tempfile.mkstemp(prefix="cadenza-", suffix=".zip")
+    os.close(fd)
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(zpath)
+    sc._cadenza_shipped = True

@@ -37,7 +37,9 @@ def read_song_json(spark: SparkSession, path: str, multiline: bool = True) -> Da
            .option("pathGlobFilter", "*.json").json(path))
     df = (raw.withColumn("source_file", F.col("_metadata.file_name"))
              .withColumn("seq", F.monotonically_increasing_id())
-             .where(F.col("_corrupt_record").isNull()).drop("_corrupt_record"))
+             # corrupt rows have no fields; naming a data column as well keeps the filter
+             # valid when a query prunes everything else (e.g. a bare count)
+             .where(F.col("_corrupt_record").isNull() | F.col("title").isNotNull()).drop("_corrupt_record"))
     prog = F.from_json(F.col("chord_progression"), "map<string,string>")
     return df.select(
         "title", "artist",
