@@ -40,65 +40,69 @@ def _as_matrix(col: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in col.values])
 
 
+def _unit_rows(X: np.ndarray) -> np.ndarray:
+    n = np.sqrt((X * X).sum(axis=1, keepdims=True))
+    return X / np.where(n > 0, n, 1.0)  # a zero vector stays zero -> similarity 0
+
+
 def _scores(Q: np.ndarray, C: np.ndarray, metric: str) -> np.ndarray:
-    dots = Q @ C.T
     if metric == "cosine":
-        qn = np.sqrt((Q * Q).sum(axis=1))
-        cn = np.sqrt((C * C).sum(axis=1))
-        den = np.outer(qn, cn)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            s = np.where(den > 0, dots / np.where(den > 0, den, 1.0), 0.0)
-        return s
+        return _unit_rows(Q) @ _unit_rows(C).T
     if metric == "dot":
-        return dots
+        return Q @ C.T
     if metric == "euclidean":
-        d2 = (Q * Q).sum(axis=1)[:, None] + (C * C).sum(axis=1)[None, :] - 2.0 * dots
+        d2 = (Q * Q).sum(axis=1)[:, None] + (C * C).sum(axis=1)[None, :] - 2.0 * (Q @ C.T)
         return np.sqrt(np.clip(d2, 0.0, None))
     raise ValueError(f"unknown metric {metric!r}")
 
 
 def _local_topk(qid, cid, S, k, metric, exclude_self, qgrp=None, cgrp=None):
-    """Top-k per query row of one score block, exact tie rule (key, cid)."""
+    """Top-k per query row of one score block, exact tie rule (round(score, 9), cid).
+
+    Vectorised: argpartition picks k candidates per row on the raw values and
+    one lexsort orders all rows at once; a row whose k-th value has another
+    value within rounding distance outside the pick is resolved exactly.
+    """
     if S.size == 0:
         return None
-    key = np.round(S, 9)
-    if metric in ("cosine", "dot"):
-        key = -key
-    mask = np.zeros(S.shape, dtype=bool)
-    if exclude_self:
-        mask |= qid[:, None] == cid[None, :]
-    if qgrp is not None:
-        mask |= qgrp[:, None] != cgrp[None, :]
-    key = np.where(mask, np.inf, key)
-    n_c = S.shape[1]
+    m, n_c = S.shape
+    val = S if metric in ("cosine", "dot") else -S  # larger is better
+    if exclude_self or qgrp is not None:
+        if val is S:
+            val = S.copy()
+        if exclude_self:
+            _, qi, ci = np.intersect1d(qid, cid, return_indices=True)
+            val[qi, ci] = -np.inf
+        if qgrp is not None:
+            val[qgrp[:, None] != cgrp[None, :]] = -np.inf
     kk = min(k, n_c)
     if kk < n_c:
-        part = np.argpartition(key, kk - 1, axis=1)[:, :kk]
+        part = np.argpartition(val, n_c - kk, axis=1)[:, n_c - kk:]
     else:
-        part = np.tile(np.arange(n_c), (S.shape[0], 1))
-    rows = np.arange(S.shape[0])[:, None]
-    thresh = key[rows, part].max(axis=1)
-    out_q, out_c, out_s = [], [], []
-    n_le = (key <= thresh[:, None]).sum(axis=1)
-    for i in range(S.shape[0]):
-        if n_le[i] > kk:  # ties across the boundary: resolve by id
-            cand = np.nonzero(key[i] <= thresh[i])[0]
-        else:
-            cand = part[i]
-        order = np.lexsort((cid[cand], key[i, cand]))[:kk]
-        sel = cand[order]
-        sel = sel[np.isfinite(key[i, sel])]
-        if sel.size:
-            out_q.append(np.full(sel.size, qid[i]))
-            out_c.append(cid[sel])
-            out_s.append(S[i, sel])
-    if not out_q:
+        part = np.broadcast_to(np.arange(n_c), (m, n_c))
+    rows = np.arange(m)[:, None]
+    pval = val[rows, part]
+    kth = pval.min(axis=1)
+    tied = (val >= (kth - 2e-9)[:, None]).sum(axis=1) > kk
+    rr = np.repeat(np.arange(m), kk)
+    pc = part.ravel()
+    pv = pval.ravel()
+    order = np.lexsort((cid[pc], -np.round(pv, 9), rr))
+    sel_r, sel_c, sel_v = rr[order], pc[order], pv[order]
+    keep = ~tied[sel_r] & np.isfinite(sel_v)
+    out_q, out_c, out_s = [qid[sel_r[keep]]], [cid[sel_c[keep]]], [S[sel_r[keep], sel_c[keep]]]
+    for i in np.flatnonzero(tied):  # near-ties across the boundary: exact rule on the whole row
+        key = -np.round(val[i], 9)
+        fin = np.flatnonzero(np.isfinite(key))
+        o = fin[np.lexsort((cid[fin], key[fin]))[:kk]]
+        out_q.append(np.full(o.size, qid[i]))
+        out_c.append(cid[o])
+        out_s.append(S[i, o])
+    q = np.concatenate(out_q)
+    if q.size == 0:
         return None
-    return pd.DataFrame({
-        "qid": np.concatenate(out_q).astype(np.int64),
-        "cid": np.concatenate(out_c).astype(np.int64),
-        "score": np.concatenate(out_s).astype(np.float64),
-    })
+    return pd.DataFrame({"qid": q.astype(np.int64), "cid": np.concatenate(out_c).astype(np.int64),
+                         "score": np.concatenate(out_s).astype(np.float64)})
 
 
 def _empty():
@@ -138,6 +142,17 @@ def _seeds_fn(bc, grouped, k, metric, exclude_self):
     return fn
 
 
+def block_partitions(left: DataFrame, right: DataFrame, n_pairs: int):
+    """Spread the (qb, cb) block pairs over their own partitions.
+
+    Block tasks are CPU-heavy but small in bytes, so without an explicit
+    partition count adaptive execution would coalesce them into a few tasks.
+    Both sides get the same hash partitioning, so the cogroup adds no shuffle.
+    """
+    n = max(n_pairs, left.sparkSession.sparkContext.defaultParallelism)
+    return left.repartition(n, "qb", "cb"), right.repartition(n, "qb", "cb")
+
+
 def _n_blocks(n: int, dim: int, parallelism: int, block_rows: int | None) -> int:
     if block_rows:
         return max(1, math.ceil(n / block_rows))
@@ -215,6 +230,7 @@ def similarity_topk(queries: DataFrame, candidates: DataFrame | None = None, *,
            .withColumn("cb", F.explode(blocks)))
     cb = (c.withColumn("cb", F.pmod(F.xxhash64("cid"), F.lit(B)).cast("int"))
            .withColumn("qb", F.explode(blocks)))
+    qb, cb = block_partitions(qb, cb, B * B)
     part = (qb.groupBy("qb", "cb")
               .cogroup(cb.groupBy("qb", "cb"))
               .applyInPandas(_block_fn(k, metric, exclude_self, grouped), _OUT_SCHEMA))
@@ -287,6 +303,7 @@ def distance_sums_by_label(items: DataFrame, *, id_col: str, vec_col: str, label
     blocks = F.sequence(F.lit(0), F.lit(B - 1))
     qb = q.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(B)).cast("int")).withColumn("cb", F.explode(blocks))
     cb = c.withColumn("cb", F.pmod(F.xxhash64("cid"), F.lit(B)).cast("int")).withColumn("qb", F.explode(blocks))
+    qb, cb = block_partitions(qb, cb, B * B)
     part = (qb.groupBy("qb", "cb").cogroup(cb.groupBy("qb", "cb"))
               .applyInPandas(_group_sum_fn(), _GSUM_SCHEMA))
     return (part.groupBy("qid", "clabel").agg(F.sum("dsum").alias("dsum"), F.sum("cnt").alias("cnt"))
