@@ -61,12 +61,13 @@ def multihot(df: DataFrame, prog: str, vocab: DataFrame, out: str = "harmonic_ve
 
     ``sections=None`` uses every section (batch build); ``['main']`` the new-song rule.
     """
-    n = vocab.count()
     toks = chord_tokens(prog, sections)
-    if n <= MAX_LITERAL_VOCAB:
-        words = [r["chord"] for r in vocab.orderBy("idx").collect()]  # bounded artifact
+    head = vocab.orderBy("idx").limit(MAX_LITERAL_VOCAB + 1).collect()  # bounded by the limit
+    if len(head) <= MAX_LITERAL_VOCAB:
+        words = [r["chord"] for r in head]
         lit = F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>")
         return df.withColumn(out, F.transform(lit, lambda w: F.array_contains(toks, w).cast("int")))
+    n = vocab.count()
     # large vocabulary: sparse indices through a (broadcastable) vocabulary join, then densify;
     # rows are matched back by ``key`` (a unique id column) or a generated row id
     d = df if key else df.withColumn("__row", F.monotonically_increasing_id())
