@@ -117,8 +117,8 @@ def join_semi_hits(spark, sf):
 WITH {_SONGS}, {_CHART}
 SELECT count(*) AS n_total,
        count(DISTINCT (title, artist)) AS n_unique,
-       count_if(EXISTS (SELECT 1 FROM chart c WHERE c.flag = 'R' AND c.artist = s.artist AND c.title = s.title)) AS n_matched,
-       count_if(EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = s.song_id)) AS n_found
+       CAST(count_if(EXISTS (SELECT 1 FROM chart c WHERE c.flag = 'R' AND c.artist = s.artist AND c.title = s.title)) AS BIGINT) AS n_matched,
+       CAST(count_if(EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = s.song_id)) AS BIGINT) AS n_found
 FROM songs s
 """)
 def agg_run_counts(spark, sf):
@@ -388,8 +388,8 @@ def prj_safe_filename(spark, sf):
 @query("flt_required", sql=f"""
 WITH s AS (SELECT coalesce({s_strip("text")}, '') AS title,
   coalesce({s_strip("CASE WHEN n_chars < 200 THEN ' ' ELSE source END")}, '') AS artist FROM documents)
-SELECT count(*) AS n_total, count_if(length(title) > 0 AND length(artist) > 0) AS n_kept,
-       count_if(NOT (length(title) > 0 AND length(artist) > 0)) AS n_skipped FROM s
+SELECT count(*) AS n_total, CAST(count_if(length(title) > 0 AND length(artist) > 0) AS BIGINT) AS n_kept,
+       CAST(count_if(NOT (length(title) > 0 AND length(artist) > 0)) AS BIGINT) AS n_skipped FROM s
 """)
 def flt_required(spark, sf):
     """P20: rows with empty title or artist are skipped and counted."""

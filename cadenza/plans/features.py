@@ -191,7 +191,7 @@ def vec_l2_normalise(spark, sf):
 
 @query("prj_fill_defaults", sql="""
 SELECT p.p_partkey AS song_id, coalesce(d.text, '') AS lyrics, coalesce(l.quality::DOUBLE, 0.5) AS energy,
-       CASE WHEN p.p_size > 40 THEN 0 ELSE 2 END AS n_sections, coalesce(s.s_acctbal, 0.0) AS popularity
+       CAST(CASE WHEN p.p_size > 40 THEN 0 ELSE 2 END AS BIGINT) AS n_sections, coalesce(s.s_acctbal, 0.0) AS popularity
 FROM part p LEFT JOIN documents d ON d.doc_id = p.p_partkey LEFT JOIN labels l ON l.doc_id = p.p_partkey
 LEFT JOIN supplier s ON s.s_suppkey = p.p_partkey
 """)

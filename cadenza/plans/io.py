@@ -307,7 +307,7 @@ def src_stored_track_table(spark, sf):
     return S.columns_by_header(_track_table(spark, sf), _HEADERS)
 
 
-@query("sink_track_rows", sql="SELECT count_if(l_linestatus = 'O') AS n_parse_errors FROM lineitem")
+@query("sink_track_rows", sql="SELECT CAST(count_if(l_linestatus = 'O') AS BIGINT) AS n_parse_errors FROM lineitem")
 def sink_track_rows(spark, sf):
     """K6: track rows written as JSON; rows with parse problems counted."""
     rows = S.columns_by_header(_track_table(spark, sf), _HEADERS)

@@ -22,7 +22,7 @@ def _pos_sql(base):
         "tr AS (SELECT *, row_number() OVER (PARTITION BY genre, sb ORDER BY song_id) - 1 AS r FROM tsb), "
         "tc AS (SELECT genre, sb, count(*) AS c FROM tsb GROUP BY genre, sb), "
         "tof AS (SELECT genre, sb, coalesce(sum(c) OVER (PARTITION BY genre ORDER BY sb ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM tc), "
-        "tpos AS (SELECT tr.song_id, tr.genre, tof.o + tr.r AS pos FROM tr JOIN tof ON tof.genre = tr.genre AND tof.sb = tr.sb)"
+        "tpos AS (SELECT tr.song_id, tr.genre, CAST(tof.o + tr.r AS BIGINT) AS pos FROM tr JOIN tof ON tof.genre = tr.genre AND tof.sb = tr.sb)"
     )
 
 
@@ -148,7 +148,7 @@ def src_prepped(spark, sf):
     path = shared_path(spark, "prepped-songs")
     song_items(spark, sf).write.parquet(path)
     r = S.read_prepped(spark, path)
-    return r.select("item_id", "genre", F.size("vec").alias("dim"))
+    return r.select("item_id", "genre", F.size("vec").cast("long").alias("dim"))
 
 
 @query("src_artifacts")
