@@ -379,3 +379,39 @@ def sink_embedding(spark, sf):
     K.write_embedding(e, "xy", 3, path)
     r = spark.read.option("header", True).schema("UMAP_1 double, UMAP_2 double, UMAP_3 double, label_id int, label string").csv(path)
     return r.select(*[F.round(f"UMAP_{i}", 6).alias(f"UMAP_{i}") for i in (1, 2, 3)], "label_id", "label")
+
+
+_ORDER_HEADERS = ["#", " Track ", "Artist", "Energy%", "Key", "Popularity", "Release Date", "Key"]
+
+
+def _order_table(spark, sf):
+    o = read_table(spark, sf, "orders")
+    cells = F.array(F.col("o_orderkey").cast("string"), F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")),
+                    F.concat(F.lit(" Customer "), F.col("o_custkey").cast("string")), F.col("o_orderstatus"),
+                    F.col("o_orderpriority"), F.col("o_totalprice").cast("string"),
+                    F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("K"))
+    cells = F.when(F.col("o_orderstatus") == "P", F.slice(cells, 1, 4)).otherwise(cells)
+    return o.select("o_orderkey", cells.alias("cells"))
+
+
+def _order_sql():
+    # cleaned headers: rank, track, artist, energy, key, popularity, release_date, key (the last 'key' wins)
+    cols = {"track": 2, "artist": 3, "energy": 4, "popularity": 6, "release_date": 7, "key": 8}
+    cells = ("[CAST(o_orderkey AS VARCHAR), 'Order ' || o_orderkey, ' Customer ' || o_custkey, o_orderstatus, "
+             "o_orderpriority, CAST(o_totalprice AS VARCHAR), strftime(o_orderdate, '%Y-%m-%d'), 'K']")
+    sel, errs = [], []
+    for name in S.TRACK_TABLE_COLUMNS:
+        if name in cols:
+            i = cols[name]
+            sel.append(f"CASE WHEN len(c) < {i} THEN 'Missing Column' ELSE {s_strip(f'c[{i}]')} END AS {name}")
+            errs.append(f"len(c) < {i}")
+        else:
+            sel.append(f"CAST(NULL AS VARCHAR) AS {name}")
+    return (f"WITH t AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN ({cells})[1:4] ELSE {cells} END AS c FROM orders) "
+            f"SELECT o_orderkey, {', '.join(sel)}, CASE WHEN {' OR '.join(errs)} THEN true END AS parse_errors FROM t")
+
+
+@query("prj_columns_by_header", sql=_order_sql())
+def prj_columns_by_header(spark, sf):
+    """Wanted columns located by cleaned header text; short rows marked 'Missing Column'."""
+    return S.columns_by_header(_order_table(spark, sf), _ORDER_HEADERS)
