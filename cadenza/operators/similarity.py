@@ -159,7 +159,8 @@ def _n_blocks(n: int, dim: int, parallelism: int, block_rows: int | None) -> int
     # 8*m*m (scores) + 16*m*d (two blocks of vectors) <= budget
     m_max = int((-16 * dim + math.sqrt((16 * dim) ** 2 + 32 * TASK_BUDGET_BYTES)) / 16)
     by_mem = math.ceil(n / max(m_max, 1))
-    by_par = min(math.ceil(math.sqrt(max(parallelism, 1))), math.ceil(n / MIN_BLOCK_ROWS))
+    # about two block-pair tasks per core, but never blocks smaller than MIN_BLOCK_ROWS
+    by_par = min(math.ceil(math.sqrt(2 * max(parallelism, 1))), math.ceil(n / MIN_BLOCK_ROWS))
     return max(1, by_mem, by_par)
 
 

@@ -9,7 +9,7 @@ from cadenza.operators.model import GatedModel, score
 from cadenza.plans.common import h_sql, song_items
 from cadenza.plans.ideation import EMB, HID, IN, LIB_SQL, cos_sql
 from cadenza.plans.registry import query
-from cadenza.session import shared_path
+from cadenza.session import cut_lineage, shared_path
 from cadenza.sources import files as S
 from cadenza.sources.tables import library, vectors
 
@@ -102,9 +102,10 @@ def trip_vectors(spark, sf, epochs):
 @query("mod_train")
 def mod_train(spark, sf, epochs=3, lr=0.01):
     """M6: data-parallel triplet training; one row of monitors per epoch (loss should fall)."""
-    tv = trip_vectors(spark, sf, list(range(epochs))).cache()
+    # iterative: every epoch re-reads the triplet vectors, so they are written once to the
+    # shared checkpoint folder (reliable checkpoint; survives executor loss without recompute)
+    tv = cut_lineage(trip_vectors(spark, sf, list(range(epochs))))
     _, hist = TR.train(tv, GatedModel.from_formula(IN, IN, EMB, HID), epochs=epochs, lr=lr)
-    tv.unpersist()
     return spark.createDataFrame([(int(h["epoch"]), float(h["loss"]), float(h["pos_sim"]), float(h["neg_sim"]),
                                    float(h["lr"])) for h in hist],
                                  "epoch int, loss double, pos_sim double, neg_sim double, lr double")
