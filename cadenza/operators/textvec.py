@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions.text import strip
 from cadenza.operators.sampling import hash32
+from cadenza.session import spread
 
 DIM = 32
 TOKEN_SPLIT = r"[^\p{L}\p{N}_]+"
@@ -40,7 +41,7 @@ def bucket(tok: Column, dim: int = DIM) -> Column:
 def fit_idf(docs: DataFrame, id_col: str, text_col: str, dim: int = DIM) -> dict:
     """Document frequency per bucket -> idf = ln((N + 1) / (df + 1)); a D-sized artifact."""
     n = docs.count()
-    t = docs.select(F.col(id_col).alias("doc"), F.explode(tokens(F.col(text_col))).alias("tok"))
+    t = spread(docs.select(id_col, text_col)).select(F.col(id_col).alias("doc"), F.explode(tokens(F.col(text_col))).alias("tok"))
     b = t.select("doc", bucket(F.col("tok"), dim).alias("b")).distinct()
     rows = b.groupBy("b").agg(F.count(F.lit(1)).alias("df")).collect()
     df = {r["b"]: r["df"] for r in rows}
@@ -50,7 +51,7 @@ def fit_idf(docs: DataFrame, id_col: str, text_col: str, dim: int = DIM) -> dict
 def embed(docs: DataFrame, id_col: str, text_col: str, idf: dict, out: str = "embedding") -> DataFrame:
     """V7: (id, embedding) unit-length TF-IDF vector per document; blank text -> zeros."""
     dim = idf["dim"]
-    t = docs.select(F.col(id_col).alias("__id"), F.explode(tokens(F.col(text_col))).alias("tok"))
+    t = spread(docs.select(id_col, text_col)).select(F.col(id_col).alias("__id"), F.explode(tokens(F.col(text_col))).alias("tok"))
     tf = t.select("__id", bucket(F.col("tok"), dim).alias("b")).groupBy("__id", "b").agg(F.count(F.lit(1)).alias("tf"))
     idf_arr = F.array(*[F.lit(float(x)) for x in idf["idf"]])
     w = tf.withColumn("w", F.col("tf") * F.element_at(idf_arr, F.col("b") + 1))
@@ -74,7 +75,7 @@ def sentiment(docs: DataFrame, id_col: str, text_col: str, out: str = "sentiment
     """
     lex = docs.sparkSession.createDataFrame(
         [(w, 1) for w in POSITIVE_WORDS] + [(w, -1) for w in NEGATIVE_WORDS], "tok string, pol int")
-    t = docs.select(F.col(id_col).alias("__id"), F.explode(tokens(F.col(text_col))).alias("tok"))
+    t = spread(docs.select(id_col, text_col)).select(F.col(id_col).alias("__id"), F.explode(tokens(F.col(text_col))).alias("tok"))
     hits = t.join(F.broadcast(lex), "tok").groupBy("__id").agg(
         F.count_if(F.col("pol") > 0).alias("p"), F.count_if(F.col("pol") < 0).alias("n"))
     d = docs.select(F.col(id_col).alias("__id")).join(hits, "__id", "left") \

@@ -93,3 +93,14 @@ def ship_package(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
     sc.addPyFile(zpath)
     sc._cadenza_shipped = True
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Repartition an input that arrives in fewer partitions than the cluster has cores.
+
+    Used before CPU-heavy per-row work (tokenising whole texts): a single
+    large Parquet row group is read by one task.  Inputs that are already
+    split (the normal case at scale) are returned unchanged - no shuffle.
+    """
+    par = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(par) if df.rdd.getNumPartitions() < par else df
