@@ -445,3 +445,108 @@ def prj_explain(spark, sf, mode="balanced"):
     j = r.join(sv, "seed_id").join(cv, "rec_id")
     return j.select("seed_id", "rec_id", explanation(mode, F.col("score"), cosine(F.col("sa"), F.col("ca")),
                                                      cosine(F.col("st"), F.col("ct")), F.col("s_alpha")).alias("explanation"))
+
+
+# ---- E7 over the scored library: all seven recommenders of the comparison ----
+ALL_MODELS = ["Random", "Simple Audio", "SOTA Text (Cross-Encoder)", "Item-Based CF",
+              "Our Model (Audio Focus)", "Our Model (Lyric Focus)", "Our Model (Balanced)"]
+
+
+def _all_models_sql():
+    from cadenza.plans.common import AV_SQL, LIKES_SQL, h_sql
+    from cadenza.plans.evaluation import _CF_SQL, _METRICS_SQL
+    from cadenza.plans.text import _SPLIT
+    q = lambda s: "'" + s + "'"
+
+    def rnd(k, salt, name):
+        return (
+            f"{name}_nb AS (SELECT greatest(1, count(*) // 4096) AS nb FROM lib), "
+            f"{name}_it0 AS (SELECT song_id AS rec_id, {h_sql(q(f'rb:{salt}:') + ' || song_id')} % nb AS b, "
+            f"{h_sql(q(f'rk:{salt}:') + ' || song_id')} AS hk FROM lib, {name}_nb), "
+            f"{name}_it AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY hk, rec_id) - 1 AS pos FROM {name}_it0), "
+            f"{name}_sz AS (SELECT b, count(*) AS sz FROM {name}_it GROUP BY b), "
+            f"{name}_s0 AS (SELECT song_id AS seed_id, {h_sql(q(f'sb:{salt}:') + ' || song_id')} % nb AS b, "
+            f"{h_sql(q(f'so:{salt}:') + ' || song_id')} AS ho FROM lib, {name}_nb), "
+            f"{name}_s1 AS (SELECT s0.seed_id, s0.b, s0.ho, z.sz, unnest(range(0, least({k}, z.sz - 1) + 1)) AS t "
+            f"FROM {name}_s0 s0 JOIN {name}_sz z ON s0.b = z.b), "
+            f"{name}_s2 AS (SELECT seed_id, b, t, ((ho % sz) + t) % sz AS pos FROM {name}_s1), "
+            f"{name}_rj AS (SELECT s2.seed_id, it.rec_id, s2.t FROM {name}_s2 s2 JOIN {name}_it it ON s2.b = it.b AND s2.pos = it.pos "
+            f"WHERE it.rec_id <> s2.seed_id), "
+            f"{name} AS (SELECT seed_id, rec_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY seed_id ORDER BY t) AS rank "
+            f"FROM {name}_rj) WHERE rank <= {k})")
+
+    tok = (f"SELECT song_id AS doc, unnest(list_filter(regexp_split_to_array(lower(coalesce(lyrics, '')), '{_SPLIT}'), "
+           f"lambda t: length(t) > 0)) AS tok FROM ldocs")
+    text = (
+        "ldocs AS (SELECT l.song_id, coalesce(d.text, '') AS lyrics FROM lib l LEFT JOIN documents d ON d.doc_id = l.song_id), "
+        f"ltk AS (SELECT DISTINCT doc, tok FROM ({tok})), "
+        "lnd AS (SELECT count(*) AS n FROM ldocs), "
+        "lidf AS (SELECT tok, ln(lnd.n / count(*)) AS idf FROM ltk, lnd GROUP BY tok, lnd.n), "
+        "lst AS (SELECT ltk.doc, ltk.tok, lidf.idf FROM ltk JOIN lidf USING (tok)), "
+        "lsc AS (SELECT c.seed_id, c.rec_id, sum(a.idf) AS score FROM tcand c JOIN lst a ON a.doc = c.seed_id "
+        "JOIN ltk b ON b.doc = c.rec_id AND b.tok = a.tok GROUP BY 1, 2), "
+        "lall AS (SELECT c.seed_id, c.rec_id, coalesce(lsc.score, 0.0) AS score FROM tcand c LEFT JOIN lsc USING (seed_id, rec_id)), "
+        "txt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seed_id ORDER BY round(score, 9) DESC, rec_id) AS rank "
+        "FROM lall) WHERE rank <= 10)")
+    aud = (f"aud AS (SELECT * FROM (SELECT s.song_id AS seed_id, c.song_id AS rec_id, row_number() OVER (PARTITION BY s.song_id "
+           f"ORDER BY round({cos_sql('s.a', 'c.a')}, 9) DESC, c.song_id) AS rank FROM lib s JOIN lib c ON s.song_id <> c.song_id) "
+           f"WHERE rank <= 10)")
+    cf = _CF_SQL.replace("FROM likes", "FROM likes_l")
+    recs = ("recs AS (SELECT 'Random' AS model, seed_id, rec_id, rank FROM rnd UNION ALL "
+            "SELECT 'Simple Audio', seed_id, rec_id, rank FROM aud UNION ALL "
+            "SELECT 'SOTA Text (Cross-Encoder)', seed_id, rec_id, rank FROM txt UNION ALL "
+            "SELECT 'Item-Based CF', seed_id, rec_id, rank FROM cf UNION ALL "
+            "SELECT 'Our Model (Audio Focus)', seed_id, rec_id, rank FROM ma UNION ALL "
+            "SELECT 'Our Model (Lyric Focus)', seed_id, rec_id, rank FROM ml UNION ALL "
+            "SELECT 'Our Model (Balanced)', seed_id, rec_id, rank FROM mb)")
+    models = "(VALUES " + ", ".join(f"({q(m)})" for m in ALL_MODELS) + ") AS mv(model)"
+    metrics = (_METRICS_SQL.format(models=models)
+               .replace("JOIN av a ON", "JOIN iv a ON").replace("JOIN av b ON", "JOIN iv b ON")
+               .replace("JOIN av va ON", "JOIN iv va ON").replace("JOIN av vb ON", "JOIN iv vb ON")
+               .replace("FROM av)", "FROM iv)"))
+    return (
+        f"WITH {LIB_SQL}, {AV_SQL}, {LIKES_SQL}, "
+        "likes_l AS (SELECT * FROM likes WHERE item_id IN (SELECT song_id FROM lib)), "
+        "iv AS (SELECT song_id, genre, a AS vec FROM lib), "
+        f"{rnd(10, 42, 'rnd')}, {rnd(100, 7, 'tcand')}, {text}, {aud}, {cf}, "
+        f"ma AS ({_rec_sql('audio_focus', 10)}), ml AS ({_rec_sql('lyric_focus', 10)}), mb AS ({_rec_sql('balanced', 10)}), "
+        f"{recs}, {metrics} "
+        "SELECT model, round(avg(average_precision), 6) AS map, round(avg(precision), 6) AS precision, "
+        "round(avg(recall), 6) AS recall, round(avg(diversity), 6) AS diversity, count(*) AS n_seeds FROM ps GROUP BY model")
+
+
+@query("eva_compare_all_models", sql=_all_models_sql())
+def eva_compare_all_models(spark, sf):
+    """E7 on the scored library: all seven recommenders on every seed, macro-averaged metrics.
+
+    Random, raw-audio cosine, shared-token text re-rank of 100 random candidates, item CF
+    on the sampled likes, and the model's audio / lyric / balanced modes.
+    """
+    from cadenza.operators import evaluate as E
+    from cadenza.operators.recommend import item_cf, text_rerank
+    from cadenza.operators.sampling import random_recs
+    from cadenza.plans.common import sampled_likes
+    s = scored(spark, sf).cache()
+    items = s.select(F.col("song_id").alias("item_id"), "genre", F.col("audio").alias("vec"))
+    ids = items.select("item_id")
+    cols = ["seed_id", "rec_id", "rank"]
+    parts = [("Random", random_recs(ids, ids, id_col="item_id", seed_col="item_id", k=10, salt=42)),
+             ("Simple Audio", similarity_topk(items, k=10, q_id="item_id", q_vec="vec", exclude_self=True,
+                                              strategy="block"))]
+    d = read_table(spark, sf, "documents").select(F.col("doc_id").alias("song_id"), F.col("text").alias("lyrics"))
+    docs = s.select("song_id").join(d, "song_id", "left").withColumn("lyrics", F.coalesce("lyrics", F.lit("")))
+    cands = random_recs(ids, ids, id_col="item_id", seed_col="item_id", k=100, salt=7).select("seed_id", "rec_id")
+    parts.append(("SOTA Text (Cross-Encoder)", text_rerank(cands, docs, k=10, id_col="song_id", text_col="lyrics")))
+    likes = sampled_likes(spark, sf).join(ids.withColumnRenamed("item_id", "item_id"), "item_id", "left_semi")
+    parts.append(("Item-Based CF", item_cf(likes, k=10)))
+    for name, mode in (("Our Model (Audio Focus)", "audio_focus"), ("Our Model (Lyric Focus)", "lyric_focus"),
+                       ("Our Model (Balanced)", "balanced")):
+        parts.append((name, similar(s, mode, 10)))
+    recs = None
+    for name, r in parts:
+        r = r.select(F.lit(name).alias("model"), *cols)
+        recs = r if recs is None else recs.unionByName(r)
+    per = E.per_seed_metrics(recs, items, ids.withColumnRenamed("item_id", "seed_id"), ALL_MODELS)
+    out = E.compare_models(per)
+    return out.select("model", *[F.round(c, 6).alias(c) for c in ("map", "precision", "recall", "diversity")],
+                      F.col("n_seeds").cast("long").alias("n_seeds"))
