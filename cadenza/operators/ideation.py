@@ -56,15 +56,25 @@ def top_genres_text(res: DataFrame, group: str, genre: str = "genre", n: int = 2
     return _ranked_strings(c, group, capitalize(genre), [F.col("__n").desc(), F.col(genre)], n, "genres", " & ")
 
 
-def sonality(res: DataFrame, group: str) -> DataFrame:
-    """P17 + A11 + A6: 'A blend of X & Y styles, generally characterized as: ...'."""
-    m = profile_means(res, group)
-    g = top_genres_text(res, group)
-    j = m.join(g, group)
-    return j.select(group, F.concat(F.lit("A blend of "), F.col("genres"),
-                                    F.lit(" styles, generally characterized as: "),
-                                    traits(F.col("energy"), F.col("valence"), F.col("acousticness")),
-                                    F.lit(".")).alias("sonality"))
+def sonality(res: DataFrame, group: str, genre: str = "genre", n_genres: int = 2) -> DataFrame:
+    """P17 + A11 + A6: 'A blend of X & Y styles, generally characterized as: ...'.
+
+    Two chained aggregates, no join: per (group, genre) counts and feature
+    sums, then per group the means and the n most frequent genres (ties by
+    name).  The per-group genre list is bounded by the number of genres.
+    """
+    feats = ("energy", "valence", "acousticness")
+    g1 = res.groupBy(group, genre).agg(F.count(F.lit(1)).alias("__n"),
+                                       *[F.sum(c).alias(f"__s_{c}") for c in feats],
+                                       *[F.count(c).alias(f"__c_{c}") for c in feats])
+    g2 = g1.groupBy(group).agg(
+        *[F.try_divide(F.sum(f"__s_{c}"), F.sum(f"__c_{c}")).alias(c) for c in feats],
+        F.slice(F.array_sort(F.collect_list(F.struct((-F.col("__n")).alias("k"), F.col(genre).alias("g")))),
+                1, n_genres).alias("__top"))
+    genres = F.array_join(F.transform("__top", lambda x: capitalize(x["g"])), " & ")
+    return g2.select(group, F.concat(F.lit("A blend of "), genres, F.lit(" styles, generally characterized as: "),
+                                     traits(F.col("energy"), F.col("valence"), F.col("acousticness")),
+                                     F.lit(".")).alias("sonality"))
 
 
 def common_progressions(res: DataFrame, group: str, prog: str = "chord_main", order: str = "rk",

@@ -413,7 +413,12 @@ def idea_keyword_search(spark, sf, prompt=_KW):
     s = scored(spark, sf)
     res = keyword_search(s, prompt, title="title", order="song_id").withColumn("q", F.lit("q")) \
         .withColumn("rk", F.col("song_id"))
-    return I.sonality(res, "q").join(I.popular_titles(res, "q"), "q").select("sonality", "popular")
+    # one result set (constant group): combine the two one-row parts by union + aggregate, not by a join
+    parts = (I.sonality(res, "q").select("q", F.lit("sonality").alias("k"), F.col("sonality").alias("v"))
+             .unionByName(I.popular_titles(res, "q").select("q", F.lit("popular").alias("k"), F.col("popular").alias("v"))))
+    return parts.groupBy("q").agg(F.max(F.when(F.col("k") == "sonality", F.col("v"))).alias("sonality"),
+                                  F.max(F.when(F.col("k") == "popular", F.col("v"))).alias("popular")) \
+                .select("sonality", "popular")
 
 
 @query("topk_similar", sql=f"""
