@@ -40,9 +40,20 @@ def section_texts(prog, sections: Sequence[str] | None = None) -> Column:
 
 
 def chord_tokens(prog, sections: Sequence[str] | None = None) -> Column:
-    """All chords of the chosen sections, split on ' - ' (tokens are not trimmed)."""
+    """All chords of the chosen sections, split on ' - ' (tokens are not trimmed).
+
+    Splitting every section and concatenating equals splitting the sections
+    joined by ' - ' (an empty section still yields one '' token), so this is
+    written without lambdas and stays in generated code.
+    """
+    m = _c(prog)
+    empty = F.array().cast("array<string>")
+    if sections is None:
+        vals = F.map_values(m)
+        joined = F.array_join(vals, " - ", "None")  # a null section reads 'None'
+        return F.when(m.isNull() | (F.size(vals) == 0), empty).otherwise(F.split(joined, " - ", -1))
     texts = section_texts(prog, sections)
-    return F.flatten(F.transform(texts, lambda s: F.split(s, " - ", -1)))
+    return F.when(m.isNull(), empty).otherwise(F.split(F.array_join(texts, " - "), " - ", -1))
 
 
 def fit_vocab(df: DataFrame, prog: str, sections: Sequence[str] | None = None) -> DataFrame:
@@ -65,8 +76,11 @@ def multihot(df: DataFrame, prog: str, vocab: DataFrame, out: str = "harmonic_ve
     head = vocab.orderBy("idx").limit(MAX_LITERAL_VOCAB + 1).collect()  # bounded by the limit
     if len(head) <= MAX_LITERAL_VOCAB:
         words = [r["chord"] for r in head]
-        lit = F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>")
-        return df.withColumn(out, F.transform(lit, lambda w: F.array_contains(toks, w).cast("int")))
+        # tokens computed once per row, then one code-generated membership test per vocabulary word
+        d = df.withColumn("__toks", toks)
+        vec = (F.array(*[F.array_contains(F.col("__toks"), F.lit(w)).cast("int") for w in words])
+               if words else F.array().cast("array<int>"))
+        return d.withColumn(out, vec).drop("__toks")
     n = vocab.count()
     # large vocabulary: sparse indices through a (broadcastable) vocabulary join, then densify;
     # rows are matched back by ``key`` (a unique id column) or a generated row id
