@@ -31,7 +31,7 @@ NEGATIVE_WORDS = ["hate", "bad", "sad", "pain", "cry", "alone", "odio", "mal", "
 
 def tokens(text: Column) -> Column:
     """Lower-case word tokens of the whole text (empty pieces dropped)."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), TOKEN_SPLIT), lambda t: F.length(t) > 0)
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), TOKEN_SPLIT), "")
 
 
 def bucket(tok: Column, dim: int = DIM) -> Column:
