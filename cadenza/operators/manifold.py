@@ -116,18 +116,35 @@ def silhouette(items: DataFrame, id_col="item_id", vec_col="vec", label_col="lab
 
 
 def assign_nearest(items: DataFrame, cents: DataFrame, id_col="item_id", vec_col="vec") -> DataFrame:
-    """M8: nearest centroid by squared distance (ties -> smallest label).
+    """M8: nearest centroid by squared distance (rounded to 9 places, ties -> smallest label).
 
-    Centroids are a bounded artifact (k x d) collected once and applied as a
-    projection: no join, no shuffle of the items.
+    The centroid matrix (labels x dimension, a bounded artifact) is broadcast
+    once; each Arrow batch of items is assigned with one matrix product, so
+    the items are never shuffled.
     """
+    import numpy as np
+    import pandas as pd
+
     rows = cents.orderBy("label").collect()
-    labels = [r["label"] for r in rows]
-    x = F.col(vec_col).cast("array<double>")
-    dists = [F.struct(F.round(sqdist(x, F.array(*[F.lit(float(v)) for v in r["centroid"]])), 9).alias("d"),
-                      F.lit(r["label"]).alias("label")) for r in rows]
-    best = F.least(*dists) if len(dists) > 1 else dists[0]
-    return items.select(F.col(id_col).alias("item_id"), best["label"].alias("cluster"))
+    labels = np.array([r["label"] for r in rows])
+    C = np.array([r["centroid"] for r in rows], dtype=np.float64)
+    spark = items.sparkSession
+    bc = spark.sparkContext.broadcast((labels, C))
+    label_type = dict(cents.dtypes)["label"]
+
+    def fn(it):
+        labs, Cm = bc.value
+        cn = (Cm * Cm).sum(axis=1)
+        for pdf in it:
+            if pdf.empty:
+                continue
+            X = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["__v"].values])
+            d2 = np.round(np.maximum((X * X).sum(axis=1)[:, None] + cn[None, :] - 2.0 * X @ Cm.T, 0.0), 9)
+            yield pd.DataFrame({"item_id": pdf["item_id"].to_numpy(), "cluster": labs[np.argmin(d2, axis=1)]})
+
+    src = items.select(F.col(id_col).alias("item_id"), F.col(vec_col).cast("array<double>").alias("__v"))
+    id_type = dict(src.dtypes)["item_id"]
+    return src.mapInPandas(fn, f"item_id {id_type}, cluster {label_type}")
 
 
 def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
