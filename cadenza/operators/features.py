@@ -12,10 +12,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.operators.aggregates import nan_to_null
+from cadenza.session import bounded_collect
 
 # Vocabularies larger than this are applied by a join instead of a literal array.
 MAX_LITERAL_VOCAB = 2_000
 MFCC_DIM = 13
+# Longest vector whose per-position statistics are collected as literals.
+MAX_DIM = 65_536
 
 
 def _c(c) -> Column:
@@ -137,8 +140,9 @@ def standard_expr(c, mean, std) -> Column:
 def fit_vector_minmax(df: DataFrame, vec: str) -> tuple[list, list]:
     """Per-position min/max over rows whose vector is present (bounded by the dimension)."""
     e = df.where(F.col(vec).isNotNull()).select(F.posexplode(vec).alias("pos", "x"))
-    rows = e.groupBy("pos").agg(F.min(nan_to_null("x")).alias("lo"),
-                                F.max(nan_to_null("x")).alias("hi")).orderBy("pos").collect()
+    rows = bounded_collect(e.groupBy("pos").agg(F.min(nan_to_null("x")).alias("lo"),
+                                                F.max(nan_to_null("x")).alias("hi")).orderBy("pos"),
+                           MAX_DIM, "vector positions")
     return [r["lo"] for r in rows], [r["hi"] for r in rows]
 
 

@@ -15,6 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.operators.similarity import distance_sums_by_label, knn_edges
+from cadenza.session import bounded_collect
+
+# Labels / clusters whose centroids may be collected and broadcast.
+MAX_LABELS = 100_000
 
 
 def labelled_edges(items: DataFrame, *, k: int, id_col="item_id", vec_col="vec", label_col="label") -> DataFrame:
@@ -43,7 +47,7 @@ def neighbor_matrix(edges: DataFrame, labels: DataFrame, label_col="label") -> D
     counts = edges.groupBy(F.col("src_label").alias("anchor_label"),
                            F.col("dst_label").alias("neighbor_label")).agg(F.count(F.lit(1)).alias("n"))
     la = labels.select(F.col(label_col).alias("anchor_label")).distinct()
-    names = [r[0] for r in la.orderBy("anchor_label").collect()]  # the label set (bounded)
+    names = [r[0] for r in bounded_collect(la.orderBy("anchor_label"), MAX_LABELS, "labels")]
     grid = la.withColumn("neighbor_label", F.explode(F.array(*[F.lit(x) for x in names])))
     return (grid.join(counts, ["anchor_label", "neighbor_label"], "left")
                 .select("anchor_label", "neighbor_label", F.coalesce("n", F.lit(0)).cast("long").alias("n")))
@@ -86,7 +90,7 @@ def davies_bouldin(items: DataFrame, vec_col="vec", label_col="label") -> DataFr
     cents = centroids(items, vec_col, label_col)
     s = (_with_centroid(items, cents, vec_col, label_col)
          .groupBy("label").agg(F.avg(F.sqrt(sqdist(F.col("__x"), F.col("centroid")))).alias("s")))
-    rows = cents.join(s, "label").orderBy("label").collect()  # k rows (one per label)
+    rows = bounded_collect(cents.join(s, "label").orderBy("label"), MAX_LABELS, "centroids")
     others = F.array(*[F.struct(F.lit(r["label"]).alias("lj"),
                                 F.array(*[F.lit(float(v)) for v in r["centroid"]]).alias("cj"),
                                 F.lit(float(r["s"])).alias("sj")) for r in rows])
@@ -125,7 +129,7 @@ def assign_nearest(items: DataFrame, cents: DataFrame, id_col="item_id", vec_col
     import numpy as np
     import pandas as pd
 
-    rows = cents.orderBy("label").collect()
+    rows = bounded_collect(cents.orderBy("label"), MAX_LABELS, "centroids")
     labels = np.array([r["label"] for r in rows])
     C = np.array([r["centroid"] for r in rows], dtype=np.float64)
     spark = items.sparkSession
@@ -190,7 +194,8 @@ def kmeans_labels(items: DataFrame, k: int, vec_col: str = "vec", seed: int = 42
 def standardise_vectors(items: DataFrame, vec_col: str = "vec", out: str = "z") -> DataFrame:
     """A4 + V2 on vectors: per-position mean and population std (zero std -> 0)."""
     e = items.select(F.posexplode(F.col(vec_col).cast("array<double>")).alias("pos", "x"))
-    st = e.groupBy("pos").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s")).orderBy("pos").collect()
+    st = bounded_collect(e.groupBy("pos").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s")).orderBy("pos"),
+                         65_536, "vector positions")
     mean = F.array(*[F.lit(float(r["m"])) for r in st])
     std = F.array(*[F.lit(float(r["s"]) if r["s"] else 1.0) for r in st])
     z = F.transform(F.col(vec_col).cast("array<double>"),

@@ -104,3 +104,15 @@ def spread(df: DataFrame) -> DataFrame:
     """
     par = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(par) if df.rdd.getNumPartitions() < par else df
+
+
+def bounded_collect(df: DataFrame, max_rows: int, what: str) -> list:
+    """Collect an artifact that must stay small (labels, centroids, statistics).
+
+    At most ``max_rows + 1`` rows are fetched; more than ``max_rows`` is an
+    error instead of an unbounded pull to the driver.
+    """
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        raise ValueError(f"{what}: more than {max_rows} rows; refusing to collect it to the driver")
+    return rows
