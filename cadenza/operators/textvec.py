@@ -43,7 +43,7 @@ def fit_idf(docs: DataFrame, id_col: str, text_col: str, dim: int = DIM) -> dict
     n = docs.count()
     t = spread(docs.select(id_col, text_col)).select(F.col(id_col).alias("doc"), F.explode(tokens(F.col(text_col))).alias("tok"))
     b = t.select("doc", bucket(F.col("tok"), dim).alias("b")).distinct()
-    rows = b.groupBy("b").agg(F.count(F.lit(1)).alias("df")).collect()
+    rows = b.groupBy("b").agg(F.count(F.lit(1)).alias("df")).collect()  # at most `dim` rows (bucket ids)
     df = {r["b"]: r["df"] for r in rows}
     return {"n": n, "dim": dim, "idf": [math.log((n + 1) / (df.get(i, 0) + 1)) for i in range(dim)]}
 
