@@ -253,3 +253,26 @@ def test_training_loss_falls_on_fixed_triplets(spark):
                                      "p_text array<double>, n_audio array<double>, n_text array<double>")
     _, hist = train(df, GatedModel.from_formula(6, 6, 8, 4), epochs=8, lr=0.05, margin=0.5)
     assert hist[-1]["loss"] < hist[0]["loss"]
+
+
+def test_bounded_collect_refuses_large_artifacts(spark):
+    from cadenza.session import bounded_collect
+    df = spark.range(10)
+    assert len(bounded_collect(df, 10, "ids")) == 10
+    with pytest.raises(ValueError):
+        bounded_collect(df, 9, "ids")
+
+
+def test_assign_nearest_matches_numpy(spark):
+    rng = np.random.default_rng(7)
+    X = rng.normal(size=(40, 3))
+    lab = rng.integers(0, 4, size=40)
+    items = spark.createDataFrame([(i, X[i].tolist(), int(lab[i])) for i in range(40)],
+                                  "item_id long, vec array<double>, label int")
+    cents = M.centroids(items)
+    got = {r["item_id"]: r["cluster"] for r in M.assign_nearest(items, cents).collect()}
+    C = {r["label"]: np.array(r["centroid"]) for r in cents.collect()}
+    for i in range(40):
+        d = {l: round(float(((X[i] - c) ** 2).sum()), 9) for l, c in C.items()}
+        best = min(sorted(d), key=lambda l: d[l])
+        assert got[i] == best
