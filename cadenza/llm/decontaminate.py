@@ -280,31 +280,37 @@ def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join(out) + text[at:]
 
 
+def clean_column(text: Column, shard, max_coverage: float) -> Column:
+    """struct<keep, text>: the text without hit spans; keep is false beyond the coverage limit."""
+    @F.arrow_udf("struct<keep:boolean, text:string>")
+    def clean(texts: pa.Array) -> pa.Array:
+        rows = []
+        for t in texts:
+            cleaned, keep = t.as_py(), True
+            words = words_of(cleaned)
+            spans = shard.value.scan(words)[0]
+            if spans and sum(b - a for a, b in spans) > max_coverage * len(words):
+                keep = False
+            while keep and spans:
+                cleaned = cut_words(cleaned, spans)
+                spans = shard.value.scan(words_of(cleaned))[0]
+            rows.append({"keep": keep, "text": cleaned if keep else None})
+        return pa.array(rows, pa.struct([("keep", pa.bool_()), ("text", pa.string())]))
+    # else the optimiser would evaluate it once for the filter and once for the text
+    return clean.asNondeterministic()(text)
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = 0.5) -> DataFrame:
     """``docs`` (all columns) without hit spans; documents with a larger share of hit words are dropped.
 
     Words that come together where a span is cut are scanned again, until no
-    window is left.
+    window is left.  With several shards that holds after a second round of
+    passes, written in between like the first.
     """
     shards = automata(benchmark, window)
     out = docs
     for shard in shards if len(shards) == 1 else [*shards, *shards]:
-        @F.arrow_udf("struct<keep:boolean, text:string>")
-        def clean(texts: pa.Array, shard=shard) -> pa.Array:
-            rows = []
-            for t in texts:
-                text, keep = t.as_py(), True
-                words = words_of(text)
-                spans = shard.value.scan(words)[0]
-                if spans and sum(b - a for a, b in spans) > max_coverage * len(words):
-                    keep = False
-                while keep and spans:
-                    text = cut_words(text, spans)
-                    spans = shard.value.scan(words_of(text))[0]
-                rows.append({"keep": keep, "text": text if keep else None})
-            return pa.array(rows, pa.struct([("keep", pa.bool_()), ("text", pa.string())]))
-
-        cleaned = out.withColumn("_clean", clean(out["text"])).where("_clean.keep")
+        cleaned = out.withColumn("_clean", clean_column(out["text"], shard, max_coverage)).where("_clean.keep")
         out = cleaned.select(*[F.col("_clean.text").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
         if len(shards) > 1:
             out = materialise(out, "cleaned")

@@ -168,17 +168,15 @@ def decode_column(ids: Column, model_path: str) -> Column:
 
 
 def round_trip_column(text: Column, model_path: str) -> Column:
-    """struct<n_tokens, ids, decoded>: decimal ids joined by one space (with the end id) and the decoded text."""
-    @F.arrow_udf("struct<n_tokens:bigint, ids:string, decoded:string>")
+    """struct<ids, text>: ids of each text with the end id, and the text decoded from them."""
+    @F.arrow_udf("struct<ids:array<int>, text:string>")
     def both(texts: pa.Array) -> pa.Array:
-        enc, n, ids, decoded = encoder(model_path), [], [], []
+        enc, ids, decoded = encoder(model_path), [], []
         for run in _slices(texts):
-            rows = enc.encode_batch(run)
-            lists = [[*chain.from_iterable(p[1] for p in row), enc.end] for row in rows]
-            n += map(len, lists)
-            ids += [" ".join([*(p[0] for p in row), str(enc.end)]) for row in rows]
+            lists = [[*chain.from_iterable(p[1] for p in row), enc.end] for row in enc.encode_batch(run)]
+            ids += lists
             decoded += enc.decode(lists)
-        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["n_tokens", "ids", "decoded"])
+        return pa.StructArray.from_arrays([pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())], ["ids", "text"])
     return both(text)
 
 

@@ -46,10 +46,10 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their token ids (end id included) and the text decoded from them."""
     prepare(spark)
-    model = public_tokenizers.path("piece_bpe_32k.model")
-    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "ids", "n_tokens")]
-    encoded = docs.select(*others, piece_bpe.encode_column(text_of(docs), model).alias("ids"))
-    return encoded.select(*others, piece_bpe.decode_column(F.col("ids"), model).alias("text"), F.size("ids").cast("bigint").alias("n_tokens"), "ids")
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "ids", "n_tokens", "_pieces")]
+    both = piece_bpe.round_trip_column(text_of(docs), public_tokenizers.path("piece_bpe_32k.model"))
+    encoded = docs.select(*others, both.alias("_pieces"))
+    return encoded.select(*others, "_pieces.text", F.size("_pieces.ids").cast("bigint").alias("n_tokens"), "_pieces.ids")
 
 
 STAGES = [
