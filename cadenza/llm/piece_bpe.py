@@ -6,12 +6,12 @@ the highest score (leftmost on ties) is merged, and the two new neighbour
 pairs join the agenda.  Characters that are no piece fall back to bytes.
 
 A text is first cut where no merge can ever cross: before a blank run that
-follows another character (no piece of the vocabulary has an inner blank) and
-around characters that occur in no longer piece, such as the line feed.  The
-cuts depend on the vocabulary and are verified when it is loaded.  Segments
-repeat, so each worker keeps a bounded memo of them.  Every segment that is
-not in the memo is also encoded by the sentencepiece library, a whole Arrow
-batch at a time, and any difference raises.
+follows another character, at line feeds, and inside a segment where a run of
+letters meets other characters that no piece joins to it.  The cuts are
+derived from the vocabulary when it is loaded.  Segments and their parts
+repeat, so each worker keeps bounded memos of them.  In every Arrow batch all
+parts that are not in the memo, and the first text as a whole, are also
+encoded by the sentencepiece library; any difference raises.
 
 Defined results: a null text is read as empty; an empty text has the end id
 alone; repeated rows give repeated results; an empty table gives no rows.
@@ -27,8 +27,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "\u2581"
-#: Entries of a worker's segment memo (about 400 bytes each); it is emptied when full.
-MEMO_SEGMENTS = 400_000
+#: Entries of a worker's memos of segments (about 400 bytes each) and parts (250 bytes); a full one is emptied.
+MEMO_SEGMENTS = 300_000
+MEMO_PARTS = 600_000
 
 
 class PieceEncoder:
@@ -44,21 +45,38 @@ class PieceEncoder:
         special = lambda i: self.lib.is_control(i) or self.lib.is_unknown(i) or self.lib.is_byte(i)
         if any(self.lib.is_unused(i) for i in range(n)):
             raise ValueError("vocabularies with unused pieces are not supported")
-        self.ids = {self.lib.id_to_piece(i): i for i in range(n) if not special(i)}
-        self.cost = {p: -self.lib.get_score(i) for p, i in self.ids.items()}
-        longer = [p for p in self.ids if len(p) > 1]
+        self.piece_id = {self.lib.id_to_piece(i): i for i in range(n) if not special(i)}
+        self.cost = {p: -self.lib.get_score(i) for p, i in self.piece_id.items()}
+        longer = [p for p in self.piece_id if len(p) > 1]
         if any(SPACE in p.lstrip(SPACE) for p in longer):
             raise ValueError("a piece holds an inner blank: texts cannot be cut at blanks")
         if any("\n" in p for p in longer):
             raise ValueError("a piece joins the line feed: texts cannot be cut at lines")
-        self.memo: dict[str, tuple[str, tuple[int, ...]]] = {}
+        self.joined = {p[i : i + 2] for p in longer for i in range(len(p) - 1)}
+        self.ids_of: dict[str, tuple[int, ...]] = {}  # of segments
+        self.text_of: dict[str, str] = {}  # their ids as text
+        self.parts: dict[str, list[int]] = {}
         self.cut = re.compile("\n|" + SPACE + "*[^" + SPACE + "\n]+|" + SPACE + "+").findall
+        self.runs = re.compile(SPACE + r"*[^\W\d_]+|(?:(?!" + SPACE + r"*[^\W\d_])[\s\S])+").findall
 
     def segments(self, text: str) -> list[str]:
         return self.cut(SPACE + text.replace(" ", SPACE)) if text else []
 
+    def parts_of(self, segment: str) -> list[str]:
+        """Runs of letters and of other characters, where no piece joins them."""
+        runs = self.runs(segment)
+        if len(runs) == 1:
+            return runs
+        out = [runs[0]]
+        for run in runs[1:]:
+            if out[-1][-1] + run[0] in self.joined:
+                out[-1] += run
+            else:
+                out.append(run)
+        return out
+
     def merge(self, segment: str) -> list[int]:
-        """Ids of one segment by the agenda of adjacent pairs."""
+        """Ids of one part by the agenda of adjacent pairs."""
         cost, sym, n = self.cost, list(segment), len(segment)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         agenda = []
@@ -88,37 +106,52 @@ class PieceEncoder:
         out: list[int] = []
         for s in sym:
             if s is not None:
-                i = self.ids.get(s)
+                i = self.piece_id.get(s)
                 if i is None:
                     out.extend(self.bytes[b] for b in s.encode())
                 else:
                     out.append(i)
         return out
 
-    def _learn(self, new: list[str]) -> None:
-        """Encode new segments by the agenda and check them against the library."""
-        # behind a line feed a segment stands alone: the first two ids are the dummy blank and the feed
-        theirs = self.lib.encode(["\n" + s.replace(SPACE, " ") for s in new], num_threads=1)
+    def _learn(self, segments: set[str]) -> None:
+        """Encode new segments by the agenda; their new parts are checked against the library."""
+        parts, own = self.parts, [(s, self.parts_of(s)) for s in segments]
+        new = list(set(chain.from_iterable(p for _, p in own)).difference(parts))
+        # behind a line feed a part stands alone: the first ids are the dummy blank and the feed
         skip = len(self.lib.encode("\n"))
-        for s, want in zip(new, theirs):
-            ids = self.merge(s)
+        for p, want in zip(new, self.lib.encode(["\n" + p.replace(SPACE, " ") for p in new], num_threads=1) if new else ()):
+            parts[p] = ids = self.merge(p)
             if ids != want[skip:]:
-                raise ValueError(f"segment {s!r}: agenda {ids}, library {want[skip:]}")
-            self.memo[s] = (" ".join(map(str, ids)), tuple(ids))
-
-    def encode_batch(self, texts: list[str]) -> list[list[tuple[str, tuple[int, ...]]]]:
-        """For each text its segments' (decimal ids, ids), without the end id."""
+                raise ValueError(f"part {p!r}: agenda {ids}, library {want[skip:]}")
+        for s, ps in own:
+            ids = parts[ps[0]] if len(ps) == 1 else [*chain.from_iterable([parts[p] for p in ps])]
+            self.ids_of[s] = tuple(ids)
+            self.text_of[s] = " ".join(map(str, ids))
+
+    def cut_batch(self, texts: list[str]) -> list[list[str]]:
+        """Segments of each text, all of them learnt."""
         cut = [self.segments(t) for t in texts]
-        if len(self.memo) > MEMO_SEGMENTS:
-            self.memo.clear()
-        new = [s for s in set(chain.from_iterable(cut)) if s not in self.memo]
+        if len(self.ids_of) > MEMO_SEGMENTS:
+            self.ids_of.clear(), self.text_of.clear()
+        if len(self.parts) > MEMO_PARTS:
+            self.parts.clear()
+        new = set(chain.from_iterable(cut)).difference(self.ids_of)
         if new:
             self._learn(new)
-        memo = self.memo
-        return [[memo[s] for s in segments] for segments in cut]
+        if texts and self.ids(cut[0])[:-1] != (want := self.lib.encode(texts[0])):
+            raise ValueError(f"ids of {texts[0][:80]!r} differ from the library's {want[:20]}")
+        return cut
+
+    def ids(self, segments: list[str]) -> list[int]:
+        """Ids of a text's segments, with the end id."""
+        return [*chain.from_iterable(map(self.ids_of.__getitem__, segments)), self.end]
+
+    def ids_text(self, segments: list[str]) -> str:
+        """The same as decimal numbers joined by one blank."""
+        return " ".join([*map(self.text_of.__getitem__, segments), str(self.end)])
 
     def encode(self, text: str) -> list[int]:
-        return [*chain.from_iterable(p[1] for p in self.encode_batch([text])[0]), self.end]
+        return self.ids(self.cut_batch([text])[0])
 
     def decode(self, batch: list[list[int]]) -> list[str]:
         return self.lib.decode(batch, num_threads=1)
@@ -153,7 +186,7 @@ def encode_column(text: Column, model_path: str) -> Column:
     def pieces(texts: pa.Array) -> pa.Array:
         enc, out = encoder(model_path), []
         for run in _slices(texts):
-            out += [[*chain.from_iterable(p[1] for p in row), enc.end] for row in enc.encode_batch(run)]
+            out += map(enc.ids, enc.cut_batch(run))
         return pa.array(out, pa.list_(pa.int32()))
     return pieces(text)
 
@@ -173,7 +206,7 @@ def round_trip_column(text: Column, model_path: str) -> Column:
     def both(texts: pa.Array) -> pa.Array:
         enc, ids, decoded = encoder(model_path), [], []
         for run in _slices(texts):
-            lists = [[*chain.from_iterable(p[1] for p in row), enc.end] for row in enc.encode_batch(run)]
+            lists = [*map(enc.ids, enc.cut_batch(run))]
             ids += lists
             decoded += enc.decode(lists)
         return pa.StructArray.from_arrays([pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())], ["ids", "text"])
@@ -192,10 +225,10 @@ def piece_digests(docs: DataFrame, model_path: str) -> DataFrame:
         enc, n, ids, decoded = encoder(model_path), [], [], []
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for run in _slices(texts):
-            rows = enc.encode_batch(run)
-            lists = [[*chain.from_iterable(p[1] for p in row), enc.end] for row in rows]
+            rows = enc.cut_batch(run)
+            lists = [*map(enc.ids, rows)]
             n += map(len, lists)
-            ids += [sha(" ".join([*(p[0] for p in row), str(enc.end)])) for row in rows]
+            ids += [sha(enc.ids_text(row)) for row in rows]
             decoded += map(sha, enc.decode(lists))
         return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"])
     return docs.select("doc_id", digest("text").alias("d")).select("doc_id", "d.*")
