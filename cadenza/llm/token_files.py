@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from array import array
 from itertools import chain
 
 import numpy as np
@@ -38,8 +39,9 @@ from pyspark.sql import functions as F
 from cadenza.llm.common import materialise, text_of
 from cadenza.session import shared_path
 
-#: Entries of a worker's memo of encoded words; it is emptied when full.
-MEMO_WORDS = 500_000
+#: Entries of a worker's memos of words and of their pre-tokens (about 200 bytes each); a full one is emptied.
+MEMO_WORDS = 300_000
+MEMO_PIECES = 800_000
 #: Ids read and digested at a time.
 READ_IDS = 1 << 22
 SAMPLE = 512
@@ -120,34 +122,87 @@ class EliasFano:
 
 
 # ------------------------------------------------------------------ encoding
+class _Memo(dict):
+    """Values made on first use."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key):
+        self[key] = value = self.make(key)
+        return value
+
+
 class WordEncoder:
-    """Encodes by the tokenizers library, with a memo of blank-separated words.
+    """Encodes by the tokenizers library, with memos of blank-separated words and their pre-tokens.
 
     Right for vocabularies whose pre-tokenizer drops blanks and never spans
-    them: then a text's ids are those of its words in turn.
+    them: a text's ids are then those of its words in turn.  Where the
+    vocabulary lower-cases and cuts words by a pattern, the model itself is
+    asked once for each pre-token; words beyond Latin-1 (which normalisation
+    may change further) and words that may hold a special token go through the
+    whole library.  The first text of each batch is encoded by the library as
+    a whole, and a difference raises.
     """
 
     def __init__(self, path: str):
+        import json
+
+        import regex
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
         size = self.lib.get_vocab_size(with_added_tokens=True)
         self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
-        self.by_word = [x.ids for x in self.lib.encode_batch(["ab cd", "ab", "cd"], add_special_tokens=False)]
-        self.by_word = self.by_word[0] == self.by_word[1] + self.by_word[2]
-        self.memo: dict[str, bytes] = {}
+        probe = [x.ids for x in self.lib.encode_batch(["ab cd", "ab", "cd"], add_special_tokens=False)]
+        self.by_word = probe[0] == probe[1] + probe[2]
+        with open(path, encoding="utf-8") as f:
+            parts = json.load(f)
+        steps = [x["type"] for x in (parts["normalizer"] or {}).get("normalizers", [])]
+        cut = (parts["pre_tokenizer"] or {}).get("pretokenizers", [])
+        self.special = regex.compile("|".join(regex.escape(x["content"]) for x in parts["added_tokens"]) or "(?!)").search
+        self.cut = None
+        if steps == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in cut] == ["Split", "ByteLevel"] and cut[0]["behavior"] == "Removed" and cut[0]["invert"]:
+            self.cut = regex.compile(cut[0]["pattern"]["Regex"]).findall
+            shown = self.lib.pre_tokenizer.pre_tokenize_str
+            self.bytes = {i: "".join(p for p, _ in shown(chr(i))) or chr(i) for i in range(256)}
+        self.pieces, self.words, self.others = _Memo(self._piece), _Memo(self._word), _Memo(self._other)
+
+    def _pack(self, ids: list[int]) -> bytes:
+        return array("H" if self.kind.itemsize == 2 else "I", ids).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        plain = piece if piece.isascii() and piece.isprintable() else piece.translate(self.bytes)
+        return self._pack([t.id for t in self.lib.model.tokenize(plain)])
+
+    def _word(self, word: str) -> bytes:
+        low = word.lower()
+        return self.pieces[low] if low.isalpha() else b"".join(map(self.pieces.__getitem__, self.cut(low)))
+
+    def _other(self, word: str) -> bytes:
+        return self._pack(self.lib.encode(word, add_special_tokens=False).ids)
+
+    def _text(self, text: str) -> bytes:
+        words = self.words
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            words = self.others
+        if words is self.others or not self.cut or self.special(text):
+            words = self.others
+        return b"".join(map(words.__getitem__, text.replace("\n", " ").split(" ")))
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
-            return [np.asarray(e.ids, self.kind).tobytes() for e in self.lib.encode_batch(texts, add_special_tokens=False)]
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
-        new = [w for w in set(chain.from_iterable(cut)) if w not in self.memo]
-        for w, e in zip(new, self.lib.encode_batch(new, add_special_tokens=False)):
-            self.memo[w] = np.asarray(e.ids, self.kind).tobytes()
-        get = self.memo.__getitem__
-        return [b"".join(map(get, words)) for words in cut]
+            return [self._pack(e.ids) for e in self.lib.encode_batch(texts, add_special_tokens=False)]
+        for memo, most in ((self.words, MEMO_WORDS), (self.others, MEMO_WORDS // 4), (self.pieces, MEMO_PIECES)):
+            if len(memo) > most:
+                memo.clear()
+        out = [self._text(t) for t in texts]
+        if texts and out[0] != self._other(texts[0]):
+            raise ValueError(f"ids by words differ from those of the whole text {texts[0][:80]!r}")
+        return out
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
