@@ -27,9 +27,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "\u2581"
-#: Entries of a worker's memos of segments (about 400 bytes each) and parts (250 bytes); a full one is emptied.
-MEMO_SEGMENTS = 300_000
-MEMO_PARTS = 600_000
+#: Entries of a worker's memos of segments and of their parts (about 250 bytes each); a full one is emptied.
+MEMO_SEGMENTS = 600_000
+MEMO_PARTS = 1_000_000
+#: Characters up to which the agenda is a plain list: its minimum is found sooner than a heap is kept up.
+LIST_AGENDA = 24
+
+
+class _Memo(dict):
+    """Values made on first use."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key):
+        self[key] = value = self.make(key)
+        return value
 
 
 class PieceEncoder:
@@ -53,9 +67,10 @@ class PieceEncoder:
         if any("\n" in p for p in longer):
             raise ValueError("a piece joins the line feed: texts cannot be cut at lines")
         self.joined = {p[i : i + 2] for p in longer for i in range(len(p) - 1)}
-        self.ids_of: dict[str, tuple[int, ...]] = {}  # of segments
-        self.text_of: dict[str, str] = {}  # their ids as text
-        self.parts: dict[str, list[int]] = {}
+        self.text_of = [*map(str, range(n))]
+        self.known = _Memo(self._segment)  # ids of segments
+        self.parts = _Memo(self._part)
+        self.unchecked: list[str] = []
         self.cut = re.compile("\n|" + SPACE + "*[^" + SPACE + "\n]+|" + SPACE + "+").findall
         self.runs = re.compile(SPACE + r"*[^\W\d_]+|(?:(?!" + SPACE + r"*[^\W\d_])[\s\S])+").findall
 
@@ -64,9 +79,9 @@ class PieceEncoder:
 
     def parts_of(self, segment: str) -> list[str]:
         """Runs of letters and of other characters, where no piece joins them."""
+        if segment.lstrip(SPACE).isalpha():
+            return [segment]
         runs = self.runs(segment)
-        if len(runs) == 1:
-            return runs
         out = [runs[0]]
         for run in runs[1:]:
             if out[-1][-1] + run[0] in self.joined:
@@ -75,8 +90,40 @@ class PieceEncoder:
                 out.append(run)
         return out
 
+    def _segment(self, segment: str) -> tuple[int, ...]:
+        parts = self.parts_of(segment)
+        return tuple(chain.from_iterable(map(self.parts.__getitem__, parts))) if len(parts) > 1 else self.parts[segment]
+
+    def _part(self, part: str) -> tuple[int, ...]:
+        self.unchecked.append(part)
+        return tuple(self.merge(part))
+
     def merge(self, segment: str) -> list[int]:
         """Ids of one part by the agenda of adjacent pairs."""
+        sym = self._merge_short(segment) if len(segment) <= LIST_AGENDA else self._merge_long(segment)
+        out: list[int] = []
+        for s in sym:
+            i = self.piece_id.get(s)
+            if i is None:
+                out.extend(self.bytes[b] for b in s.encode())
+            else:
+                out.append(i)
+        return out
+
+    def _merge_short(self, segment: str) -> list[str]:
+        get, sym, none = self.cost.get, list(segment), float("inf")
+        agenda = [get(a + b, none) for a, b in zip(sym, sym[1:])]
+        while agenda and (least := min(agenda)) != none:
+            i = agenda.index(least)  # the leftmost of them
+            sym[i] += sym.pop(i + 1)
+            del agenda[i]
+            if i:
+                agenda[i - 1] = get(sym[i - 1] + sym[i], none)
+            if i < len(agenda):
+                agenda[i] = get(sym[i] + sym[i + 1], none)
+        return sym
+
+    def _merge_long(self, segment: str) -> list[str]:
         cost, sym, n = self.cost, list(segment), len(segment)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         agenda = []
@@ -103,55 +150,36 @@ class PieceEncoder:
                 pair = sym[h] + piece
                 if pair in cost:
                     heapq.heappush(agenda, (cost[pair], h, pair))
-        out: list[int] = []
-        for s in sym:
-            if s is not None:
-                i = self.piece_id.get(s)
-                if i is None:
-                    out.extend(self.bytes[b] for b in s.encode())
-                else:
-                    out.append(i)
-        return out
+        return [s for s in sym if s is not None]
 
-    def _learn(self, segments: set[str]) -> None:
-        """Encode new segments by the agenda; their new parts are checked against the library."""
-        parts, own = self.parts, [(s, self.parts_of(s)) for s in segments]
-        new = list(set(chain.from_iterable(p for _, p in own)).difference(parts))
+    def _check(self, text: str, ids: list[int]) -> None:
+        """Hold the parts that are new since the last check, and one whole text, against the library."""
         # behind a line feed a part stands alone: the first ids are the dummy blank and the feed
         skip = len(self.lib.encode("\n"))
-        for p, want in zip(new, self.lib.encode(["\n" + p.replace(SPACE, " ") for p in new], num_threads=1) if new else ()):
-            parts[p] = ids = self.merge(p)
-            if ids != want[skip:]:
-                raise ValueError(f"part {p!r}: agenda {ids}, library {want[skip:]}")
-        for s, ps in own:
-            ids = parts[ps[0]] if len(ps) == 1 else [*chain.from_iterable([parts[p] for p in ps])]
-            self.ids_of[s] = tuple(ids)
-            self.text_of[s] = " ".join(map(str, ids))
-
-    def cut_batch(self, texts: list[str]) -> list[list[str]]:
-        """Segments of each text, all of them learnt."""
-        cut = [self.segments(t) for t in texts]
-        if len(self.ids_of) > MEMO_SEGMENTS:
-            self.ids_of.clear(), self.text_of.clear()
-        if len(self.parts) > MEMO_PARTS:
-            self.parts.clear()
-        new = set(chain.from_iterable(cut)).difference(self.ids_of)
-        if new:
-            self._learn(new)
-        if texts and self.ids(cut[0])[:-1] != (want := self.lib.encode(texts[0])):
-            raise ValueError(f"ids of {texts[0][:80]!r} differ from the library's {want[:20]}")
-        return cut
-
-    def ids(self, segments: list[str]) -> list[int]:
-        """Ids of a text's segments, with the end id."""
-        return [*chain.from_iterable(map(self.ids_of.__getitem__, segments)), self.end]
-
-    def ids_text(self, segments: list[str]) -> str:
-        """The same as decimal numbers joined by one blank."""
-        return " ".join([*map(self.text_of.__getitem__, segments), str(self.end)])
+        for p, want in zip(self.unchecked, self.lib.encode(["\n" + p.replace(SPACE, " ") for p in self.unchecked], num_threads=1) if self.unchecked else ()):
+            if self.parts[p] != tuple(want[skip:]):
+                raise ValueError(f"part {p!r}: agenda {self.parts[p]}, library {want[skip:]}")
+        self.unchecked.clear()
+        if ids[:-1] != (want := self.lib.encode(text)):
+            raise ValueError(f"ids of {text[:80]!r} differ from the library's {want[:20]}")
+
+    def ids_batch(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each text, with the end id."""
+        for memo, most in ((self.known, MEMO_SEGMENTS), (self.parts, MEMO_PARTS)):
+            if len(memo) > most:
+                memo.clear()
+        get = self.known.__getitem__
+        out = [[*chain.from_iterable(map(get, self.segments(t))), self.end] for t in texts]
+        if texts:
+            self._check(texts[0], out[0])
+        return out
+
+    def ids_text(self, ids: list[int]) -> str:
+        """Ids as decimal numbers joined by one blank."""
+        return " ".join(map(self.text_of.__getitem__, ids))
 
     def encode(self, text: str) -> list[int]:
-        return self.ids(self.cut_batch([text])[0])
+        return self.ids_batch([text])[0]
 
     def decode(self, batch: list[list[int]]) -> list[str]:
         return self.lib.decode(batch, num_threads=1)
@@ -186,7 +214,7 @@ def encode_column(text: Column, model_path: str) -> Column:
     def pieces(texts: pa.Array) -> pa.Array:
         enc, out = encoder(model_path), []
         for run in _slices(texts):
-            out += map(enc.ids, enc.cut_batch(run))
+            out += enc.ids_batch(run)
         return pa.array(out, pa.list_(pa.int32()))
     return pieces(text)
 
@@ -206,7 +234,7 @@ def round_trip_column(text: Column, model_path: str) -> Column:
     def both(texts: pa.Array) -> pa.Array:
         enc, ids, decoded = encoder(model_path), [], []
         for run in _slices(texts):
-            lists = [*map(enc.ids, enc.cut_batch(run))]
+            lists = enc.ids_batch(run)
             ids += lists
             decoded += enc.decode(lists)
         return pa.StructArray.from_arrays([pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())], ["ids", "text"])
@@ -225,10 +253,9 @@ def piece_digests(docs: DataFrame, model_path: str) -> DataFrame:
         enc, n, ids, decoded = encoder(model_path), [], [], []
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for run in _slices(texts):
-            rows = enc.cut_batch(run)
-            lists = [*map(enc.ids, rows)]
+            lists = enc.ids_batch(run)
             n += map(len, lists)
-            ids += [sha(enc.ids_text(row)) for row in rows]
+            ids += [sha(enc.ids_text(x)) for x in lists]
             decoded += map(sha, enc.decode(lists))
         return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"])
     return docs.select("doc_id", digest("text").alias("d")).select("doc_id", "d.*")
