@@ -25,6 +25,8 @@ from cadenza.llm.common import BLANKS, LOWER, UPPER, let, materialise, text_of
 
 MIN_CHARS = 20
 MIN_DOCS = 3
+#: Parts of every key in the join that marks its occurrences, so that one common line does not meet in one task.
+SALTS = 8
 
 
 def lines_of(text: Column) -> Column:
@@ -49,7 +51,9 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     """(doc_id, th, n_dropped, keep): map from word number to the keep bits of 64 lines, for documents that lose lines."""
     index = materialise(line_index(docs, min_chars), "lines")
     common = index.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs).drop("n")
-    lost = index.join(common, ["h1", "h2"]).where("doc_id < keeper").select("doc_id", "th", F.explode("positions").alias("pos"))
+    salted = index.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    every = common.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    lost = salted.join(every, ["h1", "h2", "salt"]).where("doc_id < keeper").select("doc_id", "th", F.explode("positions").alias("pos"))
     words = lost.groupBy("doc_id", "th", F.shiftright("pos", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("pos").bitwiseAND(63))).alias("bits"))
     return words.groupBy("doc_id", "th").agg(
         F.sum(F.bit_count("bits")).cast("bigint").alias("n_dropped"),
