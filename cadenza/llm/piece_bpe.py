@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 SPACE = "\u2581"
 #: Entries of a worker's memos of segments and of their parts (about 250 bytes each); a full one is emptied.
-MEMO_SEGMENTS = 600_000
-MEMO_PARTS = 1_000_000
+MEMO_SEGMENTS = 200_000
+MEMO_PARTS = 400_000
 #: Characters up to which the agenda is a plain list: its minimum is found sooner than a heap is kept up.
 LIST_AGENDA = 24
 
