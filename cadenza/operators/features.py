@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from cadenza.operators.aggregates import nan_to_null
 from cadenza.session import bounded_collect
 
-# Vocabularies larger than this are applied by a join instead of a literal array.
-MAX_LITERAL_VOCAB = 2_000
+# Vocabularies up to this are tested word by word in generated code, larger ones in a loop (same result).
+CODEGEN_WORDS = 2_000
 MFCC_DIM = 13
 # Longest vector whose per-position statistics are collected as literals.
 MAX_DIM = 65_536
@@ -70,31 +70,21 @@ def fit_vocab(df: DataFrame, prog: str, sections: Sequence[str] | None = None) -
 
 
 def multihot(df: DataFrame, prog: str, vocab: DataFrame, out: str = "harmonic_vector",
-             sections: Sequence[str] | None = None, key: str | None = None) -> DataFrame:
+             sections: Sequence[str] | None = None) -> DataFrame:
     """V3/V4: 0/1 vector over the vocabulary; chords outside it are ignored.
 
     ``sections=None`` uses every section (batch build); ``['main']`` the new-song rule.
     """
-    toks = chord_tokens(prog, sections)
-    head = vocab.orderBy("idx").limit(MAX_LITERAL_VOCAB + 1).collect()  # bounded by the limit
-    if len(head) <= MAX_LITERAL_VOCAB:
-        words = [r["chord"] for r in head]
-        # tokens computed once per row, then one code-generated membership test per vocabulary word
-        d = df.withColumn("__toks", toks)
-        vec = (F.array(*[F.array_contains(F.col("__toks"), F.lit(w)).cast("int") for w in words])
-               if words else F.array().cast("array<int>"))
-        return d.withColumn(out, vec).drop("__toks")
-    n = vocab.count()
-    # large vocabulary: sparse indices through a (broadcastable) vocabulary join, then densify;
-    # rows are matched back by ``key`` (a unique id column) or a generated row id
-    d = df if key else df.withColumn("__row", F.monotonically_increasing_id())
-    key = key or "__row"
-    idx = (d.select(key, F.explode(F.array_distinct(toks)).alias("chord"))
-             .join(vocab, "chord").groupBy(key).agg(F.collect_set("idx").alias("__i")))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(n - 1)),
-                        lambda i: F.array_contains(F.coalesce("__i", F.array().cast("array<long>")), i).cast("int"))
-    res = d.join(idx, key, "left").withColumn(out, dense).drop("__i")
-    return res.drop("__row") if key == "__row" else res
+    # the vocabulary is as wide as every vector that is returned, so the driver can hold it
+    words = [r["chord"] for r in vocab.select("chord", "idx").orderBy("idx").toLocalIterator()]
+    d = df.withColumn("__toks", chord_tokens(prog, sections))  # computed once per row
+    if not words:
+        vec = F.array().cast("array<int>")
+    elif len(words) <= CODEGEN_WORDS:  # the same test per word; only small vocabularies fit generated code
+        vec = F.array(*[F.array_contains("__toks", F.lit(w)).cast("int") for w in words])
+    else:
+        vec = F.transform(F.lit(words), lambda w: F.array_contains("__toks", w).cast("int"))
+    return d.withColumn(out, vec).drop("__toks")
 
 
 # ---------------------------------------------------------------- scaling

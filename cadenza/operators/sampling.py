@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Items per bucket of the random-recommendation draw.
-BUCKET_ROWS = 4096
+# Items per hash range while a catalogue is numbered (a matter of the plan only).
+RANGE_ROWS = 4096
+# Draws beyond k, for positions drawn twice.
+SPARE_DRAWS = 16
 
 
 def hash32(*parts) -> Column:
@@ -43,31 +45,46 @@ def weighted_sample(df: DataFrame, group: str, item: str, weight: Column, n: int
     return keyed.withColumn("draw_rank", F.row_number().over(w)).where(F.col("draw_rank") <= n)
 
 
+def hash52(*parts) -> Column:
+    """Unsigned 52-bit draw, for positions in catalogues of any size."""
+    s = F.concat_ws(":", *[p if isinstance(p, Column) else F.lit(str(p)) for p in parts])
+    return F.conv(F.substring(F.md5(s), 1, 13), 16, 10).cast("long")
+
+
+def dense_order(items: DataFrame, id_col: str, n: int, salt: int) -> DataFrame:
+    """(rec_id, pos): positions 0 .. n-1 in a hashed order over the whole table.
+
+    Ranges of the hash are numbered on their own; a running sum over the range
+    sizes (one row for each ``RANGE_ROWS`` items) gives their offsets.
+    """
+    nb = max(1, n // RANGE_ROWS)
+    it = items.select(F.col(id_col).alias("rec_id"), hash32("rk", salt, F.col(id_col)).alias("hk"))
+    it = it.withColumn("b", F.floor(F.col("hk") * F.lit(float(nb)) / F.lit(4294967296.0)).cast("long"))
+    it = it.withColumn("at", F.row_number().over(Window.partitionBy("b").orderBy("hk", "rec_id")) - 1)
+    sizes = it.groupBy("b").agg(F.count(F.lit(1)).alias("sz"))
+    before = F.sum("sz").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("b", F.coalesce(before, F.lit(0)).alias("off"))
+    return it.join(offsets, "b").select("rec_id", (F.col("off") + F.col("at")).alias("pos"))
+
+
 def random_recs(items: DataFrame, seeds: DataFrame, *, id_col: str, seed_col: str, k: int,
                 salt: int = 42) -> DataFrame:
     """K random other items per seed, without replacement.
 
-    Items are hashed into buckets of about ``BUCKET_ROWS`` and numbered in a
-    hashed order inside each bucket; a seed draws a bucket and an offset and
-    takes k + 1 consecutive positions (dropping itself).  Each seed produces
-    k + 1 candidate rows, found by an equi-join on (bucket, position), so the
-    work is linear in seeds and no seed x item pair is formed.
+    Items are numbered in a hashed order; a seed draws ``k + SPARE_DRAWS``
+    positions independently over the whole catalogue, then k + 1 consecutive
+    ones from a random start, which fill up where draws coincide.  The first
+    k + 1 distinct positions are looked up by an equi-join and the seed itself
+    is dropped, so every seed gets min(k, n - 1) items and the work is linear
+    in the seeds.
     """
     n = items.count()
-    nb = max(1, n // BUCKET_ROWS)
-    it = items.select(F.col(id_col).alias("rec_id"),
-                      F.pmod(hash32("rb", salt, F.col(id_col)), F.lit(nb)).alias("b"),
-                      hash32("rk", salt, F.col(id_col)).alias("hk"))
-    wpos = Window.partitionBy("b").orderBy("hk", "rec_id")
-    it = it.withColumn("pos", F.row_number().over(wpos) - 1)
-    sizes = it.groupBy("b").agg(F.count(F.lit(1)).alias("sz"))
-    s = seeds.select(F.col(seed_col).alias("seed_id"),
-                     F.pmod(hash32("sb", salt, F.col(seed_col)), F.lit(nb)).alias("b"),
-                     hash32("so", salt, F.col(seed_col)).alias("ho"))
-    s = s.join(sizes, "b")
-    s = s.withColumn("t", F.explode(F.sequence(F.lit(0), F.least(F.lit(k), F.col("sz") - 1))))
-    s = s.withColumn("pos", F.pmod(F.pmod(F.col("ho"), F.col("sz")) + F.col("t"), F.col("sz")))
-    j = s.join(it.select("b", "pos", "rec_id"), ["b", "pos"]).where(F.col("rec_id") != F.col("seed_id"))
+    seed = F.col(seed_col)
+    draws = F.transform(F.sequence(F.lit(0), F.lit(k + SPARE_DRAWS - 1)), lambda t: F.pmod(hash52("rd", salt, seed, t), F.lit(max(n, 1))))
+    fill = F.transform(F.sequence(F.lit(k + SPARE_DRAWS), F.lit(2 * k + SPARE_DRAWS)), lambda t: F.pmod(hash52("so", salt, seed) + t, F.lit(max(n, 1))))
+    drawn = F.slice(F.array_distinct(F.concat(draws, fill)), 1, k + 1)
+    s = seeds.select(seed.alias("seed_id"), F.posexplode(drawn).alias("t", "pos"))
+    j = s.join(dense_order(items, id_col, n, salt), "pos").where(F.col("rec_id") != F.col("seed_id"))
     w = Window.partitionBy("seed_id").orderBy("t")
     return (j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
              .select("seed_id", "rec_id", "rank"))

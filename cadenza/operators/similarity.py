@@ -67,6 +67,8 @@ def _local_topk(qid, cid, S, k, metric, exclude_self, qgrp=None, cgrp=None):
         return None
     m, n_c = S.shape
     val = S if metric in ("cosine", "dot") else -S  # larger is better
+    if (nan := np.isnan(val)).any():  # a NaN score is no neighbour and must not take a place
+        val = np.where(nan, -np.inf, val)
     if exclude_self or qgrp is not None:
         if val is S:
             val = S.copy()

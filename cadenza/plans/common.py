@@ -42,6 +42,27 @@ def h_sql(expr: str) -> str:
     return f"('0x' || substr(md5({expr}), 1, 8))::BIGINT"
 
 
+def random_sql(source: str, id_col: str, k: int, salt: int, name: str) -> str:
+    """DuckDB spelling of ``sampling.random_recs`` as table ``name``(seed_id, rec_id, rank)."""
+    from cadenza.operators.sampling import SPARE_DRAWS
+    draws = k + SPARE_DRAWS
+    h52 = lambda e: f"('0x' || substr(md5({e}), 1, 13))::BIGINT"
+    rk = h_sql(f"'rk:{salt}:' || {id_col}")
+    return (
+        f"{name}_it AS (SELECT {id_col} AS rec_id, row_number() OVER (ORDER BY {rk}, {id_col}) - 1 AS pos FROM {source}), "
+        f"{name}_n AS (SELECT count(*) AS n FROM {source}), "
+        f"{name}_t AS (SELECT {id_col} AS seed_id, n, unnest(range(0, {draws + k + 1})) AS t FROM {source}, {name}_n), "
+        f"{name}_d AS (SELECT seed_id, t, CASE WHEN t < {draws} THEN " + h52(f"'rd:{salt}:' || seed_id || ':' || t")
+        + " % n ELSE (" + h52(f"'so:{salt}:' || seed_id") + f" + t) % n END AS pos FROM {name}_t), "
+        f"{name}_u AS (SELECT seed_id, pos, min(t) AS t FROM {name}_d GROUP BY 1, 2), "
+        f"{name}_j AS (SELECT u.seed_id, it.rec_id, u.t FROM {name}_u u JOIN {name}_it it ON u.pos = it.pos WHERE it.rec_id <> u.seed_id), "
+        f"{name} AS (SELECT seed_id, rec_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY seed_id ORDER BY t) AS rank FROM {name}_j) WHERE rank <= {k})")
+
+
+# DuckDB: every purchase as a like
+ALL_LIKES_SQL = ("likes AS (SELECT DISTINCT o.o_custkey AS user_id, l.l_partkey AS item_id FROM lineitem l JOIN orders o "
+                 "ON l.l_orderkey = o.o_orderkey)")
+
 # DuckDB: audio vectors of the catalogue songs, same construction as song_items
 AV_SQL = (
     "s AS (SELECT p_partkey AS song_id, p_type AS genre, p_size, p_retailprice, "

@@ -458,27 +458,13 @@ ALL_MODELS = ["Random", "Simple Audio", "SOTA Text (Cross-Encoder)", "Item-Based
 
 
 def _all_models_sql():
-    from cadenza.plans.common import AV_SQL, LIKES_SQL, h_sql
+    from cadenza.plans.common import ALL_LIKES_SQL, AV_SQL, random_sql
     from cadenza.plans.evaluation import _CF_SQL, _METRICS_SQL
     from cadenza.plans.text import _SPLIT
     q = lambda s: "'" + s + "'"
 
     def rnd(k, salt, name):
-        return (
-            f"{name}_nb AS (SELECT greatest(1, count(*) // 4096) AS nb FROM lib), "
-            f"{name}_it0 AS (SELECT song_id AS rec_id, {h_sql(q(f'rb:{salt}:') + ' || song_id')} % nb AS b, "
-            f"{h_sql(q(f'rk:{salt}:') + ' || song_id')} AS hk FROM lib, {name}_nb), "
-            f"{name}_it AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY hk, rec_id) - 1 AS pos FROM {name}_it0), "
-            f"{name}_sz AS (SELECT b, count(*) AS sz FROM {name}_it GROUP BY b), "
-            f"{name}_s0 AS (SELECT song_id AS seed_id, {h_sql(q(f'sb:{salt}:') + ' || song_id')} % nb AS b, "
-            f"{h_sql(q(f'so:{salt}:') + ' || song_id')} AS ho FROM lib, {name}_nb), "
-            f"{name}_s1 AS (SELECT s0.seed_id, s0.b, s0.ho, z.sz, unnest(range(0, least({k}, z.sz - 1) + 1)) AS t "
-            f"FROM {name}_s0 s0 JOIN {name}_sz z ON s0.b = z.b), "
-            f"{name}_s2 AS (SELECT seed_id, b, t, ((ho % sz) + t) % sz AS pos FROM {name}_s1), "
-            f"{name}_rj AS (SELECT s2.seed_id, it.rec_id, s2.t FROM {name}_s2 s2 JOIN {name}_it it ON s2.b = it.b AND s2.pos = it.pos "
-            f"WHERE it.rec_id <> s2.seed_id), "
-            f"{name} AS (SELECT seed_id, rec_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY seed_id ORDER BY t) AS rank "
-            f"FROM {name}_rj) WHERE rank <= {k})")
+        return random_sql("lib", "song_id", k, salt, name)
 
     tok = (f"SELECT song_id AS doc, unnest(list_filter(regexp_split_to_array(lower(coalesce(lyrics, '')), '{_SPLIT}'), "
            f"lambda t: length(t) > 0)) AS tok FROM ldocs")
@@ -510,7 +496,7 @@ def _all_models_sql():
                .replace("JOIN av va ON", "JOIN iv va ON").replace("JOIN av vb ON", "JOIN iv vb ON")
                .replace("FROM av)", "FROM iv)"))
     return (
-        f"WITH {LIB_SQL}, {AV_SQL}, {LIKES_SQL}, "
+        f"WITH {LIB_SQL}, {AV_SQL}, {ALL_LIKES_SQL}, "
         "likes_l AS (SELECT * FROM likes WHERE item_id IN (SELECT song_id FROM lib)), "
         "iv AS (SELECT song_id, genre, a AS vec FROM lib), "
         f"{rnd(10, 42, 'rnd')}, {rnd(100, 7, 'tcand')}, {text}, {aud}, {cf}, "
@@ -525,12 +511,12 @@ def eva_compare_all_models(spark, sf):
     """E7 on the scored library: all seven recommenders on every seed, macro-averaged metrics.
 
     Random, raw-audio cosine, shared-token text re-rank of 100 random candidates, item CF
-    on the sampled likes, and the model's audio / lyric / balanced modes.
+    on all purchases, and the model's audio / lyric / balanced modes.
     """
     from cadenza.operators import evaluate as E
     from cadenza.operators.recommend import item_cf, text_rerank
     from cadenza.operators.sampling import random_recs
-    from cadenza.plans.common import sampled_likes
+    from cadenza.sources.tables import interactions
     s = scored(spark, sf).cache()
     items = s.select(F.col("song_id").alias("item_id"), "genre", F.col("audio").alias("vec"))
     ids = items.select("item_id")
@@ -542,7 +528,7 @@ def eva_compare_all_models(spark, sf):
     docs = s.select("song_id").join(d, "song_id", "left").withColumn("lyrics", F.coalesce("lyrics", F.lit("")))
     cands = random_recs(ids, ids, id_col="item_id", seed_col="item_id", k=100, salt=7).select("seed_id", "rec_id")
     parts.append(("SOTA Text (Cross-Encoder)", text_rerank(cands, docs, k=10, id_col="song_id", text_col="lyrics")))
-    likes = sampled_likes(spark, sf).join(ids.withColumnRenamed("item_id", "item_id"), "item_id", "left_semi")
+    likes = interactions(spark, sf).join(ids, "item_id", "left_semi")
     parts.append(("Item-Based CF", item_cf(likes, k=10)))
     for name, mode in (("Our Model (Audio Focus)", "audio_focus"), ("Our Model (Lyric Focus)", "lyric_focus"),
                        ("Our Model (Balanced)", "balanced")):

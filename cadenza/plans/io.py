@@ -66,8 +66,8 @@ def _write_charts(spark, sf):
     rows = (li.join(o, li.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey)
               .join(n, c.c_nationkey == n.n_nationkey).join(p, li.l_partkey == p.p_partkey)
               .select(F.lower("n_name").alias("country"), F.year("o_orderdate").alias("year"),
-                      F.concat(F.lit(" "), F.col("p_brand")).alias("artist"), F.col("p_name").alias("song_name"),
-                      F.col("l_partkey").cast("string").alias("song_id")))
+                      F.lit("1").alias("rank"), F.col("l_partkey").cast("string").alias("song_id"),
+                      F.concat(F.lit(" "), F.col("p_brand")).alias("artist"), F.col("p_name").alias("song_name")))
     root = shared_path(spark, "charts")
     rows.write.partitionBy("country", "year").option("header", True).option("sep", "\t").csv(root)
     return root
@@ -97,9 +97,9 @@ def _hits_frame(spark, sf):
     p = read_table(spark, sf, "part")
     feats = [F.concat(F.lit(" "), (F.col("p_size") + F.lit(i)).cast("string")).alias(c)
              for i, c in enumerate(S.HIT_FEATURES)]
-    return p.select(F.concat(F.col("p_brand"), F.lit("  ")).alias("artist_name"),
+    return p.select(F.col("p_partkey").cast("string").alias("song_id"), F.lit("x").alias("extra"), *feats[::-1],
                     F.concat(F.lit(" "), F.col("p_name")).alias("song_name"),
-                    F.col("p_partkey").cast("string").alias("song_id"), *feats)
+                    F.concat(F.col("p_brand"), F.lit("  ")).alias("artist_name"))
 
 
 @query("src_hits_tsv", sql="SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS title, p_brand AS artist, "
@@ -121,7 +121,7 @@ def src_tracks_csv(spark, sf):
     p = read_table(spark, sf, "part")
     out = p.select(F.col("p_partkey").cast("string").alias("id"),
                    F.concat(F.lit("  "), F.col("p_name"), F.lit(' "'), F.col("p_type"), F.lit('"\n'), F.col("p_brand")).alias("name"),
-                   F.concat(F.col("p_brand"), F.lit(" ")).alias("artists"),
+                   F.lit("an album").alias("album"), F.concat(F.col("p_brand"), F.lit(" ")).alias("artists"),
                    *[(F.col("p_size") + F.lit(i)).cast("string").alias(c) for i, c in enumerate(S.TRACK_COLS[3:])])
     path = shared_path(spark, "tracks")
     out.write.option("header", True).option("quote", '"').option("escape", '"').option("quoteAll", True).csv(path)
@@ -146,8 +146,8 @@ def src_mixed_delim(spark, sf):
 
 
 @query("src_feature_csv", sql="""
-SELECT 'vec' || vec_id || '.wav' AS filename, 'g' || label AS label, 8 AS n_features,
-       round(list_sum(CAST(embedding AS DOUBLE[])[1:8]), 6) AS f_sum FROM embeddings
+SELECT 'vec' || vec_id || '.wav' AS filename, 'g' || label AS label, 64 AS n_features,
+       round(list_sum(CAST(embedding AS DOUBLE[])), 6) AS f_sum FROM embeddings
 """)
 def src_feature_csv(spark, sf):
     """Labelled feature CSV; every column but filename/label/length is a feature."""
@@ -155,7 +155,7 @@ def src_feature_csv(spark, sf):
     v = F.col("embedding").cast("array<double>")
     out = e.select(F.concat(F.lit("vec"), F.col("vec_id").cast("string"), F.lit(".wav")).alias("filename"),
                    F.concat(F.lit("g"), F.col("label").cast("string")).alias("label"), F.lit(30).alias("length"),
-                   *[v[i].alias(f"f{i + 1}") for i in range(8)])
+                   *[v[i].alias(f"f{i + 1}") for i in range(64)])
     path = shared_path(spark, "features")
     out.write.option("header", True).csv(path)
     r = S.read_feature_csv(spark, path)

@@ -26,24 +26,16 @@ def rec_raw_vector(spark, sf_dir, k=5):
                     F.col("rank").cast("long").alias("rank"))
 
 
-def _seed_sample_sql(n):
-    from cadenza.plans.common import h_sql
-    return (f"sd AS (SELECT vec_id FROM embeddings ORDER BY {h_sql(chr(39) + 'seed:42:' + chr(39) + ' || vec_id')}, "
-            f"vec_id LIMIT {n})")
-
-
 @query("join_all_pairs_similarity", sql=f"""
-WITH {_E}, {_seed_sample_sql(100)},
+WITH {_E},
 p AS (SELECT a.vec_id AS seed_id, b.vec_id AS rec_id, list_cosine_similarity(a.v, b.v) AS s
-      FROM e a JOIN sd ON sd.vec_id = a.vec_id JOIN e b ON a.vec_id <> b.vec_id),
+      FROM e a JOIN e b ON a.vec_id <> b.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY seed_id ORDER BY round(s, 9) DESC, rec_id) AS rank FROM p)
 SELECT seed_id, rec_id, round(s, 6) AS score, rank FROM r WHERE rank <= 10
 """)
-def join_all_pairs_similarity(spark, sf, n_seeds=100, k=10):
-    """A table of seeds against every vector (seeds strategy: size-checked broadcast of the seed matrix)."""
-    from cadenza.operators.sampling import sample_seeds
+def join_all_pairs_similarity(spark, sf, k=10):
+    """A table of seeds (every vector) against every vector; the strategy follows the checked size of the seeds."""
     v = vectors(spark, sf)
-    seeds = sample_seeds(v, "item_id", n_seeds, 42)
-    r = similarity_topk(seeds, v, k=k, q_id="item_id", q_vec="vec", c_id="item_id", c_vec="vec",
+    r = similarity_topk(v, v, k=k, q_id="item_id", q_vec="vec", c_id="item_id", c_vec="vec",
                         exclude_self=True, strategy="auto")
     return r.select("seed_id", "rec_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))

@@ -6,6 +6,7 @@ fill in settings that are still unset (tests and local runs).
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -40,12 +41,15 @@ def get_spark(master: str = "local[8]", app: str = "cadenza", **conf: str) -> Sp
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
-    ``spark.checkpoint.dir`` is read from the session.  Only when it is
-    unset (local tests) a private folder is created and registered.
+    ``spark.checkpoint.dir`` is read from the session.  Only when it is unset
+    and the master is local (tests) a private folder is created; on a cluster
+    the executors would not see it, so there it must be named.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="cadenza-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if not sc.getCheckpointDir():

@@ -17,6 +17,22 @@ from cadenza.functions import text as T
 SCALARS = ["bpm", "danceability", "energy", "acousticness", "instrumentalness", "liveness",
            "loudness", "speechiness", "valence"]
 
+def read_by_header(spark: SparkSession, path: str, sep: str = ",", **options) -> DataFrame:
+    """Delimited text with every column as text, named by the header line.
+
+    The schema comes from the header of one file; a file whose header differs
+    raises instead of binding its columns to other names.
+    """
+    reader = lambda: spark.read.option("header", True).option("sep", sep).options(**options)
+    names = reader().csv(path).columns
+    return reader().option("enforceSchema", False).schema(StructType([StructField(c, StringType()) for c in names])).csv(path)
+
+
+def named(df: DataFrame, name: str) -> Column:
+    """A column by its header name; '' where the header has no such name."""
+    return F.col(f"`{name}`") if name in df.columns else F.lit("")
+
+
 SONG_JSON_SCHEMA = StructType(
     [StructField(c, StringType()) for c in ("title", "artist", "genre", "popularity")]
     + [StructField(c, StringType()) for c in SCALARS]
@@ -55,6 +71,8 @@ def read_title_artist_pairs(spark: SparkSession, path: str, multiline: bool = Tr
     """Distinct (artist, title) of all objects having both keys; error when no file."""
     df = spark.read.schema("title string, artist string").option("multiLine", multiline) \
         .option("pathGlobFilter", "*.json").json(path)
+    if not df.inputFiles():
+        raise FileNotFoundError(f"no .json file in {path}")
     return df.where(F.col("title").isNotNull() & F.col("artist").isNotNull()) \
              .select("artist", "title").distinct()
 
@@ -63,24 +81,20 @@ def read_charts(spark: SparkSession, root: str, years: Iterable[int] | None = No
                 countries: Iterable[str] | None = None) -> DataFrame:
     """Tab-separated weekly charts under ``root/<country>/<year>/*``.
 
-    One multi-path read; year and country come from the path and the
-    requested ones are kept by a filter (no per-directory loop).
+    Year and country come from the path.  Only the folders asked for are
+    listed and read ('country=x/year=y' folders are accepted too); files
+    elsewhere under ``root`` are no charts.  Columns
+    are bound by header name.
     """
-    df = (spark.read.option("header", True).option("sep", "\t")
-          .schema("artist string, song_name string, song_id string")
-          .option("recursiveFileLookup", True).csv(root))
-    p = F.col("_metadata.file_path")
-    # <root>/<country>/<year>/<file>; hive-style 'country=x/year=y' folders are accepted too
+    glob = lambda xs: "{" + ",".join(f"{x},*={x}" for x in xs) + "}"
+    country = glob(countries) if countries is not None else "*"
     pat = r"/(?:[A-Za-z_]+=)?([^/=]+)/(?:[A-Za-z_]+=)?([0-9]{4})/[^/]+$"
-    df = df.select(T.standardise("artist").alias("artist"),
-                   T.standardise("song_name").alias("title"), T.standardise("song_id").alias("song_id"),
-                   F.regexp_extract(p, pat, 1).alias("country"),
-                   F.regexp_extract(p, pat, 2).cast("int").alias("year"))
-    if years is not None:
-        df = df.where(F.col("year").isin(list(years)))
-    if countries is not None:
-        df = df.where(F.col("country").isin(list(countries)))
-    return df
+    df = read_by_header(spark, f"{root}/{country}/{glob(years if years is not None else ['[0-9][0-9][0-9][0-9]'])}", sep="\t", recursiveFileLookup=True)
+    p = F.col("_metadata.file_path")
+    return df.select(T.standardise(named(df, "artist")).alias("artist"), T.standardise(named(df, "song_name")).alias("title"),
+                     T.standardise(named(df, "song_id")).alias("song_id"),
+                     F.regexp_extract(p, pat, 1).alias("country"), F.regexp_extract(p, pat, 2).try_cast("int").alias("year")) \
+             .where(F.col("year").isNotNull())
 
 
 HIT_FEATURES = ["acousticness", "danceability", "energy", "instrumentalness", "liveness", "loudness",
@@ -89,12 +103,10 @@ HIT_FEATURES = ["acousticness", "danceability", "energy", "instrumentalness", "l
 
 def read_hits_tsv(spark: SparkSession, path: str) -> DataFrame:
     """Hit-song TSV; id/title/artist trimmed, the 11 features kept as text."""
-    cols = ["artist_name", "song_name", "song_id"] + HIT_FEATURES
-    df = spark.read.option("header", True).option("sep", "\t") \
-        .schema(StructType([StructField(c, StringType()) for c in cols])).csv(path)
-    return df.select(T.standardise("song_id").alias("id"), T.standardise("song_name").alias("title"),
-                     T.standardise("artist_name").alias("artist"),
-                     *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in HIT_FEATURES])
+    df = read_by_header(spark, path, sep="\t")
+    return df.select(T.standardise(named(df, "song_id")).alias("id"), T.standardise(named(df, "song_name")).alias("title"),
+                     T.standardise(named(df, "artist_name")).alias("artist"),
+                     *[F.coalesce(named(df, c), F.lit("")).alias(c) for c in HIT_FEATURES])
 
 
 TRACK_COLS = ["id", "name", "artists", "danceability", "energy", "key", "loudness", "mode", "speechiness",
@@ -103,10 +115,9 @@ TRACK_COLS = ["id", "name", "artists", "danceability", "energy", "key", "loudnes
 
 def read_tracks_csv(spark: SparkSession, path: str) -> DataFrame:
     """S6 + P1: comma CSV with quoted multi-line fields; 14 columns renamed and trimmed."""
-    df = (spark.read.option("header", True).option("quote", '"').option("escape", '"')
-          .option("multiLine", True).schema(StructType([StructField(c, StringType()) for c in TRACK_COLS])).csv(path))
+    df = read_by_header(spark, path, quote='"', escape='"', multiLine=True)
     ren = {"name": "title", "artists": "artist"}
-    return df.select(*[T.standardise(c).alias(ren.get(c, c)) for c in TRACK_COLS])
+    return df.select(*[T.standardise(named(df, c)).alias(ren.get(c, c)) for c in TRACK_COLS])
 
 
 _QUOTED = r'^"((?:[^"]|"")*)"(.*)$'
@@ -151,11 +162,13 @@ def read_mixed_delim(spark: SparkSession, path: str,
 
 def read_feature_csv(spark: SparkSession, path: str, id_cols=("filename", "label", "length")) -> DataFrame:
     """Labelled feature CSV -> (filename, label, features array<double>)."""
-    df = spark.read.option("header", True).option("inferSchema", True).csv(path)
+    df = read_by_header(spark, path)
     feats = [c for c in df.columns if c not in id_cols]
     if not feats:
         raise ValueError("feature CSV has no feature columns")
-    return df.select("filename", "label", F.array(*[F.col(c).cast("double") for c in feats]).alias("features"))
+    if df.isEmpty():
+        raise ValueError(f"no rows in {path}")
+    return df.select("filename", "label", F.array(*[F.col(f"`{c}`").try_cast("double") for c in feats]).alias("features"))
 
 
 def read_prepped(spark: SparkSession, path: str) -> DataFrame:

@@ -276,3 +276,50 @@ def test_assign_nearest_matches_numpy(spark):
         d = {l: round(float(((X[i] - c) ** 2).sum()), 9) for l, c in C.items()}
         best = min(sorted(d), key=lambda l: d[l])
         assert got[i] == best
+
+
+def test_random_draws_reach_the_whole_catalogue(spark):
+    from cadenza.operators.sampling import random_recs
+    items = spark.range(10_000).withColumnRenamed("id", "i")
+    rows = random_recs(items, items, id_col="i", seed_col="i", k=10, salt=1).collect()
+    per = {}
+    for r in rows:
+        per.setdefault(r["seed_id"], []).append(r["rec_id"])
+    assert len(per) == 10_000 and all(len(set(v)) == 10 and s not in v for s, v in per.items())
+    assert len({r["rec_id"] for r in rows}) > 9_990  # every part of the catalogue is drawn
+    few = items.where("i < 5")
+    got = random_recs(few, few, id_col="i", seed_col="i", k=10, salt=1).groupBy("seed_id").count().collect()
+    assert all(r["count"] == 4 for r in got)
+
+
+def test_nan_vector_takes_no_place(spark):
+    from cadenza.operators.similarity import similarity_topk
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [float("nan"), 1.0]), (4, [0.0, 1.0]), (5, [0.5, 0.5])], "i long, v array<double>")
+    out = {}
+    for strategy in ("block", "seeds"):
+        r = similarity_topk(df, df, k=2, q_id="i", q_vec="v", c_id="i", c_vec="v", exclude_self=True, strategy=strategy)
+        out[strategy] = sorted((x["seed_id"], x["rec_id"]) for x in r.collect())
+    assert out["block"] == out["seeds"] and sum(s == 1 for s, _ in out["block"]) == 2
+
+
+def test_checkpoint_dir_must_be_named_on_a_cluster():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from cadenza.session import ensure_checkpoint_dir
+
+    class Conf(dict):
+        def set(self, k, v):
+            self[k] = v
+
+    def session(master):
+        sc = SimpleNamespace(master=master, _dir=None)
+        sc.getCheckpointDir = lambda: sc._dir
+        sc.setCheckpointDir = lambda d: setattr(sc, "_dir", d)
+        return SimpleNamespace(sparkContext=sc, conf=Conf())
+
+    assert ensure_checkpoint_dir(session("local[2]"))
+    for master in ("yarn", "local-cluster[2,1,1024]", "spark://host:7077"):
+        with pytest.raises(ValueError):
+            ensure_checkpoint_dir(session(master))

@@ -3,6 +3,8 @@ import json
 import os
 import tempfile
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from cadenza.operators import features as V
@@ -67,14 +69,52 @@ def test_columns_by_header_short_row(spark):
     assert "bpm" in S.missing_headers(spark, ["#", "Track", "Artist"])
 
 
-def test_multihot_join_path_equals_literal_path(spark, monkeypatch):
+def test_multihot_above_the_codegen_size(spark, monkeypatch):
     df = spark.createDataFrame([(1, {"main": "C - G", "b": "Am"}), (2, {"main": "F"}), (3, None)],
                                "id int, prog map<string,string>")
     vocab = V.fit_vocab(df, "prog")
-    lit = {r["id"]: r["h"] for r in V.multihot(df, "prog", vocab, "h").collect()}
-    monkeypatch.setattr(V, "MAX_LITERAL_VOCAB", 1)
-    joined = {r["id"]: r["h"] for r in V.multihot(df, "prog", vocab, "h", key="id").collect()}
-    assert lit == joined
+    small = {r["id"]: r["h"] for r in V.multihot(df, "prog", vocab, "h").collect()}
+    monkeypatch.setattr(V, "CODEGEN_WORDS", 1)
+    assert small == {r["id"]: r["h"] for r in V.multihot(df.repartition(3), "prog", vocab, "h").collect()}
+
+
+def test_multihot_of_2001_words_on_a_repartitioned_frame(spark):
+    df = spark.range(2001).select("id", F.create_map(F.lit("main"), F.concat(F.lit("c"), F.lpad(F.col("id").cast("string"), 4, "0"))).alias("prog"))
+    vocab = V.fit_vocab(df, "prog")
+    rows = V.multihot(df.repartition(7), "prog", vocab, "h").select("id", F.size("h").alias("n"), (F.array_position("h", 1) - 1).alias("at"),
+                                                                   F.aggregate("h", F.lit(0), lambda a, x: a + x).alias("ones")).collect()
+    assert len(rows) == 2001 and all((r["n"], r["at"], r["ones"]) == (2001, r["id"], 1) for r in rows)
+
+
+def _tsv(path, text):
+    path.parent.mkdir(parents=True, exist_ok=True)
+    path.write_text(text)
+
+
+def test_delimited_readers_bind_by_header_name(spark, tmp_path):
+    _tsv(tmp_path / "hits" / "a.tsv", "song_id\textra\tenergy\tartist_name\tsong_name\n 7 \tx\t0.5\t A \tT\n")
+    r = S.read_hits_tsv(spark, str(tmp_path / "hits")).first()
+    assert (r["id"], r["artist"], r["title"], r["energy"], r["acousticness"]) == ("7", "A", "T", "0.5", "")
+    _tsv(tmp_path / "tracks" / "t.csv", 'album,id,artists,name,energy\nx,1,"A, B","line one\nline two",0.1\n')
+    r = S.read_tracks_csv(spark, str(tmp_path / "tracks")).first()
+    assert (r["id"], r["artist"], r["title"], r["energy"], r["danceability"]) == ("1", "A, B", "line one\nline two", "0.1", "")
+
+
+def test_charts_skip_stray_files_and_unwanted_folders(spark, tmp_path):
+    _tsv(tmp_path / "de" / "2020" / "w1.tsv", "rank\tsong_name\tartist\tsong_id\n1\tT\t A\t9\n")
+    _tsv(tmp_path / "de" / "2021" / "w1.tsv", "artist\tsong_name\tsong_id\nB\tU\t8\n")
+    _tsv(tmp_path / "notes.txt", "hello\n")
+    _tsv(tmp_path / "de" / "readme" / "x.txt", "hello\n")
+    r = S.read_charts(spark, str(tmp_path), years=[2020])
+    assert [tuple(x) for x in r.collect()] == [("A", "T", "9", "de", 2020)]
+    assert len(r.inputFiles()) == 1  # only the wanted folder is read
+    with pytest.raises(Exception):
+        S.read_charts(spark, str(tmp_path), countries=["fr"]).collect()
+
+
+def test_pairs_need_a_file(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        S.read_title_artist_pairs(spark, str(tmp_path))
 
 
 def test_resolve_link_cases(spark):
