@@ -70,19 +70,17 @@ def _with_centroid(items, cents, vec_col, label_col):
 
 
 def calinski_harabasz(items: DataFrame, vec_col="vec", label_col="label") -> DataFrame:
-    """Q4: (B / (k - 1)) / (W / (n - k)); 1.0 when W is 0 (library rule)."""
-    cents = centroids(items, vec_col, label_col)
-    overall = items.select(array_to_vector(F.col(vec_col).cast("array<double>")).alias("__v")) \
-                   .agg(Summarizer.mean(F.col("__v")).alias("__m")).select(vector_to_array("__m").alias("g"))
-    g = overall.first()["g"]  # one vector of the data dimension
-    glit = F.array(*[F.lit(float(x)) for x in g])
-    b = cents.agg(F.sum(F.col("n") * sqdist(F.col("centroid"), glit)).alias("B"),
-                  F.count(F.lit(1)).alias("k"), F.sum("n").alias("n")).first()
-    w = _with_centroid(items, cents, vec_col, label_col).agg(
-        F.sum(sqdist(F.col("__x"), F.col("centroid"))).alias("W")).first()
-    B, k, n, W = b["B"], b["k"], b["n"], w["W"]
-    val = 1.0 if not W else (B / (k - 1)) / (W / (n - k))
-    return scalar_frame(items.sparkSession, calinski_harabasz=float(val))
+    """Q4: (B / (k - 1)) / (W / (n - k)); 1.0 when W is 0 (library rule), up to rounding."""
+    x = F.col(vec_col).cast("array<double>")
+    square = lambda v: F.aggregate(v, F.lit(0.0), lambda s, y: s + y * y)
+    # one scan: the within and between sums follow from counts, means and sums of squares per label
+    per = (items.select(F.col(label_col).alias("label"), array_to_vector(x).alias("v"), square(x).alias("q"))
+                .groupBy("label").agg(Summarizer.mean(F.col("v")).alias("m"), F.count(F.lit(1)).alias("n"), F.sum("q").alias("q")))
+    t = per.agg(Summarizer.mean(F.col("m"), F.col("n").cast("double")).alias("g"), F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"),
+                F.sum("q").alias("q"), F.sum(F.col("n") * square(vector_to_array("m"))).alias("c"))
+    within, between = F.col("q") - F.col("c"), F.col("c") - F.col("n") * square(vector_to_array("g"))
+    value = F.when(within <= F.lit(1e-12) * F.col("q"), F.lit(1.0)).otherwise((between / (F.col("k") - 1)) / (within / (F.col("n") - F.col("k"))))
+    return t.select(value.alias("calinski_harabasz"))
 
 
 def davies_bouldin(items: DataFrame, vec_col="vec", label_col="label") -> DataFrame:

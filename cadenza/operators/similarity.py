@@ -30,6 +30,7 @@ TASK_BUDGET_BYTES = 256 * 1024 * 1024
 # Largest seed matrix we are willing to broadcast (bytes).
 SEED_BROADCAST_BYTES = 64 * 1024 * 1024
 MIN_BLOCK_ROWS = 256
+PARTITIONS_PER_CORE = 16
 
 _OUT_SCHEMA = "qid long, cid long, score double"
 
@@ -144,6 +145,11 @@ def _seeds_fn(bc, grouped, k, metric, exclude_self):
     return fn
 
 
+def planned_partitions(n_pairs: int, parallelism: int) -> int:
+    """Partitions of the block pairs: a few a core, however many pairs there are (each holds several pairs in turn)."""
+    return max(parallelism, min(n_pairs, PARTITIONS_PER_CORE * parallelism))
+
+
 def block_partitions(left: DataFrame, right: DataFrame, n_pairs: int):
     """Spread the (qb, cb) block pairs over their own partitions.
 
@@ -151,7 +157,7 @@ def block_partitions(left: DataFrame, right: DataFrame, n_pairs: int):
     partition count adaptive execution would coalesce them into a few tasks.
     Both sides get the same hash partitioning, so the cogroup adds no shuffle.
     """
-    n = max(n_pairs, left.sparkSession.sparkContext.defaultParallelism)
+    n = planned_partitions(n_pairs, left.sparkSession.sparkContext.defaultParallelism)
     return left.repartition(n, "qb", "cb"), right.repartition(n, "qb", "cb")
 
 

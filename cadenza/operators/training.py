@@ -27,22 +27,20 @@ from cadenza.functions.vectors import cosine
 from cadenza.operators.model import GatedModel
 from cadenza.operators.sampling import hash32
 
-SALT_BUCKETS = 16
+# Sub-buckets of every group, whatever its size: positions never depend on how many rows there are.
+SALT_BUCKETS = 256
+# Most genres whose sizes are broadcast (a name and two numbers each); more are joined with salt.
+BROADCAST_GENRES = 100_000
 
 
-def dense_positions(df: DataFrame, group: str, order: str, out: str = "pos",
-                    salt_buckets: int = SALT_BUCKETS, target_rows: int = 2_000_000) -> DataFrame:
+def dense_positions(df: DataFrame, group: str, order: str, out: str = "pos", salt_buckets: int = SALT_BUCKETS) -> DataFrame:
     """Dense 0-based position of each row inside its group (skew-safe).
 
-    A group is split into ``max(salt_buckets, ceil(n_g / target_rows))``
-    hashed sub-buckets (sizes from one small aggregate), each ranked
+    A group is split into ``salt_buckets`` hashed sub-buckets, each ranked
     separately and offset by the sizes of the sub-buckets before it, so no
-    task sorts more than about ``target_rows`` rows of one group.
+    task sorts a whole group and no join runs on the group alone.
     """
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
-    n_salt = F.greatest(F.lit(salt_buckets), F.ceil(F.col("__n") / F.lit(target_rows))).cast("long")
-    d = df.join(sizes.select(group, n_salt.alias("__ns")), group)
-    d = d.withColumn("__s", F.pmod(hash32("pos", F.col(order)), F.col("__ns"))).drop("__ns")
+    d = df.withColumn("__s", F.pmod(hash32("pos", F.col(order)), F.lit(salt_buckets)))
     d = d.withColumn("__r", F.row_number().over(Window.partitionBy(group, "__s").orderBy(order)) - 1)
     cnt = d.groupBy(group, "__s").agg(F.count(F.lit(1)).alias("__c"))
     w = Window.partitionBy(group).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
@@ -51,6 +49,14 @@ def dense_positions(df: DataFrame, group: str, order: str, out: str = "pos",
             .drop("__s", "__r", "__o")
 
 
+def _join_genres(df: DataFrame, genres: DataFrame, on: list[str], n: int, salts: int = 64) -> DataFrame:
+    """Join one row a genre to many: broadcast up to a checked count, else salted, as one genre may hold a third of ``df``."""
+    if n <= BROADCAST_GENRES:
+        return df.join(F.broadcast(genres), on)
+    many = genres.withColumn("__j", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return df.withColumn("__j", F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int")).join(many, [*on, "__j"]).drop("__j")
+
+
 def triplets(items: DataFrame, epochs, *, id_col="song_id", genre="genre", seed: int = 42) -> DataFrame:
     """M5: (epoch, anchor, positive, negative) for every item and epoch.
 
@@ -64,7 +70,7 @@ def triplets(items: DataFrame, epochs, *, id_col="song_id", genre="genre", seed:
     n_genres = g_idx.count()  # one number (the genre table is small)
     if n_genres < 2:
         raise ValueError("triplets need at least two genres")
-    a = pos.join(g_idx, genre)
+    a = _join_genres(pos, g_idx, [genre], n_genres)
     a = a.withColumn("epoch", F.explode(F.array(*[F.lit(int(e)) for e in epochs])))
     key = lambda tag: hash32(tag, seed, F.col("epoch"), F.col(id_col))
     r = F.pmod(key("p"), F.greatest(F.col("n_g") - 1, F.lit(1)))
@@ -74,9 +80,9 @@ def triplets(items: DataFrame, epochs, *, id_col="song_id", genre="genre", seed:
     a = a.select("epoch", F.col(id_col).alias("anchor"), genre, ppos.alias("ppos"), ngi.alias("ngi"),
                  key("n").alias("hn"))
     neg_sizes = g_idx.select(F.col("gi").alias("ngi"), F.col("n_g").alias("n_ng"))
-    a = a.join(neg_sizes, "ngi").withColumn("npos", F.pmod(F.col("hn"), F.col("n_ng")))
+    a = _join_genres(a, neg_sizes, ["ngi"], n_genres).withColumn("npos", F.pmod(F.col("hn"), F.col("n_ng")))
     by_pos = pos.select(F.col(genre), F.col("pos").alias("ppos"), F.col(id_col).alias("positive"))
-    by_gi = pos.join(g_idx.select(genre, "gi"), genre).select(F.col("gi").alias("ngi"), F.col("pos").alias("npos"),
+    by_gi = _join_genres(pos, g_idx.select(genre, "gi"), [genre], n_genres).select(F.col("gi").alias("ngi"), F.col("pos").alias("npos"),
                                                                F.col(id_col).alias("negative"))
     return a.join(by_pos, [genre, "ppos"]).join(by_gi, ["ngi", "npos"]).select("epoch", "anchor", "positive", "negative")
 

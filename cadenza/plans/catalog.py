@@ -386,16 +386,15 @@ def prj_safe_filename(spark, sf):
 
 
 @query("flt_required", sql=f"""
-WITH s AS (SELECT coalesce({s_strip("text")}, '') AS title,
-  coalesce({s_strip("CASE WHEN n_chars < 200 THEN ' ' ELSE source END")}, '') AS artist FROM documents)
+WITH s AS (SELECT coalesce(text, '') AS title, CASE WHEN n_chars < 200 THEN '' WHEN n_chars < 400 THEN ' ' ELSE coalesce(source, '') END AS artist FROM documents)
 SELECT count(*) AS n_total, CAST(count_if(length(title) > 0 AND length(artist) > 0) AS BIGINT) AS n_kept,
        CAST(count_if(NOT (length(title) > 0 AND length(artist) > 0)) AS BIGINT) AS n_skipped FROM s
 """)
 def flt_required(spark, sf):
     """P20: rows with empty title or artist are skipped and counted."""
     d = read_table(spark, sf, "documents")
-    s = d.select(T.standardise("text").alias("title"),
-                 T.standardise(F.when(F.col("n_chars") < 200, F.lit(" ")).otherwise(F.col("source"))).alias("artist"))
+    artist = F.when(F.col("n_chars") < 200, F.lit("")).when(F.col("n_chars") < 400, F.lit(" ")).otherwise(F.coalesce("source", F.lit("")))
+    s = d.select(F.coalesce("text", F.lit("")).alias("title"), artist.alias("artist"))  # as they stand: blanks are not empty
     ok = (F.length("title") > 0) & (F.length("artist") > 0)
     return s.agg(F.count(F.lit(1)).alias("n_total"), F.count_if(ok).alias("n_kept"),
                  F.count_if(~ok).alias("n_skipped"))

@@ -146,6 +146,8 @@ def explanation(mode: str, overall, audio_sim, text_sim, seed_alpha):
         reason = _fill(EXPLAIN_SONIC, a=a)
     elif mode == "lyric_focus":
         reason = _fill(EXPLAIN_LYRIC, t=t)
+    elif mode != "balanced":
+        reason = _fill(EXPLAIN_BALANCED, a=a, t=t)
     else:
         reason = (F.when(audio_sim > text_sim + MARGIN, _fill(EXPLAIN_SONIC, a=a))
                    .when(text_sim > audio_sim + MARGIN, _fill(EXPLAIN_LYRIC, t=t))
@@ -163,6 +165,8 @@ def _explain_sql(mode):
         reason = sonic
     elif mode == "lyric_focus":
         reason = lyric
+    elif mode != "balanced":
+        reason = bal
     else:
         reason = f"CASE WHEN asim > tsim + {MARGIN} THEN {sonic} WHEN tsim > asim + {MARGIN} THEN {lyric} ELSE {bal} END"
     return (f"'  - Overall Match Score: ' || {o} || chr(10) || {reason} || chr(10) || '    - Insight: Your song is ' || {al} || "

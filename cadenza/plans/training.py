@@ -18,7 +18,7 @@ EPOCHS = [0, 1, 2]
 
 def _pos_sql(base):
     return (
-        f"tsb AS (SELECT song_id, genre, {h_sql(chr(39) + 'pos:' + chr(39) + ' || song_id')} % 16 AS sb FROM {base}), "
+        f"tsb AS (SELECT song_id, genre, {h_sql(chr(39) + 'pos:' + chr(39) + ' || song_id')} % {TR.SALT_BUCKETS} AS sb FROM {base}), "
         "tr AS (SELECT *, row_number() OVER (PARTITION BY genre, sb ORDER BY song_id) - 1 AS r FROM tsb), "
         "tc AS (SELECT genre, sb, count(*) AS c FROM tsb GROUP BY genre, sb), "
         "tof AS (SELECT genre, sb, coalesce(sum(c) OVER (PARTITION BY genre ORDER BY sb ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM tc), "
