@@ -13,7 +13,7 @@ candidate that no pattern took is added where its belief in a kind exceeds
 Training is piecewise: Spark counts, over all documents, how often each
 feature pattern and each pair of labels across chain and skip edges occurs.
 Labels are distant ones: a base match has its kind, another candidate that of
-a base match with the same digits or address in its document.  Node weights
+a base match with the same or similar digits or address in its document.  Node weights
 are a regularised softmax regression on the pattern counts, edge potentials
 are smoothed pointwise mutual information.  The counts have as many rows as
 there are patterns (at most a few thousand), whatever the input.
@@ -162,8 +162,9 @@ def edges_of(nodes: list[Node]) -> list[tuple[int, int, int]]:
 
 
 def distant_labels(nodes: list[Node]) -> list[int]:
-    known = {n.exact: n.kind for n in nodes if n.kind >= 0}
-    return [1 + (n.kind if n.kind >= 0 else known.get(n.exact, -1)) for n in nodes]
+    """Label of each candidate: its base kind, else that of a base match with the same or a similar key."""
+    known = {key: n.kind for n in nodes if n.kind >= 0 for key in (n.similar, n.exact)}
+    return [1 + (n.kind if n.kind >= 0 else known.get(n.exact, known.get(n.similar, -1))) for n in nodes]
 
 
 # ---------------------------------------------------------------------- model
