@@ -1,18 +1,15 @@
 """Vector similarity joins: exact top-k neighbours for whole tables of seeds.
 
-Two exact strategies share one interface:
-
-* ``seeds``  - the seed table is small (checked size): its matrix is
-  broadcast once, the candidate table streams through ``mapInPandas`` and
-  each Arrow batch keeps only its local top-k per seed.
-* ``block``  - both sides are large: rows are hashed into B blocks per side,
-  every (query block, candidate block) pair is one cogroup task that does a
-  dense matrix product and keeps only the local top-k per query row.  Each
-  vector is shuffled B times, no pair row is ever materialised, and the
-  task memory is bounded by the block size, not by the data.
-
-A final ``row_number`` window (planned as WindowGroupLimit, partial before
-the shuffle) merges the per-task candidates into the global top-k.
+Three exact ways share one interface, chosen by checked sizes:
+
+* the seed matrix is small: it is broadcast, the candidate table streams
+  through ``mapInPandas`` and each Arrow batch keeps its top-k per seed;
+* the candidate matrix is small: it is broadcast and the seed table streams;
+* both are large (``block``): seeds are dealt to blocks and never copied, each
+  block reads all candidates as a sorted stream behind its seeds and keeps a
+  running top-k, so a task holds one block of seeds, one batch of candidates
+  and k rows a seed.  No pair row and no per-block partial result is shuffled.
+
 Ordering is ``(round(score, 9), id)`` so ties are deterministic.
 """
 from __future__ import annotations
@@ -25,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadenza.session import spread
+
 # Memory budget of one block task for the dense score matrix (bytes).
 TASK_BUDGET_BYTES = 256 * 1024 * 1024
 # Largest seed matrix we are willing to broadcast (bytes).
@@ -32,6 +31,10 @@ SEED_BROADCAST_BYTES = 64 * 1024 * 1024
 MIN_BLOCK_ROWS = 256
 PARTITIONS_PER_CORE = 16
 
+# Score cells computed at a time, and rows of candidates kept before they are cut to the best.
+SCORE_CELLS = 4_000_000
+KEPT_ROWS = 2_000_000
+
 _OUT_SCHEMA = "qid long, cid long, score double"
 
 
@@ -108,40 +111,73 @@ def _local_topk(qid, cid, S, k, metric, exclude_self, qgrp=None, cgrp=None):
                          "score": np.concatenate(out_s).astype(np.float64)})
 
 
-def _empty():
-    return pd.DataFrame({"qid": pd.Series([], dtype="int64"),
-                         "cid": pd.Series([], dtype="int64"),
-                         "score": pd.Series([], dtype="float64")})
-
-
-def _block_fn(k, metric, exclude_self, grouped):
-    def fn(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return _empty()
-        Q = _as_matrix(left["qvec"])
-        C = _as_matrix(right["cvec"])
-        S = _scores(Q, C, metric)
-        qg = left["qgrp"].to_numpy() if grouped else None
-        cg = right["cgrp"].to_numpy() if grouped else None
-        res = _local_topk(left["qid"].to_numpy(np.int64), right["cid"].to_numpy(np.int64),
-                          S, k, metric, exclude_self, qg, cg)
-        return _empty() if res is None else res
-    return fn
+def _best(qid, Q, qgrp, cid, C, cgrp, k, metric, exclude_self):
+    """Top-k frames of some queries against some candidates, a few score rows at a time."""
+    step = max(1, SCORE_CELLS // max(1, len(cid)))
+    for a in range(0, len(qid), step):
+        b = a + step
+        res = _local_topk(qid[a:b], cid, _scores(Q[a:b], C, metric), k, metric, exclude_self,
+                          None if qgrp is None else qgrp[a:b], cgrp)
+        if res is not None:
+            yield res
+
+
+def _cut_to_best(frames: list, k: int, metric: str) -> pd.DataFrame:
+    """The k best rows per query of several frames."""
+    f = pd.concat(frames, ignore_index=True)
+    key = np.round(f["score"].to_numpy(), 9)
+    f = f.iloc[np.lexsort((f["cid"].to_numpy(), key if metric == "euclidean" else -key, f["qid"].to_numpy()))]
+    return f[f.groupby("qid").cumcount() < k]
+
 
+def _unit(X: np.ndarray, metric: str) -> tuple[np.ndarray, str]:
+    """Rows and metric with cosine turned into a dot product."""
+    return (_unit_rows(X), "dot") if metric == "cosine" else (X, metric)
 
-def _seeds_fn(bc, grouped, k, metric, exclude_self):
+
+def _broadcast_fn(bc, seeds, k, metric, exclude_self):
+    """One side is the broadcast (ids, matrix, groups); the other one streams."""
     def fn(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seed_ids, seed_mat, seed_grp = bc.value  # read once per task on the executor
+        ids, mat, grp = bc.value
+        mat, kind = _unit(mat, metric)
         for pdf in it:
             if pdf.empty:
                 continue
-            C = _as_matrix(pdf["cvec"])
-            S = _scores(seed_mat, C, metric)
-            res = _local_topk(seed_ids, pdf["cid"].to_numpy(np.int64), S, k, metric,
-                              exclude_self, seed_grp if grouped else None,
-                              pdf["cgrp"].to_numpy() if grouped else None)
-            if res is not None:
-                yield res
+            own, X = pdf["id"].to_numpy(np.int64), _unit(_as_matrix(pdf["vec"]), metric)[0]
+            g = pdf["grp"].to_numpy() if grp is not None else None
+            pair = (ids, mat, grp, own, X, g) if seeds else (own, X, g, ids, mat, grp)
+            yield from _best(*pair, k, kind, exclude_self)
+    return fn
+
+
+def _stream_fn(grouped, k, metric, exclude_self):
+    """Blocks one after another: the queries of a block (side 0), then all candidates (side 1)."""
+    def fn(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block, queries, ready, held, rows = None, [], None, [], 0
+        for pdf in it:
+            for (qb, side), part in pdf.groupby(["qb", "side"], sort=True):
+                if qb != block:
+                    if held:
+                        yield _cut_to_best(held, k, metric)
+                    block, queries, ready, held, rows = qb, [], None, [], 0
+                if side == 0:
+                    queries.append(part)
+                    continue
+                if not queries:
+                    continue
+                if ready is None:
+                    q = pd.concat(queries, ignore_index=True)
+                    Q, kind = _unit(_as_matrix(q["vec"]), metric)
+                    ready = q["id"].to_numpy(np.int64), Q, q["grp"].to_numpy() if grouped else None
+                C = _unit(_as_matrix(part["vec"]), metric)[0]
+                for f in _best(*ready, part["id"].to_numpy(np.int64), C, part["grp"].to_numpy() if grouped else None, k, kind, exclude_self):
+                    held.append(f)
+                    rows += len(f)
+                    if rows > KEPT_ROWS + 2 * k * len(ready[0]):
+                        held = [_cut_to_best(held, k, metric)]
+                        rows = len(held[0])
+        if held:
+            yield _cut_to_best(held, k, metric)
     return fn
 
 
@@ -161,17 +197,6 @@ def block_partitions(left: DataFrame, right: DataFrame, n_pairs: int):
     return left.repartition(n, "qb", "cb"), right.repartition(n, "qb", "cb")
 
 
-def _n_blocks(n: int, dim: int, parallelism: int, block_rows: int | None) -> int:
-    if block_rows:
-        return max(1, math.ceil(n / block_rows))
-    # 8*m*m (scores) + 16*m*d (two blocks of vectors) <= budget
-    m_max = int((-16 * dim + math.sqrt((16 * dim) ** 2 + 32 * TASK_BUDGET_BYTES)) / 16)
-    by_mem = math.ceil(n / max(m_max, 1))
-    # about two block-pair tasks per core, but never blocks smaller than MIN_BLOCK_ROWS
-    by_par = min(math.ceil(math.sqrt(2 * max(parallelism, 1))), math.ceil(n / MIN_BLOCK_ROWS))
-    return max(1, by_mem, by_par)
-
-
 def similarity_topk(queries: DataFrame, candidates: DataFrame | None = None, *, k: int,
                     q_id: str, q_vec: str, c_id: str | None = None, c_vec: str | None = None,
                     metric: str = "cosine", exclude_self: bool = False,
@@ -201,51 +226,52 @@ def similarity_topk(queries: DataFrame, candidates: DataFrame | None = None, *,
     c = candidates.select(*csel).where(F.col("cvec").isNotNull())
     spark = queries.sparkSession
 
-    if strategy == "auto":
-        strategy = "block"
-        # a seed table is broadcast only behind a checked size bound
-        n_q = q.limit(SEED_BROADCAST_BYTES // 8 + 1).count()
-        if n_q <= 4096:
-            dim_row = q.select(F.size("qvec").alias("d")).first()
-            dim = dim_row["d"] if dim_row else 0
-            if n_q * max(dim, 1) * 8 <= SEED_BROADCAST_BYTES:
-                strategy = "seeds"
-
-    if strategy == "seeds":
-        n_q = q.limit(SEED_BROADCAST_BYTES // 8 + 1).count()
-        dim_row = q.select(F.size("qvec").alias("d")).first()
-        if n_q * max(dim_row["d"] if dim_row else 1, 1) * 8 > SEED_BROADCAST_BYTES:
-            strategy = "block"  # the seed matrix is too large to broadcast
-    if strategy == "seeds":
-        rows = q.collect()  # bounded: at most SEED_BROADCAST_BYTES of vectors
+    q = q.select(F.col("qid").alias("id"), F.col("qvec").alias("vec"), (F.col("qgrp") if grouped else F.lit(None).cast("string")).alias("grp"))
+    c = c.select(F.col("cid").alias("id"), F.col("cvec").alias("vec"), (F.col("cgrp") if grouped else F.lit(None).cast("string")).alias("grp"))
+    if strategy not in ("auto", "seeds", "block"):
+        raise ValueError(f"unknown strategy {strategy!r}")
+    n_c, dim_c = _shape(c)
+    n_q, dim_q = (n_c, dim_c) if candidates is queries else _shape(q)
+    small = lambda n, dim: n * max(dim, 1) * 8 <= SEED_BROADCAST_BYTES
+    # the smaller side that fits is broadcast, the other one streams; both checked by count and width
+    if strategy != "block" and n_q <= n_c and small(n_q, dim_q):
+        side = "seeds"
+    elif block_rows is None and small(n_c, dim_c):
+        side = "candidates"
+    else:
+        side = None
+    if side:
+        rows = (q if side == "seeds" else c).collect()  # at most SEED_BROADCAST_BYTES of vectors
         if not rows:
             return _finish(spark.createDataFrame([], _OUT_SCHEMA), k, metric, out_names)
-        seed_ids = np.array([r["qid"] for r in rows], dtype=np.int64)
-        seed_mat = np.stack([np.asarray(r["qvec"], dtype=np.float64) for r in rows])
-        seed_grp = np.array([r["qgrp"] for r in rows], dtype=object) if grouped else None
-        bc = spark.sparkContext.broadcast((seed_ids, seed_mat, seed_grp))
-        fn = _seeds_fn(bc, grouped, k, metric, exclude_self)
-        part = c.mapInPandas(fn, _OUT_SCHEMA)
+        bc = spark.sparkContext.broadcast((np.array([r["id"] for r in rows], dtype=np.int64),
+                                           np.stack([np.asarray(r["vec"], dtype=np.float64) for r in rows]),
+                                           np.array([r["grp"] for r in rows], dtype=object) if grouped else None))
+        part = spread(c if side == "seeds" else q).mapInPandas(_broadcast_fn(bc, side == "seeds", k, metric, exclude_self), _OUT_SCHEMA)
         return _finish(part, k, metric, out_names)
 
-    if strategy != "block":
-        raise ValueError(f"unknown strategy {strategy!r}")
-    st = c.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("cvec")).alias("d")).first()
-    n = st["n"] if candidates is queries else max(st["n"], q.count())
-    dim = st["d"] or 1
-    B = _n_blocks(n, dim, spark.sparkContext.defaultParallelism, block_rows)
-    blocks = F.sequence(F.lit(0), F.lit(B - 1))
-    qb = (q.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(B)).cast("int"))
-           .withColumn("cb", F.explode(blocks)))
-    cb = (c.withColumn("cb", F.pmod(F.xxhash64("cid"), F.lit(B)).cast("int"))
-           .withColumn("qb", F.explode(blocks)))
-    qb, cb = block_partitions(qb, cb, B * B)
-    part = (qb.groupBy("qb", "cb")
-              .cogroup(cb.groupBy("qb", "cb"))
-              .applyInPandas(_block_fn(k, metric, exclude_self, grouped), _OUT_SCHEMA))
+    blocks = query_blocks(n_q, dim_q, spark.sparkContext.defaultParallelism, block_rows)
+    own = q.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("side", F.lit(0))
+    every = c.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("side", F.lit(1))
+    dealt = own.unionByName(every).repartition(planned_partitions(blocks, spark.sparkContext.defaultParallelism), "qb")
+    part = dealt.sortWithinPartitions("qb", "side").mapInPandas(_stream_fn(grouped, k, metric, exclude_self), _OUT_SCHEMA)
     return _finish(part, k, metric, out_names)
 
 
+def _shape(df: DataFrame) -> tuple[int, int]:
+    """Rows and longest vector."""
+    r = df.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d")).first()
+    return r["n"], r["d"] or 1
+
+
+def query_blocks(n: int, dim: int, parallelism: int, block_rows: int | None = None) -> int:
+    """Blocks of queries: as few as memory allows (every block reads all candidates), but two a core if that leaves blocks of some size."""
+    if block_rows:
+        return max(1, math.ceil(n / block_rows))
+    by_mem = math.ceil(n * dim * 8 / TASK_BUDGET_BYTES)
+    return max(1, by_mem, min(2 * parallelism, math.ceil(n / MIN_BLOCK_ROWS)))
+
+
 def _finish(part: DataFrame, k: int, metric: str, out_names) -> DataFrame:
     r = F.round("score", 9)
     order = [r.desc(), F.col("cid")] if metric in ("cosine", "dot") else [r.asc(), F.col("cid")]
@@ -266,29 +292,54 @@ def knn_edges(items: DataFrame, *, k: int, id_col: str, vec_col: str,
 
 
 _GSUM_SCHEMA = "qid long, clabel string, dsum double, cnt long"
+# Sums kept by a block before they are handed on.
+KEPT_SUMS = 4_000_000
 
 
 def _group_sum_fn():
-    def fn(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"qid": pd.Series([], dtype="int64"), "clabel": pd.Series([], dtype="object"),
-                                 "dsum": pd.Series([], dtype="float64"), "cnt": pd.Series([], dtype="int64")})
-        Q = _as_matrix(left["qvec"])
-        C = _as_matrix(right["cvec"])
-        D = _scores(Q, C, "euclidean")
-        qid = left["qid"].to_numpy(np.int64)
-        cid = right["cid"].to_numpy(np.int64)
-        D = np.where(qid[:, None] == cid[None, :], np.nan, D)  # self excluded
-        labels, inv = np.unique(right["clabel"].astype(str).to_numpy(), return_inverse=True)
-        out = []
-        for j, lab in enumerate(labels):
-            cols = inv == j
-            sub = D[:, cols]
-            valid = ~np.isnan(sub)
-            out.append(pd.DataFrame({"qid": qid, "clabel": lab,
-                                     "dsum": np.where(valid, sub, 0.0).sum(axis=1),
-                                     "cnt": valid.sum(axis=1).astype(np.int64)}))
-        return pd.concat(out, ignore_index=True)
+    """Blocks one after another: running distance sums of the block's items to each label."""
+    def fn(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block, queries, ready, sums = None, [], None, {}
+
+        def handed():
+            qid = ready[0]
+            for label, (total, count) in sums.items():
+                yield pd.DataFrame({"qid": qid, "clabel": label, "dsum": total, "cnt": count})
+            sums.clear()
+
+        for pdf in it:
+            for (qb, side), part in pdf.groupby(["qb", "side"], sort=True):
+                if qb != block:
+                    if sums:
+                        yield from handed()
+                    block, queries, ready = qb, [], None
+                if side == 0:
+                    queries.append(part)
+                    continue
+                if not queries:
+                    continue
+                if ready is None:
+                    q = pd.concat(queries, ignore_index=True)
+                    ready = q["id"].to_numpy(np.int64), _as_matrix(q["vec"])
+                qid, Q = ready
+                cid, C = part["id"].to_numpy(np.int64), _as_matrix(part["vec"])
+                labels, inv = np.unique(part["label"].astype(str).to_numpy(), return_inverse=True)
+                one_hot = (inv[:, None] == np.arange(len(labels))[None, :]).astype(np.float64)
+                step = max(1, SCORE_CELLS // max(1, len(cid)))
+                total, count = np.zeros((len(qid), len(labels))), np.zeros((len(qid), len(labels)), np.int64)
+                for a in range(0, len(qid), step):
+                    D = _scores(Q[a:a + step], C, "euclidean")
+                    own = qid[a:a + step, None] == cid[None, :]  # self excluded
+                    D[own] = 0.0
+                    total[a:a + step] = D @ one_hot
+                    count[a:a + step] = one_hot.sum(0).astype(np.int64)[None, :] - (own @ one_hot).astype(np.int64)
+                for j, label in enumerate(labels):
+                    had = sums.get(label)
+                    sums[label] = (total[:, j], count[:, j]) if had is None else (had[0] + total[:, j], had[1] + count[:, j])
+                if len(sums) * len(qid) > KEPT_SUMS:
+                    yield from handed()
+        if sums:
+            yield from handed()
     return fn
 
 
@@ -296,24 +347,18 @@ def distance_sums_by_label(items: DataFrame, *, id_col: str, vec_col: str, label
                            block_rows: int | None = None) -> DataFrame:
     """Per item and per label: sum and count of Euclidean distances to that label's items.
 
-    Same block layout as ``similarity_topk`` (self excluded by id); each block
-    task emits one row per (item, label) instead of per pair, then a
-    declarative sum merges the blocks.  Output ``(item_id, label, dsum, cnt)``.
+    Same layout as the ``block`` way of ``similarity_topk`` (self excluded by
+    id): a block of items reads all items as a stream and emits one row per
+    (item, label) it has met.  Output ``(item_id, label, dsum, cnt)``.
     """
-    q = items.select(F.col(id_col).cast("long").alias("qid"),
-                     F.col(vec_col).cast("array<double>").alias("qvec"))
-    c = items.select(F.col(id_col).cast("long").alias("cid"),
-                     F.col(vec_col).cast("array<double>").alias("cvec"),
-                     F.col(label_col).cast("string").alias("clabel"))
-    spark = items.sparkSession
-    n = c.count()
-    dim_row = c.select(F.size("cvec").alias("d")).first()
-    B = _n_blocks(n, dim_row["d"] if dim_row else 1, spark.sparkContext.defaultParallelism, block_rows)
-    blocks = F.sequence(F.lit(0), F.lit(B - 1))
-    qb = q.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(B)).cast("int")).withColumn("cb", F.explode(blocks))
-    cb = c.withColumn("cb", F.pmod(F.xxhash64("cid"), F.lit(B)).cast("int")).withColumn("qb", F.explode(blocks))
-    qb, cb = block_partitions(qb, cb, B * B)
-    part = (qb.groupBy("qb", "cb").cogroup(cb.groupBy("qb", "cb"))
-              .applyInPandas(_group_sum_fn(), _GSUM_SCHEMA))
+    c = items.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"),
+                     F.col(label_col).cast("string").alias("label"))
+    n, dim = _shape(c)
+    par = items.sparkSession.sparkContext.defaultParallelism
+    blocks = query_blocks(n, dim, par, block_rows)
+    own = c.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("side", F.lit(0))
+    every = c.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("side", F.lit(1))
+    dealt = own.unionByName(every).repartition(planned_partitions(blocks, par), "qb").sortWithinPartitions("qb", "side")
+    part = dealt.mapInPandas(_group_sum_fn(), _GSUM_SCHEMA)
     return (part.groupBy("qid", "clabel").agg(F.sum("dsum").alias("dsum"), F.sum("cnt").alias("cnt"))
                 .select(F.col("qid").alias("item_id"), F.col("clabel").alias("label"), "dsum", "cnt"))

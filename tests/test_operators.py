@@ -323,3 +323,24 @@ def test_checkpoint_dir_must_be_named_on_a_cluster():
     for master in ("yarn", "local-cluster[2,1,1024]", "spark://host:7077"):
         with pytest.raises(ValueError):
             ensure_checkpoint_dir(session(master))
+
+
+def test_block_partitions_stay_bounded_for_any_size():
+    from cadenza.operators.similarity import planned_partitions, query_blocks
+    for n in (10**3, 10**6, 10**9):
+        blocks = query_blocks(n, 64, 4000)
+        assert blocks <= max(8000, n // 100_000) and planned_partitions(blocks, 4000) <= 64_000
+
+
+def test_broadcast_and_stream_ways_agree(spark, monkeypatch):
+    from cadenza.operators import similarity as S
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.integers(-2, 3, 4)], "ab"[i % 2]) for i in range(300)]
+    df = spark.createDataFrame(rows, "i long, v array<double>, g string")
+    for metric in ("cosine", "euclidean", "dot"):
+        for grp in (None, "g"):
+            run = lambda **kw: sorted(map(tuple, S.similarity_topk(df, k=7, q_id="i", q_vec="v", metric=metric, exclude_self=True, q_group=grp, **kw)
+                                          .select("seed_id", "rec_id", "rank").collect()))
+            monkeypatch.setattr(S, "SCORE_CELLS", 1000)
+            monkeypatch.setattr(S, "KEPT_ROWS", 50)
+            assert run() == run(block_rows=40) == run(strategy="seeds") and len(run()) == 2100
