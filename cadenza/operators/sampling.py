@@ -6,9 +6,14 @@ the same numbers can be produced by any SQL engine with md5.
 """
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadenza.session import spread
+
 # Items per hash range while a catalogue is numbered (a matter of the plan only).
 RANGE_ROWS = 4096
 # Draws beyond k, for positions drawn twice.
@@ -45,12 +50,6 @@ def weighted_sample(df: DataFrame, group: str, item: str, weight: Column, n: int
     return keyed.withColumn("draw_rank", F.row_number().over(w)).where(F.col("draw_rank") <= n)
 
 
-def hash52(*parts) -> Column:
-    """Unsigned 52-bit draw, for positions in catalogues of any size."""
-    s = F.concat_ws(":", *[p if isinstance(p, Column) else F.lit(str(p)) for p in parts])
-    return F.conv(F.substring(F.md5(s), 1, 13), 16, 10).cast("long")
-
-
 def dense_order(items: DataFrame, id_col: str, n: int, salt: int) -> DataFrame:
     """(rec_id, pos): positions 0 .. n-1 in a hashed order over the whole table.
 
@@ -67,6 +66,32 @@ def dense_order(items: DataFrame, id_col: str, n: int, salt: int) -> DataFrame:
     return it.join(offsets, "b").select("rec_id", (F.col("off") + F.col("at")).alias("pos"))
 
 
+def drawn_positions(seed: Column, own: Column, n: int, k: int, salt: int) -> Column:
+    """array<long>: the first k distinct positions below n of a seed's draws, its own left out (fewer if n is smaller)."""
+    draws = k + SPARE_DRAWS
+
+    @F.arrow_udf("array<long>")
+    def drawn(seeds: pa.Array, owns: pa.Array) -> pa.Array:
+        h52 = lambda s: int(hashlib.md5(s.encode()).hexdigest()[:13], 16)
+        out = []
+        for x, own in zip(seeds.to_pylist(), owns.to_pylist()):
+            found: dict[int, None] = {own: None}
+            for t in range(draws):
+                found[h52(f"rd:{salt}:{x}:{t}") % n] = None
+                if len(found) > k:
+                    break
+            else:
+                start = h52(f"so:{salt}:{x}")
+                for t in range(draws, draws + k + 1):
+                    found[(start + t) % n] = None
+                    if len(found) > k:
+                        break
+            out.append(list(found)[1 : k + 1])
+        return pa.array(out, pa.list_(pa.int64()))
+
+    return drawn(seed, own)
+
+
 def random_recs(items: DataFrame, seeds: DataFrame, *, id_col: str, seed_col: str, k: int,
                 salt: int = 42) -> DataFrame:
     """K random other items per seed, without replacement.
@@ -74,17 +99,12 @@ def random_recs(items: DataFrame, seeds: DataFrame, *, id_col: str, seed_col: st
     Items are numbered in a hashed order; a seed draws ``k + SPARE_DRAWS``
     positions independently over the whole catalogue, then k + 1 consecutive
     ones from a random start, which fill up where draws coincide.  The first
-    k + 1 distinct positions are looked up by an equi-join and the seed itself
-    is dropped, so every seed gets min(k, n - 1) items and the work is linear
-    in the seeds.
+    k distinct positions other than its own are looked up by an equi-join, so
+    every seed gets min(k, n - 1) items and the work is linear in the seeds.
     """
     n = items.count()
-    seed = F.col(seed_col)
-    draws = F.transform(F.sequence(F.lit(0), F.lit(k + SPARE_DRAWS - 1)), lambda t: F.pmod(hash52("rd", salt, seed, t), F.lit(max(n, 1))))
-    fill = F.transform(F.sequence(F.lit(k + SPARE_DRAWS), F.lit(2 * k + SPARE_DRAWS)), lambda t: F.pmod(hash52("so", salt, seed) + t, F.lit(max(n, 1))))
-    drawn = F.slice(F.array_distinct(F.concat(draws, fill)), 1, k + 1)
-    s = seeds.select(seed.alias("seed_id"), F.posexplode(drawn).alias("t", "pos"))
-    j = s.join(dense_order(items, id_col, n, salt), "pos").where(F.col("rec_id") != F.col("seed_id"))
-    w = Window.partitionBy("seed_id").orderBy("t")
-    return (j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-             .select("seed_id", "rec_id", "rank"))
+    order = dense_order(items, id_col, n, salt)
+    own = order.select(F.col("rec_id").alias("seed_id"), F.col("pos").alias("own"))
+    s = spread(seeds.select(F.col(seed_col).alias("seed_id")).join(own, "seed_id", "left"))
+    s = s.select("seed_id", F.posexplode(drawn_positions(F.col("seed_id").cast("string"), F.coalesce("own", F.lit(-1)), n, k, salt)).alias("t", "pos"))
+    return s.join(order, "pos").select("seed_id", "rec_id", (F.col("t") + 1).alias("rank"))
