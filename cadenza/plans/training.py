@@ -152,7 +152,12 @@ def src_prepped(spark, sf):
     return r.select("item_id", "genre", F.size("vec").cast("long").alias("dim"))
 
 
-@query("src_artifacts")
+@query("src_artifacts", sql=f"""
+WITH s AS (SELECT list_concat(string_split(replace(p_name, ' ', ' - '), ' - '), string_split(lower(p_type) || ' - ' || p_brand, ' - ')) AS toks FROM part)
+SELECT 'scaler_stats' AS artifact, 2::BIGINT AS n_rows UNION ALL
+SELECT 'vocab', count(DISTINCT t) FROM (SELECT unnest(toks) AS t FROM s) UNION ALL
+SELECT 'model_weights', {2 * len(GatedModel.from_formula(IN, IN, EMB, HID).params)}::BIGINT
+""")
 def src_artifacts(spark, sf):
     """Scaler stats, vocabulary and weights written, then loaded as artifacts (error if missing)."""
     from cadenza.operators import features as V
@@ -168,4 +173,5 @@ def src_artifacts(spark, sf):
     spark.createDataFrame([(k, j, m.params[k][j].ravel().tolist()) for k in m.params for j in (0, 1)],
                           "layer string, part int, values array<double>").write.parquet(f"{base}/model_weights")
     arts = S.read_artifacts(spark, base)
-    return spark.createDataFrame([(n, int(df.count())) for n, df in arts.items()], "artifact string, n_rows long")
+    counts = [df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(n).alias("artifact"), "n_rows") for n, df in arts.items()]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
