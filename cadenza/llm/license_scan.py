@@ -5,7 +5,8 @@ lower-case words and turned into sets of word bigrams.  A template matches a
 unit at Dice 2 |A n B| / (|A| + |B|) of ``THRESHOLD`` or more.  That bounds the
 unit's size by |B| t / (2 - t) <= |A| <= |B| (2 - t) / t, so templates of other
 sizes are never compared, and units that share no bigram with any template are
-left at once.
+left at once.  A text whose bigrams cannot reach any template's lower bound is
+not cut into units at all.
 
 One projection of SQL functions; templates are literals of the plan.
 
@@ -15,6 +16,9 @@ repeated rows give repeated results.
 """
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,6 +94,10 @@ def unit_bigrams(unit: Column) -> Column:
     return let(F.filter(F.split(F.translate(unit, UPPER, LOWER), SPLIT), lambda x: x != ""), pairs)
 
 
+def _count_in(bigrams: Column, wanted: list[str]) -> Column:
+    return F.size(F.filter(bigrams, lambda g: g.isin(wanted)))
+
+
 def match_unit(unit: Column, threshold: float = THRESHOLD, templates=TEMPLATES) -> Column:
     """array<struct<dice, license>> of the templates that match one unit."""
     grams = [(name, template_bigrams(t)) for name, t in templates]
@@ -101,7 +109,7 @@ def match_unit(unit: Column, threshold: float = THRESHOLD, templates=TEMPLATES)
         """a: struct of the number of bigrams and those that some template has."""
         def dice(name: str, gs: list[str], low: int, high: int) -> Column:
             # the size bound comes first: beyond it the shared bigrams are not counted
-            value = 2.0 * F.size(F.filter(a["shared"], lambda g: g.isin(gs))) / (a["n"] + len(gs))
+            value = 2.0 * _count_in(a["shared"], gs) / (a["n"] + len(gs))
             return F.when(a["n"].between(low, high), F.when(value >= threshold, F.struct(value.alias("dice"), F.lit(name).alias("license"))))
 
         found = F.array(*[dice(name, gs, *b) for (name, gs), b in zip(grams, bounds)])
@@ -112,9 +120,25 @@ def match_unit(unit: Column, threshold: float = THRESHOLD, templates=TEMPLATES)
 
 
 def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD, templates=TEMPLATES) -> DataFrame:
-    """doc_id and matches: array<struct<dice, license>> over all units of each text."""
-    units = docs.select("doc_id", units_of(text_of(docs)).alias("units"))
-    return units.select("doc_id", F.flatten(F.transform("units", lambda u: match_unit(u, threshold, templates))).alias("matches"))
+    """doc_id and matches: array<struct<dice, license>> over all units of each text.
+
+    Every bigram of a line or sentence is one of the whole text, so a text
+    that has too few of each template's bigrams has no unit that matches, and
+    is not cut into units.
+    """
+    grams = [template_bigrams(t) for _, t in templates]
+    every = sorted({g for gs in grams for g in gs})
+    text = F.col("text")
+
+    def enough(shared: Column) -> Column:
+        # Dice reaches t only where the shared bigrams reach the lower size bound
+        hits = [_count_in(shared, gs) >= size_bounds(len(gs), threshold)[0] for gs in grams]
+        return (F.size(shared) > 0) & reduce(or_, hits, F.lit(False))
+
+    possible = let(F.filter(unit_bigrams(text), lambda g: g.isin(every)), enough)
+    matches = F.flatten(F.transform(units_of(text), lambda u: match_unit(u, threshold, templates)))
+    none = F.array().cast("array<struct<dice:double,license:string>>")
+    return docs.select("doc_id", text_of(docs).alias("text")).select("doc_id", F.when(possible, matches).otherwise(none).alias("matches"))
 
 
 def summarise(scanned: DataFrame) -> DataFrame:
