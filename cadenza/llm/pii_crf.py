@@ -40,14 +40,16 @@ ROUNDS = 30
 NEAR = 40  # characters between neighbours of the chain
 L2 = 1e-3
 
-#: The base patterns.  An e-mail match has one "@", so it is found from there.
+#: The base patterns.  An e-mail match has one "@", so it is found from there, and
+#: its mailbox in the reversed text; an IP match starts where its digits do.  So a long run is read once.
 _AT = re.compile(r"@([A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)")
-_MAILBOX = re.compile(r"[A-Za-z0-9._%+-]+\Z")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+_MAILBOX = re.compile(r"[A-Za-z0-9._%+-]+")
+_IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NUMBER = re.compile(r"[+(]?[0-9][\x20()./0-9-]*[0-9]")
-_ADDRESS = re.compile(r"[^\s@<>,;:]+(?:@|\x20?[\[(]at[\])]\x20?)[^\s@<>,;:]+")
+_SEPARATOR = re.compile(r"@|\x20?[\[(]at[\])]\x20?")
+_SIDE = re.compile(r"[^\s@<>,;:]+")
 _CUE = re.compile(r"([^\W\d_]+)[\W_]*\Z")
 #: Words that announce an entity.
 CUES = {
@@ -73,22 +75,17 @@ def _digits(s: str) -> str:
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) by kind, then start."""
-    out, last = [], 0
+    out, last, n = [], 0, len(text)
+    back = text[::-1] if "@" in text else ""
     for m in _AT.finditer(text):
-        # the mailbox is the whole run before "@", after the match before; blocks keep the look back short
-        start, width = m.start(), 64
-        while True:
-            box = _MAILBOX.search(text[max(last, m.start() - width) : m.start()])
-            if box and box.start() == 0 and m.start() - width > last:
-                width *= 4
-                continue
-            break
+        # the mailbox is the whole run before "@", after the match before
+        box = _MAILBOX.match(back, n - m.start(), n - last)
         if box:
-            start = m.start() - (box.end() - box.start())
-            out.append((0, start, m.end()))
+            out.append((0, n - box.end(), m.end()))
             last = m.end()
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+        parts = [p.lstrip("0") for p in m.group().split(".")]
+        if all(len(p) <= 3 and int(p or "0") <= 255 for p in parts):
             out.append((1, m.start(), m.end()))
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 16:
@@ -127,25 +124,36 @@ def _node(text: str, start: int, stop: int, kind: int) -> Node:
     return Node(start, stop, kind, f"num|{cue}|{size}|{form}|{'luhn' if luhn(d) else '-'}", "#" + d, "#" + d[-8:])
 
 
+def _numbers(text: str) -> list[tuple[int, int]]:
+    return [m.span() for m in _NUMBER.finditer(text) if len(_digits(m.group())) >= 7]
+
+
+def _addresses(text: str) -> list[tuple[int, int]]:
+    """Runs on both sides of "@" or a spelt-out "at"."""
+    if "@" not in text and "at]" not in text and "at)" not in text:
+        return []
+    out, last, n, back = [], 0, len(text), text[::-1]
+    for m in _SEPARATOR.finditer(text):
+        left = _SIDE.match(back, n - m.start(), n - last) if m.start() >= last else None
+        right = _SIDE.match(text, m.end()) if left else None
+        if right:
+            last = right.end()
+            out.append((n - left.end(), last))
+    return out
+
+
 def nodes_of(text: str) -> list[Node]:
     """All candidates of a text, by start."""
     base = base_spans(text)
     taken = sorted((a, b) for _, a, b in base)
     found = [_node(text, a, b, k) for k, a, b in base]
-    at = 0
-    for pattern in (_NUMBER, _ADDRESS):
-        if pattern is _ADDRESS and "@" not in text and "at]" not in text and "(at)" not in text:
-            continue
+    for others in (_numbers(text), _addresses(text)):
         at = 0
-        for m in pattern.finditer(text):
-            a, b = m.span()
+        for a, b in others:
             while at < len(taken) and taken[at][1] <= a:
                 at += 1
-            if at < len(taken) and taken[at][0] < b:
-                continue  # a base match has it
-            if pattern is _NUMBER and len(_digits(m.group())) < 7:
-                continue
-            found.append(_node(text, a, b, -1))
+            if at == len(taken) or taken[at][0] >= b:  # no base match has it
+                found.append(_node(text, a, b, -1))
     return sorted(found, key=lambda n: (n.start, n.stop, n.kind))
 
 
@@ -186,8 +194,10 @@ class Field:
         if edges:
             e = np.array(edges)
             src, dst = np.concatenate([e[:, 0], e[:, 1]]), np.concatenate([e[:, 1], e[:, 0]])
-            # potentials[x, y]: label x at the source, y at the destination
-            potential = np.exp(np.concatenate([self.pairwise[e[:, 2]], self.pairwise[e[:, 2]].transpose(0, 2, 1)]))
+            # potentials [x, y], label x at the source and y at the destination, by edge type and direction
+            kernel = np.exp(self.pairwise)
+            kind = np.concatenate([e[:, 2], e[:, 2] + 2])
+            groups = [(np.flatnonzero(kind == t), k) for t, k in enumerate([*kernel, *kernel.transpose(0, 2, 1)])]
             back = np.concatenate([np.arange(len(e)) + len(e), np.arange(len(e))])
             message = np.zeros((len(src), len(LABELS)))
             for _ in range(ROUNDS):
@@ -195,7 +205,9 @@ class Field:
                 np.add.at(total, dst, message)
                 out = total[src] - message[back]
                 out = np.exp(out - out.max(1, keepdims=True))
-                new = np.log(np.einsum("ex,exy->ey", out, potential) + 1e-30)
+                new = np.empty_like(out)
+                for rows, k in groups:
+                    new[rows] = np.log(out[rows] @ k + 1e-30)
                 new -= new.max(1, keepdims=True)
                 moved = np.abs(new - message).max()
                 message = 0.5 * message + 0.5 * new

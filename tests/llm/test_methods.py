@@ -1,5 +1,6 @@
 """The methods themselves: data structures, bounds, models and the paths that small tables do not reach."""
 import random
+import time
 
 import brute
 import numpy as np
@@ -35,6 +36,7 @@ def test_elias_fano_space():
     values = np.cumsum(np.random.default_rng(1).integers(0, 2000, 100_000))
     size = sum(map(len, token_files.EliasFano.encode(values).parts()))
     assert size * 8 <= 100_000 * (2 + np.log2(values[-1] / 100_000)) + 64  # near the bound, against 64 bits each
+    assert token_files.EliasFano.encode(values).slice(0, len(values)).tolist() == values.tolist()
 
 
 def test_token_files_without_ids_and_by_select(spark, tmp_path):
@@ -86,6 +88,16 @@ def test_memos_are_emptied(monkeypatch):
     assert len(enc.known) <= 5
 
 
+def test_long_parts_are_not_kept():
+    enc = piece_bpe.PieceEncoder(public_tokenizers.path("piece_bpe_32k.model"))
+    text = "\u6f22\u5b57" * 500 + " plain words " + "ab" * 400
+    assert enc.encode(text) == [*enc.lib.encode(text), enc.end]
+    words = token_files.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    assert np.frombuffer(words.encode_batch([text])[0], words.kind).tolist() == words.lib.encode(text, add_special_tokens=False).ids
+    memos = (enc.known, enc.parts, words.words, words.others, words.pieces)
+    assert any(memos) and max(len(k) for m in memos for k in m) <= 64
+
+
 # ------------------------------------------------------------- SimHash
 def close_prints(rng, n, centre=None):
     out = set()
@@ -195,6 +207,26 @@ def test_skip_chain_labels_a_repeated_number(spark):
     assert rows[i][1][s["start"] : s["stop"]] == rows[i][1].split("Once more: ")[1].split(" it")[0]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="a.@1+0-_ ()%25\n4", max_size=60))
+def test_base_spans_equal_the_patterns(text):
+    assert [(pii_crf.KINDS[k], a, b) for k, a, b in pii_crf.base_spans(text)] == brute.pii(text)
+
+
+@pytest.mark.parametrize("text", ["x@y " + "a" * 400_000, "7" * 400_000, "a@" * 200_000, "1." * 200_000, "a[at]" * 80_000, "+1" + "." * 400_000, "0" * 5000 + "1.2.3.4", "\u6f22" * 400_000 + "@"])
+def test_long_runs_take_linear_time(text):
+    began = time.perf_counter()
+    pii_crf.edges_of(pii_crf.nodes_of(text))
+    assert time.perf_counter() - began < 20
+    if text.endswith("1.2.3.4"):
+        assert pii_crf.base_spans(text) == [(1, 0, len(text))]
+
+
+def test_spelt_out_addresses():
+    text = "Write to jo.doe (at) host.org or anna[at]host.org, bo@intranet"
+    assert [text[a:b] for a, b in pii_crf._addresses(text)] == ["jo.doe (at) host.org", "anna[at]host.org", "bo@intranet"]
+
+
 def test_message_passing_is_exact_on_a_chain():
     field = pii_crf.Field({"x": np.log([0.7, 0.1, 0.1, 0.05, 0.05])}, np.log(np.full((2, 5, 5), 0.5) + np.eye(5)), np.zeros(5))
     p = field.beliefs([(2, "x"), (-1, "x"), (-1, "x")], [(0, 1, 0), (1, 2, 1)])
