@@ -30,19 +30,23 @@ SPACE = "\u2581"
 #: Entries of a worker's memos of segments and of their parts (about 250 bytes each); a full one is emptied.
 MEMO_SEGMENTS = 200_000
 MEMO_PARTS = 400_000
+#: Longest key of a memo, in characters: text without blanks comes in long parts that hardly repeat.
+MEMO_CHARS = 64
 #: Characters up to which the agenda is a plain list: its minimum is found sooner than a heap is kept up.
 LIST_AGENDA = 24
 
 
 class _Memo(dict):
-    """Values made on first use."""
+    """Values made on first use; those of long keys are not kept."""
 
     def __init__(self, make):
         super().__init__()
         self.make = make
 
     def __missing__(self, key):
-        self[key] = value = self.make(key)
+        value = self.make(key)
+        if len(key) <= MEMO_CHARS:
+            self[key] = value
         return value
 
 
@@ -70,7 +74,7 @@ class PieceEncoder:
         self.text_of = [*map(str, range(n))]
         self.known = _Memo(self._segment)  # ids of segments
         self.parts = _Memo(self._part)
-        self.unchecked: list[str] = []
+        self.unchecked: list[tuple[str, tuple[int, ...]]] = []
         self.cut = re.compile("\n|" + SPACE + "*[^" + SPACE + "\n]+|" + SPACE + "+").findall
         self.runs = re.compile(SPACE + r"*[^\W\d_]+|(?:(?!" + SPACE + r"*[^\W\d_])[\s\S])+").findall
 
@@ -95,8 +99,9 @@ class PieceEncoder:
         return tuple(chain.from_iterable(map(self.parts.__getitem__, parts))) if len(parts) > 1 else self.parts[segment]
 
     def _part(self, part: str) -> tuple[int, ...]:
-        self.unchecked.append(part)
-        return tuple(self.merge(part))
+        ids = tuple(self.merge(part))
+        self.unchecked.append((part, ids))
+        return ids
 
     def merge(self, segment: str) -> list[int]:
         """Ids of one part by the agenda of adjacent pairs."""
@@ -156,9 +161,10 @@ class PieceEncoder:
         """Hold the parts that are new since the last check, and one whole text, against the library."""
         # behind a line feed a part stands alone: the first ids are the dummy blank and the feed
         skip = len(self.lib.encode("\n"))
-        for p, want in zip(self.unchecked, self.lib.encode(["\n" + p.replace(SPACE, " ") for p in self.unchecked], num_threads=1) if self.unchecked else ()):
-            if self.parts[p] != tuple(want[skip:]):
-                raise ValueError(f"part {p!r}: agenda {self.parts[p]}, library {want[skip:]}")
+        library = self.lib.encode(["\n" + p.replace(SPACE, " ") for p, _ in self.unchecked], num_threads=1) if self.unchecked else ()
+        for (p, got), want in zip(self.unchecked, library):
+            if got != tuple(want[skip:]):
+                raise ValueError(f"part {p[:80]!r}: agenda {got[:20]}, library {want[skip:][:20]}")
         self.unchecked.clear()
         if ids[:-1] != (want := self.lib.encode(text)):
             raise ValueError(f"ids of {text[:80]!r} differ from the library's {want[:20]}")
