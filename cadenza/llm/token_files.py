@@ -42,6 +42,10 @@ from cadenza.session import shared_path
 #: Entries of a worker's memos of words and of their pre-tokens (about 200 bytes each); a full one is emptied.
 MEMO_WORDS = 300_000
 MEMO_PIECES = 800_000
+#: Longest key of a memo, in characters: text without blanks comes in long words that hardly repeat.
+MEMO_CHARS = 64
+#: Values whose low bits are spread out at a time (a multiple of 8, so that blocks end on whole bytes).
+LOW_BLOCK = 1 << 16
 #: Ids read and digested at a time.
 READ_IDS = 1 << 22
 SAMPLE = 512
@@ -64,8 +68,9 @@ class EliasFano:
         low_bits = max(0, int((int(v[-1]) + 1) // n).bit_length() - 1)
         low = np.zeros(0, np.uint8)
         if low_bits:
-            bits = (v[:, None] >> np.arange(low_bits, dtype=np.uint64)) & np.uint64(1)
-            low = np.packbits(bits.astype(np.uint8).ravel(), bitorder="little")
+            place = np.arange(low_bits, dtype=np.uint64)
+            blocks = ((v[i : i + LOW_BLOCK, None] >> place) & np.uint64(1) for i in range(0, n, LOW_BLOCK))
+            low = np.concatenate([np.packbits(b.astype(np.uint8).ravel(), bitorder="little") for b in blocks])
         ones = (v >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
         high = np.zeros(int(ones[-1]) // 8 + 1, np.uint8)
         np.bitwise_or.at(high, ones >> 3, np.left_shift(1, ones & 7).astype(np.uint8))
@@ -123,14 +128,16 @@ class EliasFano:
 
 # ------------------------------------------------------------------ encoding
 class _Memo(dict):
-    """Values made on first use."""
+    """Values made on first use; those of long keys are not kept."""
 
     def __init__(self, make):
         super().__init__()
         self.make = make
 
     def __missing__(self, key):
-        self[key] = value = self.make(key)
+        value = self.make(key)
+        if len(key) <= MEMO_CHARS:
+            self[key] = value
         return value
 
 
