@@ -20,8 +20,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -146,11 +147,10 @@ def normal_equations(train: DataFrame, model: QualityModel) -> np.ndarray:
             total += z.T @ np.hstack([z, y[:, None]])
         yield pa.RecordBatch.from_arrays([pa.array(range(size), pa.int32()), pa.array(list(total))], ["i", "sums"])
 
-    def add(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"i": rows.i[:1], "sums": [np.sum(np.stack(rows.sums), 0)]})
-
     parts = train.select("stats", "y").mapInArrow(partial, "i int, sums array<double>")
-    rows = parts.groupBy("i").applyInPandas(add, "i int, sums array<double>").collect()  # FEATURES + 1 rows
+    # a running vector sum for each row of the matrix, however many partitions there are
+    sums = parts.groupBy("i").agg(Summarizer.sum(array_to_vector("sums")).alias("s"))
+    rows = sums.select("i", vector_to_array("s").alias("sums")).collect()  # FEATURES + 1 rows
     return np.array([r.sums for r in sorted(rows, key=lambda r: r.i)])
 
 
