@@ -2,8 +2,9 @@
 
 All metrics work from two reusable intermediate tables: the kNN edge table
 (one block similarity join, shared by purity / matrix / worst points) and
-per-label centroids (a vector mean aggregate).  Nothing is collected except
-the centroids, whose size is (number of labels x dimension).
+per-label centroids (a vector mean aggregate).  The metrics are single plans;
+only the nearest-centroid assignment collects, one bounded block of centroids
+at a time.
 """
 from __future__ import annotations
 
@@ -15,10 +16,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.operators.similarity import distance_sums_by_label, knn_edges
-from cadenza.session import bounded_collect
 
-# Labels / clusters whose centroids may be collected and broadcast.
-MAX_LABELS = 100_000
+# Centroids that are broadcast at once (bytes of their values).
+CENTROID_BYTES = 64 * 1024 * 1024
+# Distances (items x centroids) that a task computes at once.
+SCORE_CELLS = 4_000_000
+# Hash blocks that centroid pairs are dealt to.
+PAIR_BLOCKS = 16
 
 
 def labelled_edges(items: DataFrame, *, k: int, id_col="item_id", vec_col="vec", label_col="label") -> DataFrame:
@@ -47,8 +51,9 @@ def neighbor_matrix(edges: DataFrame, labels: DataFrame, label_col="label") -> D
     counts = edges.groupBy(F.col("src_label").alias("anchor_label"),
                            F.col("dst_label").alias("neighbor_label")).agg(F.count(F.lit(1)).alias("n"))
     la = labels.select(F.col(label_col).alias("anchor_label")).distinct()
-    names = [r[0] for r in bounded_collect(la.orderBy("anchor_label"), MAX_LABELS, "labels")]
-    grid = la.withColumn("neighbor_label", F.explode(F.array(*[F.lit(x) for x in names])))
+    # the result has a row for each pair of labels; their list is one row beside it
+    names = la.agg(F.collect_list("anchor_label").alias("names"))
+    grid = la.join(F.broadcast(names)).select("anchor_label", F.explode("names").alias("neighbor_label"))
     return (grid.join(counts, ["anchor_label", "neighbor_label"], "left")
                 .select("anchor_label", "neighbor_label", F.coalesce("n", F.lit(0)).cast("long").alias("n")))
 
@@ -88,13 +93,11 @@ def davies_bouldin(items: DataFrame, vec_col="vec", label_col="label") -> DataFr
     cents = centroids(items, vec_col, label_col)
     s = (_with_centroid(items, cents, vec_col, label_col)
          .groupBy("label").agg(F.avg(F.sqrt(sqdist(F.col("__x"), F.col("centroid")))).alias("s")))
-    rows = bounded_collect(cents.join(s, "label").orderBy("label"), MAX_LABELS, "centroids")
-    others = F.array(*[F.struct(F.lit(r["label"]).alias("lj"),
-                                F.array(*[F.lit(float(v)) for v in r["centroid"]]).alias("cj"),
-                                F.lit(float(r["s"])).alias("sj")) for r in rows])
-    a = cents.join(s, "label").select(F.col("label").alias("li"), F.col("centroid").alias("ci"),
-                                      F.col("s").alias("si"), F.explode(others).alias("o"))
-    a = a.where(F.col("li") != F.col("o.lj"))
+    stats = cents.join(s, "label").select("label", "centroid", "s", F.pmod(F.xxhash64("label"), F.lit(PAIR_BLOCKS)).alias("block"))
+    left = stats.select(F.col("label").alias("li"), F.col("centroid").alias("ci"), F.col("s").alias("si"),
+                        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PAIR_BLOCKS - 1).cast("long"))).alias("block"))
+    right = stats.select("block", F.struct(F.col("label").alias("lj"), F.col("centroid").alias("cj"), F.col("s").alias("sj")).alias("o"))
+    a = left.join(right, "block").where(F.col("li") != F.col("o.lj"))
     d = F.sqrt(sqdist(F.col("ci"), F.col("o.cj")))
     ratio = F.when(d == 0, F.lit(0.0)).otherwise((F.col("si") + F.col("o.sj")) / d)
     per = a.groupBy("li").agg(F.max(ratio).alias("r"))
@@ -120,57 +123,71 @@ def silhouette(items: DataFrame, id_col="item_id", vec_col="vec", label_col="lab
 def assign_nearest(items: DataFrame, cents: DataFrame, id_col="item_id", vec_col="vec") -> DataFrame:
     """M8: nearest centroid by squared distance (rounded to 9 places, ties -> smallest label).
 
-    The centroid matrix (labels x dimension, a bounded artifact) is broadcast
-    once; each Arrow batch of items is assigned with one matrix product, so
-    the items are never shuffled.
+    Centroids are broadcast in blocks of at most ``CENTROID_BYTES``, in label
+    order, and each Arrow batch of items is compared with a block by one
+    matrix product; with several blocks the best so far travels along.  The
+    items are never shuffled.
     """
     import numpy as np
     import pandas as pd
 
-    rows = bounded_collect(cents.orderBy("label"), MAX_LABELS, "centroids")
-    labels = np.array([r["label"] for r in rows])
-    C = np.array([r["centroid"] for r in rows], dtype=np.float64)
-    spark = items.sparkSession
-    bc = spark.sparkContext.broadcast((labels, C))
     label_type = dict(cents.dtypes)["label"]
+    out = items.select(F.col(id_col).alias("item_id"), F.col(vec_col).cast("array<double>").alias("__v"),
+                       F.lit(None).cast(label_type).alias("cluster"), F.lit(math.inf).alias("__d"))
+    schema = out.schema
+
+    def nearer(bc):
+        def fn(it):
+            labs, C = bc.value
+            cn = (C * C).sum(axis=1)
+            step = max(1, SCORE_CELLS // len(labs))
+            for pdf in it:
+                for at in range(0, len(pdf), step):
+                    part = pdf.iloc[at:at + step]
+                    X = np.stack([np.asarray(v, dtype=np.float64) for v in part["__v"].values])
+                    d2 = np.round(np.maximum((X * X).sum(axis=1)[:, None] + cn[None, :] - 2.0 * X @ C.T, 0.0), 9)
+                    best = np.argmin(d2, axis=1)
+                    d = d2[np.arange(len(best)), best]
+                    better = d < part["__d"].to_numpy()  # an earlier block has the smaller labels
+                    cluster = [labs[b] if new else old for b, new, old in zip(best, better, part["cluster"])]
+                    yield pd.DataFrame({"item_id": part["item_id"].to_numpy(), "__v": part["__v"].to_numpy(),
+                                        "cluster": cluster, "__d": np.where(better, d, part["__d"].to_numpy())})
+        return fn
+
+    for block in _centroid_blocks(cents):
+        out = out.mapInPandas(nearer(items.sparkSession.sparkContext.broadcast(block)), schema)
+    return out.select("item_id", "cluster")
+
+
+def _centroid_blocks(cents: DataFrame):
+    """(labels, matrix) of centroids in label order, at most ``CENTROID_BYTES`` of values at a time."""
+    import numpy as np
 
-    def fn(it):
-        labs, Cm = bc.value
-        cn = (Cm * Cm).sum(axis=1)
-        for pdf in it:
-            if pdf.empty:
-                continue
-            X = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["__v"].values])
-            d2 = np.round(np.maximum((X * X).sum(axis=1)[:, None] + cn[None, :] - 2.0 * X @ Cm.T, 0.0), 9)
-            yield pd.DataFrame({"item_id": pdf["item_id"].to_numpy(), "cluster": labs[np.argmin(d2, axis=1)]})
-
-    src = items.select(F.col(id_col).alias("item_id"), F.col(vec_col).cast("array<double>").alias("__v"))
-    id_type = dict(src.dtypes)["item_id"]
-    return src.mapInPandas(fn, f"item_id {id_type}, cluster {label_type}")
+    labels, rows, size = [], [], 0
+    for r in cents.orderBy("label").select("label", "centroid").toLocalIterator():
+        if rows and size + 8 * len(r["centroid"]) > CENTROID_BYTES:
+            yield labels, np.stack(rows)
+            labels, rows, size = [], [], 0
+        labels.append(r["label"])
+        rows.append(np.asarray(r["centroid"], dtype=np.float64))
+        size += 8 * len(r["centroid"])
+    if rows:
+        yield labels, np.stack(rows)
 
 
 def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
     """Q6: adjusted Rand index between two labelings of the same rows."""
     comb2 = lambda c: c * (c - 1) / 2.0
-    cont = df.groupBy(a, b).agg(F.count(F.lit(1)).alias("nij"))
-    sa = cont.groupBy(a).agg(F.sum("nij").alias("ai")).agg(F.sum(comb2(F.col("ai"))).alias("sa"))
-    sb = cont.groupBy(b).agg(F.sum("nij").alias("bj")).agg(F.sum(comb2(F.col("bj"))).alias("sb"))
-    s = cont.agg(F.sum(comb2(F.col("nij"))).alias("sij"), F.sum("nij").alias("n"))
-    r1, ra, rb = s.first(), sa.first(), sb.first()
-    n = r1["n"] or 0
-    if n < 2:
-        return scalar_frame(df.sparkSession, ari=1.0)
-    exp = ra["sa"] * rb["sb"] / (n * (n - 1) / 2.0)
-    mx = (ra["sa"] + rb["sb"]) / 2.0
-    val = 1.0 if mx == exp else (r1["sij"] - exp) / (mx - exp)
-    return scalar_frame(df.sparkSession, ari=float(val))
-
-
-def scalar_frame(spark, **values) -> DataFrame:
-    """One-row frame of metric values computed by Spark aggregates."""
-    from pyspark.sql.types import DoubleType, StructField, StructType
-    schema = StructType([StructField(k, DoubleType()) for k in values])
-    return spark.createDataFrame([tuple(values.values())], schema)
+    cont = df.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count(F.lit(1)).alias("nij"))
+    # row sums, column sums and the total of the contingency table in one pass
+    sums = cont.groupingSets([["a"], ["b"], []], "a", "b").agg(
+        F.grouping_id().alias("g"), F.sum("nij").alias("s"), F.sum(comb2(F.col("nij"))).alias("pairs"))
+    t = sums.agg(F.sum(F.when(F.col("g") == 1, comb2(F.col("s")))).alias("sa"), F.sum(F.when(F.col("g") == 2, comb2(F.col("s")))).alias("sb"),
+                 F.max(F.when(F.col("g") == 3, F.col("s"))).alias("n"), F.max(F.when(F.col("g") == 3, F.col("pairs"))).alias("sij"))
+    exp = F.col("sa") * F.col("sb") / comb2(F.col("n"))
+    top = (F.col("sa") + F.col("sb")) / 2.0
+    value = F.when(F.coalesce("n", F.lit(0)) < 2, F.lit(1.0)).when(top == exp, F.lit(1.0)).otherwise((F.col("sij") - exp) / (top - exp))
+    return t.select(value.alias("ari"))
 
 
 def has_nan_inf(items: DataFrame, vec_col="vec") -> DataFrame:
@@ -191,11 +208,13 @@ def kmeans_labels(items: DataFrame, k: int, vec_col: str = "vec", seed: int = 42
 
 def standardise_vectors(items: DataFrame, vec_col: str = "vec", out: str = "z") -> DataFrame:
     """A4 + V2 on vectors: per-position mean and population std (zero std -> 0)."""
-    e = items.select(F.posexplode(F.col(vec_col).cast("array<double>")).alias("pos", "x"))
-    st = bounded_collect(e.groupBy("pos").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s")).orderBy("pos"),
-                         65_536, "vector positions")
-    mean = F.array(*[F.lit(float(r["m"])) for r in st])
-    std = F.array(*[F.lit(float(r["s"]) if r["s"] else 1.0) for r in st])
+    v = items.where(F.col(vec_col).isNotNull()).select(array_to_vector(F.col(vec_col).cast("array<double>")).alias("v"))
+    st = v.agg(Summarizer.metrics("mean", "std", "count").summary(F.col("v")).alias("st")).select("st.*").first()  # one row
+    if not st["count"]:
+        return items.withColumn(out, F.col(vec_col).cast("array<double>"))
+    pop = math.sqrt((st["count"] - 1) / st["count"])  # the summary has the sample deviation
+    mean = F.array(*[F.lit(float(m)) for m in st["mean"]])
+    std = F.array(*[F.lit(float(x) * pop or 1.0) for x in st["std"]])
     z = F.transform(F.col(vec_col).cast("array<double>"),
                     lambda x, i: (x - F.element_at(mean, i + 1)) / F.element_at(std, i + 1))
     return items.withColumn(out, z)
@@ -219,6 +238,7 @@ def sweep(items: DataFrame, dims_list, k_list, *, id_col="item_id", vec_col="vec
     rows = []
     kmax = max(k_list)
     n_labels = items.select(label_col).distinct().count()
+    n = items.count()
     for d in dims_list:
         red = reduce_dims(items, d, vec_col, "coords").select(id_col, label_col, "coords").cache()
         edges = labelled_edges(red.withColumnRenamed(id_col, "item_id"), k=kmax, id_col="item_id",
@@ -229,9 +249,11 @@ def sweep(items: DataFrame, dims_list, k_list, *, id_col="item_id", vec_col="vec
         db = davies_bouldin(ren, "coords", label_col).first()[0]
         cl = kmeans_labels(ren, n_labels, "coords").join(ren.select("item_id", label_col), "item_id")
         ari = adjusted_rand(cl, label_col, "cluster").first()[0]
+        # mean purity for every k in one pass over the edges: same-label edges up to rank k, over k and all points
+        same = F.col("src_label") == F.col("dst_label")
+        pur = edges.agg(*[F.count_if(same & (F.col("rank") <= k)).alias(f"k{k}") for k in k_list]).first()
         for k in k_list:
-            pur = mean_purity(ren, edges.where(F.col("rank") <= k), k).first()[0]
-            rows.append((int(d), int(k), float(sil), float(ch), float(db), float(pur), float(ari)))
+            rows.append((int(d), int(k), float(sil), float(ch), float(db), pur[f"k{k}"] / (k * n), float(ari)))
         edges.unpersist()
         red.unpersist()
     return spark.createDataFrame(rows, "dims int, k int, silhouette double, calinski_harabasz double, "

@@ -134,8 +134,8 @@ def man_reduce(spark, sf, k=2):
 
 @query("man_sweep")
 def man_sweep(spark, sf):
-    """Q9: quality metrics over a grid of (dimensions, k); one kNN per dimension setting."""
-    return M.sweep(vectors(spark, sf), [2, 3, 10], [5, 10])
+    """Q9: quality metrics over 30 cells of (dimensions, k); one kNN per dimension setting."""
+    return M.sweep(vectors(spark, sf), [2, 3, 5, 10, 20, 50], [5, 10, 15, 20, 30])
 
 
 @query("src_prepped", sql="""

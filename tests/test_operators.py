@@ -278,6 +278,32 @@ def test_assign_nearest_matches_numpy(spark):
         assert got[i] == best
 
 
+def test_assign_nearest_over_centroid_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    items = spark.createDataFrame([(i, rng.integers(-2, 3, size=2).astype(float).tolist()) for i in range(60)], "item_id long, vec array<double>")
+    cents = spark.createDataFrame([(f"c{i}", rng.integers(-2, 3, size=2).astype(float).tolist()) for i in range(9)], "label string, centroid array<double>")
+    whole = sorted(M.assign_nearest(items, cents).collect())
+    monkeypatch.setattr(M, "CENTROID_BYTES", 50)  # three centroids a block; ties across blocks keep the smaller label
+    monkeypatch.setattr(M, "SCORE_CELLS", 10)
+    assert sorted(M.assign_nearest(items, cents).collect()) == whole
+
+
+def test_rand_index_and_davies_bouldin_match_numpy(spark):
+    rng = np.random.default_rng(9)
+    X, lab, other = rng.normal(size=(50, 3)), rng.integers(0, 4, size=50), rng.integers(0, 3, size=50)
+    df = spark.createDataFrame([(i, X[i].tolist(), int(lab[i]), int(other[i])) for i in range(50)], "item_id long, vec array<double>, label int, c int")
+    two = lambda n: n * (n - 1) / 2
+    table = np.array([[((lab == a) & (other == b)).sum() for b in range(3)] for a in range(4)])
+    exp = two(table.sum(1)).sum() * two(table.sum(0)).sum() / two(50)
+    ari = (two(table).sum() - exp) / ((two(table.sum(1)).sum() + two(table.sum(0)).sum()) / 2 - exp)
+    assert M.adjusted_rand(df, "label", "c").first()["ari"] == pytest.approx(ari)
+    assert M.adjusted_rand(df.limit(0), "label", "c").first()["ari"] == 1.0
+    C = np.stack([X[lab == a].mean(0) for a in range(4)])
+    s = np.array([np.sqrt(((X[lab == a] - C[a]) ** 2).sum(1)).mean() for a in range(4)])
+    db = np.mean([max((s[i] + s[j]) / np.sqrt(((C[i] - C[j]) ** 2).sum()) for j in range(4) if j != i) for i in range(4)])
+    assert M.davies_bouldin(df).first()["davies_bouldin"] == pytest.approx(db)
+
+
 def test_random_draws_reach_the_whole_catalogue(spark):
     from cadenza.operators.sampling import random_recs
     items = spark.range(10_000).withColumnRenamed("id", "i")
