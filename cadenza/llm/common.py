@@ -31,6 +31,14 @@ def text_of(df: DataFrame, col: str = "text") -> Column:
     return F.coalesce(df[col].cast("string"), F.lit(""))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many leading underscores as no column of ``df`` has (names are compared without case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` under the shared folder and read it back.
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import materialise
+from cadenza.llm.common import free_name, materialise
 
 WINDOW = 10
 #: Words of one automaton: about 2 states and 3 transitions a word, under 100 MB in a worker.
@@ -261,9 +261,8 @@ def mark_column(text: Column, automaton, before: Column | None = None) -> Column
     return add(text, before)
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, mark: str = "mark") -> DataFrame:
-    """``docs`` with a column of marks: n_words, hit spans in words, item_ids that occur."""
-    shards = automata(benchmark, window)
+def mark_all(docs: DataFrame, shards: list, mark: str) -> DataFrame:
+    """``docs`` with the marks of all shards in one column."""
     out = docs.withColumn(mark, mark_column(docs["text"], shards[0]))
     for shard in shards[1:]:
         out = materialise(out, "marks")
@@ -271,6 +270,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, mark:
     return out
 
 
+def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, mark: str = "mark") -> DataFrame:
+    """``docs`` with a column of marks: n_words, hit spans in words, item_ids that occur."""
+    return mark_all(docs, automata(benchmark, window), mark)
+
+
 def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
     """``text`` without the words of ``spans`` and what stands between them."""
     at, out, words = 0, [], [m.span() for m in _WORD.finditer(text)]
@@ -300,18 +304,44 @@ def clean_column(text: Column, shard, max_coverage: float) -> Column:
     return clean.asNondeterministic()(text)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = 0.5) -> DataFrame:
+def cut_column(text: Column, mark: Column) -> Column:
+    """The text without the spans of a mark."""
+    @F.arrow_udf("string")
+    def cut(texts: pa.Array, marks: pa.Array) -> pa.Array:
+        rows = []
+        for t, m in zip(texts, marks):
+            spans = [(s["start"], s["stop"]) for s in m.as_py()["spans"]]
+            rows.append(cut_words(t.as_py(), spans) if spans else t.as_py())
+        return pa.array(rows, pa.string())
+    return cut(text, mark)
+
+
+def _by_shards(docs: DataFrame, shards: list, max_coverage: float) -> DataFrame:
+    """As ``clean_column`` does, with the marks of all shards put together before coverage is judged and spans are cut."""
+    mark = free_name(docs, "_mark")
+    out, first = docs, True
+    while True:
+        marked = materialise(mark_all(out, shards, mark), "marked")
+        if first:
+            n_hit = F.aggregate(f"{mark}.spans", F.lit(0).cast("bigint"), lambda n, s: n + s["stop"] - s["start"])
+            marked, first = marked.where(n_hit <= max_coverage * F.col(f"{mark}.n_words")), False
+        if marked.where(F.size(f"{mark}.spans") > 0).isEmpty():
+            return marked.drop(mark)
+        cut = cut_column(F.col("text"), F.col(mark)).alias("text")
+        out = marked.select(*[cut if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = 0.5, shard_words: int = SHARD_WORDS) -> DataFrame:
     """``docs`` (all columns) without hit spans; documents with a larger share of hit words are dropped.
 
     Words that come together where a span is cut are scanned again, until no
-    window is left.  With several shards that holds after a second round of
-    passes, written in between like the first.
+    window is left.  With one shard that happens inside each task; with
+    several, the documents pass once for each shard, the marks are put
+    together, and the passes are repeated until nothing is marked.
     """
-    shards = automata(benchmark, window)
-    out = docs
-    for shard in shards if len(shards) == 1 else [*shards, *shards]:
-        cleaned = out.withColumn("_clean", clean_column(out["text"], shard, max_coverage)).where("_clean.keep")
-        out = cleaned.select(*[F.col("_clean.text").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
-        if len(shards) > 1:
-            out = materialise(out, "cleaned")
-    return out
+    shards = automata(benchmark, window, shard_words)
+    if len(shards) > 1:
+        return _by_shards(docs, shards, max_coverage)
+    clean = free_name(docs, "_clean")
+    cleaned = docs.withColumn(clean, clean_column(docs["text"], shards[0], max_coverage)).where(f"{clean}.keep")
+    return cleaned.select(*[F.col(f"{clean}.text").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import BLANKS, LOWER, UPPER, let, materialise, text_of
+from cadenza.llm.common import BLANKS, LOWER, UPPER, free_name, let, materialise, text_of
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -61,21 +61,22 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     )
 
 
-def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """``docs`` with the kept text in place of text, and columns _n_lines and _n_dropped."""
-    marked = docs.withColumn("_th", F.xxhash64(text_of(docs)))
-    maps = bitmaps.select(F.col("doc_id").alias("_bid"), F.col("th").alias("_bth"), "n_dropped", F.col("keep").alias("_keep"))
-    maps = maps.withColumnRenamed("n_dropped", "_n_dropped")
-    joined = marked.join(maps, (marked["doc_id"] == maps["_bid"]) & (marked["_th"] == maps["_bth"]), "left")
+def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, n_lines: str = "_n_lines", n_dropped: str = "_n_dropped") -> DataFrame:
+    """``docs`` with the kept text in place of text, and two columns of line counts."""
+    th, bid, bth, lost, keep = (free_name(docs, c) for c in ("_th", "_bid", "_bth", "_lost", "_keep"))
+    marked = docs.withColumn(th, F.xxhash64(text_of(docs)))
+    maps = bitmaps.select(F.col("doc_id").alias(bid), F.col("th").alias(bth), F.col("n_dropped").alias(lost), F.col("keep").alias(keep))
+    joined = marked.join(maps, (marked["doc_id"] == maps[bid]) & (marked[th] == maps[bth]), "left")
     lines = lines_of(text_of(docs))
     n_words = F.shiftright(F.size(lines) - 1, 6)
-    dense = F.transform(F.sequence(F.lit(0), n_words), lambda w: F.coalesce(F.element_at("_keep", w), F.lit(-1).cast("bigint")))
+    dense = F.transform(F.sequence(F.lit(0), n_words), lambda w: F.coalesce(F.element_at(keep, w), F.lit(-1).cast("bigint")))
     kept = let(dense, lambda bits: F.filter(lines, lambda line, i: F.getbit(F.element_at(bits, F.shiftright(i, 6) + 1), i.bitwiseAND(63)) == 1))
-    text = F.when(F.col("_keep").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    text = F.when(F.col(keep).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     cols = [text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    return joined.select(*cols, F.size(lines).cast("bigint").alias("_n_lines"), F.coalesce("_n_dropped", F.lit(0).cast("bigint")).alias("_n_dropped"))
+    return joined.select(*cols, F.size(lines).cast("bigint").alias(n_lines), F.coalesce(lost, F.lit(0).cast("bigint")).alias(n_dropped))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """``docs`` (all columns) without common lines."""
-    return apply_bitmaps(docs, keep_bitmaps(docs, min_chars, min_docs)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    counts = [free_name(docs, c) for c in ("_n_lines", "_n_dropped")]
+    return apply_bitmaps(docs, keep_bitmaps(docs, min_chars, min_docs), *counts).drop(*counts)

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import LOWER, UPPER, materialise
+from cadenza.llm.common import LOWER, UPPER, free_name, materialise
 
 SEED = 42
 #: Fingerprints of one side of a tile.
@@ -257,7 +257,8 @@ def keep_one(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
     groups = materialise(group_fingerprints(distinct, radius), "groups")
     keepers = groups.where("component_id is not null").select(F.col("component_id").alias("doc_id")).distinct()
     kept = docs.join(keepers, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    lone = groups.where("component_id is null").select(F.col("fp").alias("_simhash_fp"))
-    unnamed = docs.where("doc_id is null").withColumn("_simhash_fp", fingerprint_column(docs["text"], shingle))
-    unnamed = unnamed.join(lone, "_simhash_fp", "left_semi").dropDuplicates(["_simhash_fp"]).drop("_simhash_fp")
+    fp = free_name(docs, "_fp")
+    lone = groups.where("component_id is null").select(F.col("fp").alias(fp))
+    unnamed = docs.where("doc_id is null").withColumn(fp, fingerprint_column(docs["text"], shingle))
+    unnamed = unnamed.join(lone, fp, "left_semi").dropDuplicates([fp]).drop(fp)
     return kept.select(*docs.columns).unionByName(unnamed.select(*docs.columns))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm import decontaminate, line_dedup, piece_bpe, quality_rff, simhash
-from cadenza.llm.common import prepare, read, text_of
+from cadenza.llm.common import free_name, prepare, read, text_of
 from cadenza.session import shared_path
 
 
@@ -46,10 +46,11 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their token ids (end id included) and the text decoded from them."""
     prepare(spark)
-    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "ids", "n_tokens", "_pieces")]
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "ids", "n_tokens")]
+    name = free_name(docs, "_pieces")
     both = piece_bpe.round_trip_column(text_of(docs), public_tokenizers.path("piece_bpe_32k.model"))
-    encoded = docs.select(*others, both.alias("_pieces"))
-    return encoded.select(*others, "_pieces.text", F.size("_pieces.ids").cast("bigint").alias("n_tokens"), "_pieces.ids")
+    encoded = docs.select(*others, both.alias(name))
+    return encoded.select(*others, f"{name}.text", F.size(f"{name}.ids").cast("bigint").alias("n_tokens"), f"{name}.ids")
 
 
 STAGES = [

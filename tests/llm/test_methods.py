@@ -182,8 +182,14 @@ def test_shards_and_pieces_of_a_large_benchmark(spark, monkeypatch):
     for r in decontaminate.overlaps(docs, bench).collect():
         n, hit, found = brute.contamination(dict(texts)[r["doc_id"]], items)
         assert (r["mark"]["n_words"], sum(s["stop"] - s["start"] for s in r["mark"]["spans"]), r["mark"]["items"]) == (n, hit, found)
-    for r in decontaminate.decontaminate(docs, bench).collect():
-        assert brute.contamination(r["text"], items)[1] == 0
+    whole = {r["doc_id"]: r["text"] for r in decontaminate.decontaminate(docs, bench).collect()}
+    assert whole and all(brute.contamination(t, items)[1] == 0 for t in whole.values())
+    # coverage counts the spans of all shards together
+    assert whole == {r["doc_id"]: r["text"] for r in decontaminate.decontaminate(docs, bench, shard_words=300).collect()}
+    mostly = spark.createDataFrame([(1, " ".join(f"{t} gap{i}" for i, t in items if len(t.split()) >= 10)), (2, "clean"), (3, None)], "doc_id long, text string")
+    for words in (300, 200_000):
+        got = decontaminate.decontaminate(mostly.withColumn("_mark", F.lit(7)), bench, shard_words=words)
+        assert sorted(map(tuple, got.collect())) == [(2, "clean", 7), (3, None, 7)]
 
 
 def test_spans_are_cut_and_covered_documents_dropped(spark):
@@ -307,6 +313,17 @@ def test_bitmaps_leave_full_words_out(spark):
         assert "\n".join(lines[n] for n in kept) == brute.line_dedup(ROWS)[i][2] and all(w != -1 for w in r["keep"].values())
 
 
+def test_inner_names_as_columns(spark):
+    rows = [(i, "a line that three documents share\nown line %d" % i) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for c in ("_th", "_BID", "_bth", "_lost", "_keep", "_n_lines", "_n_dropped", "_fp", "_clean"):
+        docs = docs.withColumn(c, F.lit(c))
+    bench = spark.createDataFrame(brute.ITEMS[:1], "item_id long, text string")
+    for out in (line_dedup.dedup_lines(docs), simhash.keep_one(docs), decontaminate.decontaminate(docs, bench)):
+        assert out.columns == docs.columns
+        assert all(r[c] == c for r in out.collect() for c in docs.columns[2:])
+
+
 def test_repeated_rows_and_rows_without_id(spark):
     rows = [(1, brute.LINE), (1, brute.LINE), (2, brute.LINE), (None, brute.LINE), (3, f"x\n{brute.LINE}")]
     got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
