@@ -126,11 +126,13 @@ def test_metrics_empty_and_single(spark):
     assert ("m", 3) not in per  # seed without relevant items is skipped
 
 
-def test_item_cf_against_brute_force(spark):
+@pytest.mark.parametrize("part_likes", [3, 512])
+def test_item_cf_against_brute_force(spark, part_likes):
     rng = np.random.default_rng(1)
-    likes = [(u, int(i)) for u in range(60) for i in rng.choice(40, size=8, replace=False)]
-    df = spark.createDataFrame(likes, "user_id long, item_id long")
-    got = {(r["seed_id"], r["rec_id"]): r["score"] for r in item_cf(df, k=5, n_blocks=3).collect()}
+    likes = {(u, int(i)) for u in range(60) for i in rng.choice(40, size=8, replace=False)}
+    likes |= {(u, 7) for u in range(0, 60, 3)} | {(5, i) for i in range(40)}  # a hot item and a heavy user
+    df = spark.createDataFrame([*likes, *list(likes)[:50]], "user_id long, item_id long")
+    got = {(r["seed_id"], r["rec_id"]): r["score"] for r in item_cf(df, k=5, part_likes=part_likes).collect()}
     A = np.zeros((60, 40))
     for u, i in likes:
         A[u, i] = 1
@@ -144,6 +146,14 @@ def test_item_cf_against_brute_force(spark):
         assert [b for (x, b), _ in sorted(got.items(), key=lambda t: (t[0][0], -round(t[1], 9), t[0][1])) if x == a] == want
 
 
+def test_item_cf_splits_a_heavy_user(spark):
+    df = spark.range(2000).selectExpr("1L AS user_id", "id AS item_id")
+    out = item_cf(df, k=2, part_likes=100)
+    assert out.count() == 4000 and out.agg({"score": "min"}).first()[0] == 1.0
+    # a pair of items is formed once for each user that likes both
+    assert item_cf(df.limit(50).union(df.limit(50).selectExpr("2L", "item_id")), k=49, part_likes=7).agg({"score": "max"}).first()[0] == 1.0
+
+
 def test_manifold_metrics_against_numpy(spark):
     rng = np.random.default_rng(2)
     X = np.concatenate([rng.normal(0, 1, (20, 3)), rng.normal(3, 1, (20, 3)), rng.normal(-3, 1, (1, 3))])
