@@ -6,9 +6,9 @@
 * ``triplets`` (M5) draws, per anchor and epoch, a positive from its own
   genre and a negative from a uniformly drawn other genre, by hash, joined
   on (genre, position) - no list of ids per genre is ever collected.
-* ``train`` (M6): per epoch one pass over the triplets; every Arrow batch
-  computes numpy gradients of the triplet margin loss, a ``Summarizer.sum``
-  aggregate adds them up (partial aggregation), AdamW runs on the driver
+* ``train`` (M6): per epoch one pass over the triplets; every task
+  adds up numpy gradients of the triplet margin loss, a ``Summarizer.sum``
+  aggregate adds up the tasks, AdamW runs on the driver
   over the small weight set and the new weights are broadcast.
 """
 from __future__ import annotations
@@ -176,16 +176,18 @@ def train(trip_vectors: DataFrame, model: GatedModel, *, epochs: int, lr: float
         bc = spark.sparkContext.broadcast(m)
 
         def fn(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            mm = bc.value
+            mm, total = bc.value, {}
             for pdf in it:
                 if pdf.empty:
                     continue
                 st = lambda c: np.stack([np.asarray(v, dtype=np.float64) for v in pdf[c].values])
                 loss, grads, ps, ns = triplet_loss_and_grads(mm, st("a_audio"), st("a_text"), st("p_audio"),
                                                              st("p_text"), st("n_audio"), st("n_text"), margin)
-                rows = [(f"{k}:{j}", grads[k][j].ravel().tolist()) for k in grads for j in (0, 1)]
-                rows.append(("__mon", [loss, ps, ns, float(len(pdf))]))
-                yield pd.DataFrame(rows, columns=["name", "g"])
+                sums = {f"{k}:{j}": grads[k][j].ravel() for k in grads for j in (0, 1)}
+                sums["__mon"] = np.array([loss, ps, ns, float(len(pdf))])
+                total = {name: total[name] + g if name in total else g for name, g in sums.items()}
+            if total:  # one gradient a task
+                yield pd.DataFrame({"name": list(total), "g": [g.tolist() for g in total.values()]})
 
         batch = trip_vectors.where(F.col(epoch_col) == ep)
         part = batch.mapInPandas(fn, schema)
