@@ -21,7 +21,7 @@ from cadenza.operators.similarity import distance_sums_by_label, knn_edges
 CENTROID_BYTES = 64 * 1024 * 1024
 # Distances (items x centroids) that a task computes at once.
 SCORE_CELLS = 4_000_000
-# Hash blocks that centroid pairs are dealt to.
+# Hash blocks that pairs of labels or centroids are dealt to.
 PAIR_BLOCKS = 16
 
 
@@ -51,9 +51,10 @@ def neighbor_matrix(edges: DataFrame, labels: DataFrame, label_col="label") -> D
     counts = edges.groupBy(F.col("src_label").alias("anchor_label"),
                            F.col("dst_label").alias("neighbor_label")).agg(F.count(F.lit(1)).alias("n"))
     la = labels.select(F.col(label_col).alias("anchor_label")).distinct()
-    # the result has a row for each pair of labels; their list is one row beside it
-    names = la.agg(F.collect_list("anchor_label").alias("names"))
-    grid = la.join(F.broadcast(names)).select("anchor_label", F.explode("names").alias("neighbor_label"))
+    # the result has a row for each pair of labels: every anchor meets every block of neighbours
+    blocks = F.sequence(F.lit(0).cast("long"), F.lit(PAIR_BLOCKS - 1).cast("long"))
+    lb = la.select(F.col("anchor_label").alias("neighbor_label"), F.pmod(F.xxhash64("anchor_label"), F.lit(PAIR_BLOCKS)).alias("block"))
+    grid = la.withColumn("block", F.explode(blocks)).join(lb, "block").drop("block")
     return (grid.join(counts, ["anchor_label", "neighbor_label"], "left")
                 .select("anchor_label", "neighbor_label", F.coalesce("n", F.lit(0)).cast("long").alias("n")))
 
@@ -198,7 +199,7 @@ def has_nan_inf(items: DataFrame, vec_col="vec") -> DataFrame:
 
 
 def kmeans_labels(items: DataFrame, k: int, vec_col: str = "vec", seed: int = 42, id_col: str = "item_id",
-                  max_iter: int = 20) -> DataFrame:
+                  max_iter: int = 300) -> DataFrame:
     """M7 / Q7: k-means (k-means|| init, fixed seed) cluster of every item."""
     from pyspark.ml.clustering import KMeans
     v = items.select(F.col(id_col).alias("item_id"), array_to_vector(F.col(vec_col).cast("array<double>")).alias("features"))
@@ -206,6 +207,18 @@ def kmeans_labels(items: DataFrame, k: int, vec_col: str = "vec", seed: int = 42
     return model.transform(v).select("item_id", F.col("prediction").cast("int").alias("cluster"))
 
 
+def settled(items: DataFrame, k: int, vec_col: str = "vec", id_col: str = "item_id", slack: float = 1e-3) -> DataFrame:
+    """Items of a k-means clustering, and those no nearer (by ``slack``) to another cluster's mean than to their own's."""
+    rows = items.select(F.col(id_col).alias("item_id"), F.col(vec_col).cast("array<double>").alias("vec"))
+    own = rows.join(kmeans_labels(rows, k), "item_id")
+    means = centroids(own, "vec", "cluster").select("label", "centroid")
+    near = assign_nearest(rows, means).select("item_id", F.col("cluster").alias("near"))
+    away = lambda c: F.sqrt(sqdist(F.col("vec"), F.col(c)))
+    both = own.join(near, "item_id").join(means.select(F.col("label").alias("cluster"), F.col("centroid").alias("c_own")), "cluster") \
+              .join(means.select(F.col("label").alias("near"), F.col("centroid").alias("c_near")), "near")
+    return both.agg(F.count(F.lit(1)).alias("n_items"), F.count_if(away("c_own") <= away("c_near") + slack).alias("n_settled"))
+
+
 def standardise_vectors(items: DataFrame, vec_col: str = "vec", out: str = "z") -> DataFrame:
     """A4 + V2 on vectors: per-position mean and population std (zero std -> 0)."""
     v = items.where(F.col(vec_col).isNotNull()).select(array_to_vector(F.col(vec_col).cast("array<double>")).alias("v"))
