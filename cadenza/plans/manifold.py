@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from cadenza.operators import manifold as M
 from cadenza.operators.aggregates import vector_mean
-from cadenza.plans.registry import query
+from cadenza.plans.registry import REGISTRY, query
 from cadenza.sources.tables import vectors
 
 K = 10
@@ -17,6 +17,19 @@ _NB = (_E + ", p AS (SELECT a.vec_id AS src, b.vec_id AS dst, a.label AS sl, b.l
 _PP = _NB + f", pp AS (SELECT src, sl, sum(CASE WHEN sl = dl THEN 1 ELSE 0 END) / {float(K)} AS purity FROM nb GROUP BY src, sl)"
 
 
+#: The vectors of ``e``, standardised.
+STANDARD_SQL = (
+    _E.replace("e AS", "e0 AS") + ", x0 AS (SELECT vec_id, label, generate_subscripts(v, 1) AS pos, unnest(v) AS val FROM e0), "
+    "s0 AS (SELECT pos, avg(val) AS m, stddev_pop(val) AS s FROM x0 GROUP BY pos), "
+    "e AS (SELECT vec_id, list((val - m) / CASE WHEN s = 0 THEN 1 ELSE s END ORDER BY x0.pos) AS v, label FROM x0 JOIN s0 ON x0.pos = s0.pos GROUP BY vec_id, label)"
+)
+
+
+def on_standardised(name: str) -> str:
+    """The SQL of a query of this module over the standardised vectors."""
+    return REGISTRY[name].sql.replace(_E, STANDARD_SQL)
+
+
 def _edges(spark, sf):
     items = vectors(spark, sf)
     return items, M.labelled_edges(items, k=K)

@@ -8,6 +8,7 @@ from cadenza.operators import training as TR
 from cadenza.operators.model import GatedModel, score
 from cadenza.plans.common import h_sql, song_items
 from cadenza.plans.ideation import EMB, HID, IN, LIB_SQL, cos_sql
+from cadenza.plans.manifold import K, STANDARD_SQL, on_standardised
 from cadenza.plans.registry import query
 from cadenza.session import cut_lineage, shared_path
 from cadenza.sources import files as S
@@ -70,13 +71,16 @@ def _dist_sql(a, b):
     return f"sqrt(list_sum(list_transform(list_zip({a}, {b}), lambda t: (t[1] - t[2] + 1e-6) * (t[1] - t[2] + 1e-6))))"
 
 
-@query("mod_monitors", sql=f"""
+_MONITOR_SQL = f"""
 WITH {LIB_SQL}, tl AS (SELECT song_id, genre FROM lib), {_triplet_sql('tl')},
 j AS (SELECT trip.epoch, a.fe AS ae, p.fe AS pe, n.fe AS ne FROM trip JOIN lib a ON a.song_id = trip.anchor
       JOIN lib p ON p.song_id = trip.positive JOIN lib n ON n.song_id = trip.negative)
 SELECT epoch, round(avg({cos_sql('ae', 'pe')}), 6) AS pos_sim, round(avg({cos_sql('ae', 'ne')}), 6) AS neg_sim,
        round(avg(greatest({_dist_sql('ae', 'pe')} - {_dist_sql('ae', 'ne')} + 0.2, 0.0)), 6) AS loss FROM j GROUP BY epoch
-""")
+"""
+
+
+@query("mod_monitors", sql=_MONITOR_SQL)
 def mod_monitors(spark, sf):
     """M4: per epoch mean positive / negative cosine and mean triplet loss of the scored library."""
     s = score(library(spark, sf), GatedModel.from_formula(IN, IN, EMB, HID)).select("song_id", "genre", "final_embedding").cache()
@@ -111,12 +115,27 @@ def mod_train(spark, sf, epochs=3, lr=0.01):
                                  "epoch int, loss double, pos_sim double, neg_sim double, lr double")
 
 
+@query("mod_train_first_epoch", sql=f"SELECT * FROM ({_MONITOR_SQL}) WHERE epoch = 0")
+def mod_train_first_epoch(spark, sf):
+    """M6: monitors of the first epoch, before any step: those of the untrained model."""
+    _, hist = TR.train(cut_lineage(trip_vectors(spark, sf, [0])), GatedModel.from_formula(IN, IN, EMB, HID), epochs=1)
+    first = spark.createDataFrame([(int(h["epoch"]), float(h["pos_sim"]), float(h["neg_sim"]), float(h["loss"])) for h in hist],
+                                  "epoch long, pos_sim double, neg_sim double, loss double")
+    return first.select("epoch", *[F.round(c, 6).alias(c) for c in ("pos_sim", "neg_sim", "loss")])
+
+
 @query("mod_kmeans")
 def mod_kmeans(spark, sf, k=20):
     """M7: k-means (k = 20, seed 42) on the catalogue's audio vectors."""
     return M.kmeans_labels(song_items(spark, sf), k, "vec")
 
 
+@query("mod_kmeans_settled", sql="SELECT count(*) AS n_items, count(*) AS n_settled FROM part")
+def mod_kmeans_settled(spark, sf, k=20):
+    """M7: items, and those as near to the mean of their own cluster as to any other's."""
+    return M.settled(song_items(spark, sf), k)
+
+
 @query("man_cluster_labels")
 def man_cluster_labels(spark, sf):
     """Q7: k-means with as many clusters as labels on the embedding."""
@@ -125,6 +144,13 @@ def man_cluster_labels(spark, sf):
     return M.kmeans_labels(v, k, "vec")
 
 
+@query("man_cluster_settled", sql="SELECT count(*) AS n_items, count(*) AS n_settled FROM embeddings")
+def man_cluster_settled(spark, sf):
+    """Q7: the same of the clusters of the embedding."""
+    v = vectors(spark, sf)
+    return M.settled(v, v.select("label").distinct().count())
+
+
 @query("man_reduce")
 def man_reduce(spark, sf, k=2):
     """Q8: standardised embedding reduced to k principal components."""
@@ -138,6 +164,34 @@ def man_sweep(spark, sf):
     return M.sweep(vectors(spark, sf), [2, 3, 5, 10, 20, 50], [5, 10, 15, 20, 30])
 
 
+def _full_rank(spark, sf):
+    v = vectors(spark, sf)
+    return v, v.agg(F.max(F.size("vec"))).first()[0]
+
+
+@query("man_reduce_full_rank", sql=f"""
+WITH {STANDARD_SQL} SELECT vec_id AS item_id, label, round(sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS norm FROM e
+""")
+def man_reduce_full_rank(spark, sf):
+    """Q8 with as many components as dimensions: lengths of the standardised vectors are kept."""
+    v, dims = _full_rank(spark, sf)
+    r = M.reduce_dims(v, dims, "vec", "coords")
+    norm = F.sqrt(F.aggregate("coords", F.lit(0.0), lambda s, x: s + x * x))
+    return r.select("item_id", "label", F.round(norm, 6).alias("norm"))
+
+
+@query("man_sweep_full_rank", sql=f"""
+SELECT (SELECT max(len(embedding)) FROM embeddings) AS dims, {K} AS k,
+       ({on_standardised("man_silhouette")}) AS silhouette, ({on_standardised("man_calinski_harabasz")}) AS calinski_harabasz,
+       ({on_standardised("man_davies_bouldin")}) AS davies_bouldin, ({on_standardised("man_purity")}) AS purity
+""")
+def man_sweep_full_rank(spark, sf):
+    """Q9's cell with as many components as dimensions: a rotation, so the metrics are those of the standardised vectors."""
+    v, dims = _full_rank(spark, sf)
+    cell = M.sweep(v, [dims], [K])
+    return cell.select("dims", "k", *[F.round(c, 6).alias(c) for c in ("silhouette", "calinski_harabasz", "davies_bouldin", "purity")])
+
+
 @query("src_prepped", sql="""
 WITH s AS (SELECT p_partkey AS song_id, p_type AS genre, list_concat(string_split(replace(p_name, ' ', ' - '), ' - '),
   string_split(lower(p_type) || ' - ' || p_brand, ' - ')) AS toks FROM part),
