@@ -181,7 +181,7 @@ def man_reduce_full_rank(spark, sf):
 
 
 @query("man_sweep_full_rank", sql=f"""
-SELECT (SELECT max(len(embedding)) FROM embeddings) AS dims, {K} AS k,
+SELECT (SELECT max(len(embedding)) FROM embeddings) AS dims, {K}::BIGINT AS k,
        ({on_standardised("man_silhouette")}) AS silhouette, ({on_standardised("man_calinski_harabasz")}) AS calinski_harabasz,
        ({on_standardised("man_davies_bouldin")}) AS davies_bouldin, ({on_standardised("man_purity")}) AS purity
 """)
@@ -189,7 +189,7 @@ def man_sweep_full_rank(spark, sf):
     """Q9's cell with as many components as dimensions: a rotation, so the metrics are those of the standardised vectors."""
     v, dims = _full_rank(spark, sf)
     cell = M.sweep(v, [dims], [K])
-    return cell.select("dims", "k", *[F.round(c, 6).alias(c) for c in ("silhouette", "calinski_harabasz", "davies_bouldin", "purity")])
+    return cell.select(*[F.col(c).cast("long").alias(c) for c in ("dims", "k")], *[F.round(c, 6).alias(c) for c in ("silhouette", "calinski_harabasz", "davies_bouldin", "purity")])
 
 
 @query("src_prepped", sql="""
