@@ -8,6 +8,12 @@ sizes are never compared, and units that share no bigram with any template are
 left at once.  A text whose bigrams cannot reach any template's lower bound is
 not cut into units at all.
 
+A notice may be wrapped over lines, commented or inside a longer sentence.  So
+paragraphs (the text cut at blank lines) are units too, and for each template
+every window of its length over the whole word sequence is compared.
+Windows that match and start at most half a window apart are one passage, with
+the best Dice of them.
+
 One projection of SQL functions; templates are literals of the plan.
 
 Defined results: null and empty texts match nothing; a unit of one word has no
@@ -26,6 +32,7 @@ from cadenza.llm.common import LOWER, UPPER, let, text_of
 
 THRESHOLD = 0.8
 SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+PARAGRAPH = r"\n[\x20\x09-\x0D]*\n"
 
 #: Notices of common licences.
 TEMPLATES = (
@@ -84,16 +91,25 @@ def units_of(text: Column) -> Column:
     return F.array_distinct(F.concat(F.array(text), F.split(text, "\n", -1), sentences))
 
 
-def unit_bigrams(unit: Column) -> Column:
-    """Distinct bigrams of a unit."""
+def paragraphs_of(text: Column) -> Column:
+    """The text cut at blank lines."""
+    return F.split(text, PARAGRAPH, -1)
+
+
+def bigrams_of(unit: Column) -> Column:
+    """All bigrams of a unit, in order."""
     def pairs(w: Column) -> Column:
         n = F.size(w) - 1
-        both = F.zip_with(F.slice(w, 1, F.greatest(n, F.lit(0))), F.slice(w, 2, F.greatest(n, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-        return F.array_distinct(both)
+        return F.zip_with(F.slice(w, 1, F.greatest(n, F.lit(0))), F.slice(w, 2, F.greatest(n, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
 
     return let(F.filter(F.split(F.translate(unit, UPPER, LOWER), SPLIT), lambda x: x != ""), pairs)
 
 
+def unit_bigrams(unit: Column) -> Column:
+    """Distinct bigrams of a unit."""
+    return F.array_distinct(bigrams_of(unit))
+
+
 def _count_in(bigrams: Column, wanted: list[str]) -> Column:
     return F.size(F.filter(bigrams, lambda g: g.isin(wanted)))
 
@@ -119,12 +135,59 @@ def match_unit(unit: Column, threshold: float = THRESHOLD, templates=TEMPLATES)
     return let(summary, compare)
 
 
-def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD, templates=TEMPLATES) -> DataFrame:
-    """doc_id and matches: array<struct<dice, license>> over all units of each text.
+def match_windows(bigrams: Column, threshold: float = THRESHOLD, templates=TEMPLATES) -> Column:
+    """array<struct<dice, license>> of the passages of a text, given all its bigrams in order.
+
+    Only windows with as many template bigrams as the lower size bound can
+    match; they are found from the places of those bigrams, so windows without
+    them cost nothing.
+    """
+    none = F.array().cast("array<struct<dice:double,license:string>>")
+    ints = F.array().cast("array<int>")
+
+    def passages(name: str, gs: list[str], size: int) -> Column:
+        b, low = len(gs), max(size_bounds(len(gs), threshold)[0], 1)
+
+        def starts(p: Column) -> Column:
+            """p: places of the template's bigrams.  All starts of windows with at least `low` places, by the first place in the window."""
+            def of(k: Column) -> Column:
+                far = F.get(p, k + (low - 1)) - (size - 1)
+                ends = F.struct(F.greatest(far, F.coalesce(F.get(p, k - 1) + 1, F.lit(0)), F.lit(0)).alias("lo"), F.least(F.get(p, k), F.size(bigrams) - size).alias("hi"))
+                return let(ends, lambda e: F.when(e["lo"] <= e["hi"], F.sequence(e["lo"], e["hi"])).otherwise(ints))
+
+            return F.when(F.size(p) >= low, F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(F.size(p) - low, F.lit(0))), of))).otherwise(ints)
+
+        def scored(at: Column) -> Column:
+            dice = let(F.array_distinct(F.slice(bigrams, at + 1, size)), lambda a: 2.0 * _count_in(a, gs) / (F.size(a) + b))
+            return F.struct(at.alias("at"), dice.alias("dice"))
+
+        def joined(m: Column) -> Column:
+            heads = F.filter(F.transform(m, lambda x, i: F.when((i == 0) | (2 * (x["at"] - F.get(m, i - 1)["at"]) > size), i)), lambda i: i.isNotNull())
+            one = lambda h, i, hs: F.slice(m, h + 1, F.coalesce(F.get(hs, i + 1), F.size(m)) - h)
+            return let(heads, lambda hs: F.transform(hs, lambda h, i: F.struct(F.array_max(F.transform(one(h, i, hs), lambda x: x["dice"])).alias("dice"), F.lit(name).alias("license"))))
+
+        places = F.filter(F.transform(bigrams, lambda g, i: F.when(g.isin(gs), i)), lambda i: i.isNotNull())
+        return let(F.filter(F.transform(let(places, starts), scored), lambda x: x["dice"] >= threshold), joined)
+
+    grams = [(name, template_bigrams(t), len(template_words(t)) - 1) for name, t in templates]
+    grams = [x for x in grams if x[1]]
+    if not grams:
+        return none
+    every = sorted({g for _, gs, _ in grams for g in gs})
+
+    def by_template(shared: Column) -> Column:
+        # a template without enough shared bigrams in the whole text has no window
+        return F.flatten(F.array(*[F.when(_count_in(shared, gs) >= size_bounds(len(gs), threshold)[0], passages(name, gs, size)).otherwise(none) for name, gs, size in grams]))
+
+    return let(F.filter(F.array_distinct(bigrams), lambda g: g.isin(every)), by_template)
+
+
+def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD, templates=TEMPLATES, passages: bool = True) -> DataFrame:
+    """doc_id and matches: array<struct<dice, license>> over all units and passages of each text.
 
-    Every bigram of a line or sentence is one of the whole text, so a text
-    that has too few of each template's bigrams has no unit that matches, and
-    is not cut into units.
+    Every bigram of a unit or window is one of the whole text, so a text that
+    has too few of each template's bigrams has none that matches, and is not
+    cut.  Without ``passages``, units are the whole text, lines and sentences.
     """
     grams = [template_bigrams(t) for _, t in templates]
     every = sorted({g for gs in grams for g in gs})
@@ -136,7 +199,10 @@ def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD, templates=TEMPL
         return (F.size(shared) > 0) & reduce(or_, hits, F.lit(False))
 
     possible = let(F.filter(unit_bigrams(text), lambda g: g.isin(every)), enough)
-    matches = F.flatten(F.transform(units_of(text), lambda u: match_unit(u, threshold, templates)))
+    units = F.array_distinct(F.concat(units_of(text), paragraphs_of(text))) if passages else units_of(text)
+    matches = F.flatten(F.transform(units, lambda u: match_unit(u, threshold, templates)))
+    if passages:
+        matches = F.concat(matches, let(bigrams_of(text), lambda g: match_windows(g, threshold, templates)))
     none = F.array().cast("array<struct<dice:double,license:string>>")
     return docs.select("doc_id", text_of(docs).alias("text")).select("doc_id", F.when(possible, matches).otherwise(none).alias("matches"))
 

@@ -67,6 +67,11 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.summarise(license_scan.scan_licenses(read(spark, sf_dir, "documents"), passages=False))
+
+
+def op10_license_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op10 over paragraphs and wrapped passages too."""
     return license_scan.summarise(license_scan.scan_licenses(read(spark, sf_dir, "documents")))
 
 
@@ -141,5 +146,39 @@ FROM texts LEFT JOIN kept USING (doc_id) GROUP BY doc_id
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_decontaminate, op3_token_files, op4_personal_data, op5_piece_bpe, op6_line_dedup, op7_quality, op8_simhash, op9_quality_rules, op10_license_scan)}
-ORACLES = {"op6_line_dedup": LINE_SQL, "op9_quality_rules": _rules_sql(), "op10_license_scan": _license_sql()}
+def _passage_sql() -> str:
+    t = license_scan.THRESHOLD
+    rows = [(i, name, g) for i, (name, text) in enumerate(license_scan.TEMPLATES) for g in license_scan.template_bigrams(text)]
+    values = ", ".join(f"({i}, '{name}', '{g}')" for i, name, g in rows)
+    sizes = ", ".join(f"({i}, {len(license_scan.template_words(text)) - 1})" for i, (_, text) in enumerate(license_scan.TEMPLATES))
+    words = f"list_filter(string_split_regex(translate(u, '{UPPER}', '{LOWER}'), '{license_scan.SPLIT}'), lambda x: x <> '')"
+    return rf"""
+WITH grams(tid, license, g) AS (VALUES {values}),
+sizes(tid, n) AS (VALUES {sizes}),
+templates AS (SELECT tid, license, n, list(g) AS tg, count(*) AS b FROM grams JOIN sizes USING (tid) GROUP BY ALL),
+texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+units AS (SELECT doc_id, unnest(list_distinct([t] || string_split(t, chr(10)) || string_split(regexp_replace(t, '([.!?]) +', '' || chr(10), 'g'), chr(10)) || string_split_regex(t, '{license_scan.PARAGRAPH}'))) AS u FROM texts),
+words AS (SELECT doc_id, row_number() OVER () AS uid, {words} AS w FROM units),
+pairs AS (SELECT DISTINCT doc_id, uid, w[i] || ' ' || w[i + 1] AS g FROM (SELECT *, unnest(range(1, len(w))) AS i FROM words)),
+unit AS (SELECT uid, count(*) AS a FROM pairs GROUP BY uid),
+found AS (
+  SELECT doc_id, license, 2.0::DOUBLE * count(*) / (any_value(a) + any_value(b)) AS dice
+  FROM pairs JOIN grams USING (g) JOIN unit USING (uid) JOIN templates USING (tid, license) GROUP BY doc_id, uid, tid, license),
+seqs AS (SELECT doc_id, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS gs FROM (SELECT doc_id, {words} AS w FROM (SELECT doc_id, t AS u FROM texts))),
+hits AS (SELECT doc_id, tid, i FROM (SELECT doc_id, unnest(gs) AS g, generate_subscripts(gs, 1) AS i FROM seqs) JOIN grams USING (g)),
+starts AS (SELECT DISTINCT doc_id, tid, unnest(range(greatest(i - n + 1, 1), i + 1)) AS s FROM hits JOIN templates USING (tid)),
+windows AS (SELECT doc_id, tid, license, s, n, b, list_distinct(gs[s:s + n - 1]) AS a, tg FROM starts JOIN templates USING (tid) JOIN seqs USING (doc_id) WHERE s + n - 1 <= len(gs)),
+scored AS (SELECT doc_id, tid, license, s, n, 2.0::DOUBLE * len(list_intersect(a, tg)) / (len(a) + b) AS dice FROM windows),
+heads AS (SELECT *, coalesce(2 * (s - lag(s) OVER (PARTITION BY doc_id, tid ORDER BY s)) > n, true)::INT AS head FROM scored WHERE dice >= {t}),
+passages AS (
+  SELECT doc_id, license, max(dice) AS dice FROM (SELECT *, sum(head) OVER (PARTITION BY doc_id, tid ORDER BY s) AS p FROM heads)
+  GROUP BY doc_id, tid, license, p),
+kept AS (SELECT doc_id, license, dice FROM found WHERE dice >= {t} UNION ALL SELECT doc_id, license, dice FROM passages)
+SELECT doc_id, count(dice) AS n_matches, coalesce(string_agg(DISTINCT license, ',' ORDER BY license), '') AS licenses,
+       first(license ORDER BY dice DESC, license) AS best_license, max(dice) AS best_dice
+FROM texts LEFT JOIN kept USING (doc_id) GROUP BY doc_id
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_decontaminate, op3_token_files, op4_personal_data, op5_piece_bpe, op6_line_dedup, op7_quality, op8_simhash, op9_quality_rules, op10_license_scan, op10_license_passages)}
+ORACLES = {"op6_line_dedup": LINE_SQL, "op9_quality_rules": _rules_sql(), "op10_license_scan": _license_sql(), "op10_license_passages": _passage_sql()}

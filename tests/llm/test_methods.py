@@ -3,6 +3,7 @@ import random
 import time
 
 import brute
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -11,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from cadenza.llm import common, decontaminate, license_scan, line_dedup, pii_crf, piece_bpe, quality_rff, secrets, simhash, token_files
+from cadenza.llm import common, decontaminate, license_scan, line_dedup, pii_crf, piece_bpe, quality_rff, queries, secrets, simhash, token_files
 
 SF = "/root/testdata/sf0.01"
 
@@ -263,6 +264,53 @@ def test_size_bounds_are_exact():
         assert (min(ok), max(ok)) == (max(low, 1), high)
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 Foo
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY.
+"""
+GPL = """#!/usr/bin/env python
+# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+import os
+import sys
+def main(argv):
+    for name in os.listdir(argv[1]):
+        print(name, os.path.getsize(name))
+"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+ * Redistributions of source code must retain the above copyright notice.
+"""
+
+
+def test_wrapped_notices_are_one_passage(spark):
+    rows = [(1, MIT), (2, GPL), (3, BSD), (4, "Copyright 2020 Foo, released under the MIT License"), (5, GPL + "x y z\n" * 30 + GPL), (6, "the license of free software"), (7, None), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in license_scan.summarise(license_scan.scan_licenses(docs)).collect()}
+    assert [got[i]["best_license"] for i in range(1, 9)] == ["mit", "gpl-3.0", "bsd-3-clause", "mit", "gpl-3.0", None, None, None]
+    assert all(got[i]["best_dice"] == 1 for i in range(1, 6))
+    assert got[5]["n_matches"] == 2 * got[2]["n_matches"]  # each copy is a passage
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    assert sorted(con.execute(queries.ORACLES["op10_license_passages"]).fetchall()) == sorted(map(tuple, got.values()))
+
+
 # ------------------------------------------------------------- quality
 def test_held_out_accuracy(spark):
     docs, labels = common.read(spark, SF, "documents"), common.read(spark, SF, "labels")
