@@ -4,9 +4,11 @@ Nodes of the field are the entity candidates of a whole document: every match
 of the base patterns, and every other number or address that looks like one.
 Neighbouring candidates are joined by chain edges; candidates that repeat or
 resemble each other (same digits, same last eight digits, same mailbox) are
-joined by skip edges, however far apart, each to the one before it, so the
-number of edges stays linear.  Loopy sum-product message passing then gives
-each candidate its label.  Base matches are observed and keep their label; a
+joined by skip edges, however far apart, through one hub variable for each
+key, so the number of edges stays linear and any two mentions are two steps
+apart.  The hub of a key that base matches have is observed with their kind,
+so a label does not depend on the number of repeats.  Loopy sum-product message
+passing then runs until the messages settle and gives each candidate its label.  Base matches are observed and keep their label; a
 candidate that no pattern took is added where its belief in a kind exceeds
 ``BELIEF``.
 
@@ -35,8 +37,10 @@ from cadenza.llm.common import materialise
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
+HUB = "hub"  # pattern of hub variables
 BELIEF = 0.6
-ROUNDS = 30
+SETTLED = 1e-4  # largest move of a message
+PATIENCE = 32  # rounds, besides those to cross the field, in which the largest change must halve, else the step does
 NEAR = 40  # characters between neighbours of the chain
 L2 = 1e-3
 
@@ -157,16 +161,35 @@ def nodes_of(text: str) -> list[Node]:
     return sorted(found, key=lambda n: (n.start, n.stop, n.kind))
 
 
+def _mentions(nodes: list[Node]) -> list[list[int]]:
+    """Candidates of each key that two or more have, each set of candidates once: the hubs."""
+    of: dict[str, list[int]] = {}
+    for i, n in enumerate(nodes):
+        for key in {n.exact, n.similar}:
+            of.setdefault(key, []).append(i)
+    return [list(m) for m in dict.fromkeys(tuple(m) for m in of.values() if len(m) > 1)]
+
+
+def hubs_of(nodes: list[Node]) -> list[int]:
+    """Kind of each hub, or -1: the commonest of base matches with its key, else with the similar key."""
+    known: dict[str, list[int]] = {}
+    for n in nodes:
+        if n.kind >= 0:
+            known.setdefault(n.similar, []).append(n.kind)
+    out = []
+    for m in _mentions(nodes):
+        kinds = [nodes[i].kind for i in m if nodes[i].kind >= 0] or known.get(nodes[m[0]].similar, [])
+        out.append(max(sorted(set(kinds)), key=kinds.count, default=-1))
+    return out
+
+
 def edges_of(nodes: list[Node]) -> list[tuple[int, int, int]]:
-    """(a, b, type): 0 for neighbours, 1 for repeated or similar candidates."""
-    out, last = [], {}
+    """(a, b, type): 0 for neighbours, 1 from a hub (numbered after the candidates) to a candidate with its key."""
+    out = []
     for i, n in enumerate(nodes):
         if i and 0 <= n.start - nodes[i - 1].stop <= NEAR:
             out.append((i - 1, i, 0))
-        before = {last[k] for k in (n.exact, n.similar) if k in last}
-        out += [(j, i, 1) for j in before]
-        last[n.exact] = last[n.similar] = i
-    return out
+    return out + [(len(nodes) + h, i, 1) for h, m in enumerate(_mentions(nodes)) for i in m]
 
 
 def distant_labels(nodes: list[Node]) -> list[int]:
@@ -186,10 +209,10 @@ class Field:
 
     def beliefs(self, nodes: list[tuple[int, str]], edges: list[tuple[int, int, int]]) -> np.ndarray:
         """Loopy sum-product: rows of label probabilities for (base kind or -1, pattern) nodes."""
-        logs = np.stack([self.unary.get(p, self.prior) for _, p in nodes])
+        logs = np.stack([np.zeros(len(LABELS)) if p == HUB else self.unary.get(p, self.prior) for _, p in nodes])
         for i, (kind, _) in enumerate(nodes):
             if kind >= 0:  # observed
-                logs[i] = -50.0
+                logs[i] = -1e9  # beyond any sum of messages
                 logs[i, 1 + kind] = 0.0
         if edges:
             e = np.array(edges)
@@ -200,7 +223,8 @@ class Field:
             groups = [(np.flatnonzero(kind == t), k) for t, k in enumerate([*kernel, *kernel.transpose(0, 2, 1)])]
             back = np.concatenate([np.arange(len(e)) + len(e), np.arange(len(e))])
             message = np.zeros((len(src), len(LABELS)))
-            for _ in range(ROUNDS):
+            step, best, since = 0.5, np.inf, 0
+            while True:
                 total = logs.copy()
                 np.add.at(total, dst, message)
                 out = total[src] - message[back]
@@ -210,9 +234,15 @@ class Field:
                     new[rows] = np.log(out[rows] @ k + 1e-30)
                 new -= new.max(1, keepdims=True)
                 moved = np.abs(new - message).max()
-                message = 0.5 * message + 0.5 * new
-                if moved < 1e-4:
+                message = (1 - step) * message + step * new
+                if moved * min(1.0, 2 * step) < SETTLED:
                     break
+                # messages are bounded, so either the change or the step halves until they rest
+                since += 1
+                if moved < 0.5 * best:
+                    best, since = moved, 0
+                elif since == PATIENCE + 2 * len(nodes):
+                    step, best, since = step / 2, moved, 0
             np.add.at(logs, dst, message)
         p = np.exp(logs - logs.max(1, keepdims=True))
         return p / p.sum(1, keepdims=True)
@@ -262,8 +292,10 @@ def candidates_column(text: Column) -> Column:
         for t in texts:
             nodes = nodes_of(t.as_py() or "")
             labels = distant_labels(nodes)
+            # hubs follow the candidates, without a place in the text
+            hubs = [{"start": -1, "stop": -1, "kind": k, "label": 1 + k, "pattern": HUB} for k in hubs_of(nodes)]
             rows.append({
-                "nodes": [{"start": n.start, "stop": n.stop, "kind": n.kind, "label": y, "pattern": n.pattern} for n, y in zip(nodes, labels)],
+                "nodes": [{"start": n.start, "stop": n.stop, "kind": n.kind, "label": y, "pattern": n.pattern} for n, y in zip(nodes, labels)] + hubs,
                 "edges": [{"a": a, "b": b, "type": t} for a, b, t in edges_of(nodes)],
             })
         return pa.array(rows, pa.struct([("nodes", pa.list_(_NODE)), ("edges", pa.list_(_EDGE))]))
@@ -272,7 +304,7 @@ def candidates_column(text: Column) -> Column:
 
 def fit(candidates: DataFrame) -> Field:
     """Train on the candidates (nodes, edges) of all documents."""
-    nodes = candidates.select(F.explode("nodes").alias("n")).groupBy("n.pattern", "n.label").count()
+    nodes = candidates.select(F.explode("nodes").alias("n")).where(F.col("n.pattern") != HUB).groupBy("n.pattern", "n.label").count()
     ends = candidates.select(F.explode("edges").alias("e"), "nodes")
     ends = ends.select("e.type", F.get("nodes", F.col("e.a"))["label"].alias("x"), F.get("nodes", F.col("e.b"))["label"].alias("y"))
     pairs = np.zeros((2, len(LABELS), len(LABELS)))
@@ -294,11 +326,11 @@ def added_column(nodes: Column, edges: Column, field: Field) -> Column:
         rows = []
         for ns, es in zip(nodes.to_pylist(), edges.to_pylist()):
             out = []
-            if any(n["kind"] < 0 for n in ns):
+            if any(n["kind"] < 0 and n["pattern"] != HUB for n in ns):
                 p = field.beliefs([(n["kind"], n["pattern"]) for n in ns], [(e["a"], e["b"], e["type"]) for e in es])
                 for n, q in zip(ns, p):
                     best = int(q.argmax())
-                    if n["kind"] < 0 and best and q[best] > BELIEF:
+                    if n["kind"] < 0 and n["pattern"] != HUB and best and q[best] > BELIEF:
                         out.append({"kind": best - 1, "start": n["start"], "stop": n["stop"]})
             rows.append(out)
         return pa.array(rows, pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("stop", pa.int32())])))
@@ -309,7 +341,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
     """doc_id, base and spans: array<struct<kind, start, stop>> by kind (place in ``KINDS``) and start."""
     found = materialise(docs.select("doc_id", candidates_column(docs["text"]).alias("c")).select("doc_id", "c.nodes", "c.edges"), "candidates")
     field = fit(found)
-    base = F.transform(F.filter("nodes", lambda n: n["kind"] >= 0), lambda n: F.struct(n["kind"].alias("kind"), n["start"].alias("start"), n["stop"].alias("stop")))
+    base = F.transform(F.filter("nodes", lambda n: (n["kind"] >= 0) & (n["pattern"] != HUB)), lambda n: F.struct(n["kind"].alias("kind"), n["start"].alias("start"), n["stop"].alias("stop")))
     out = found.select("doc_id", F.array_sort(base).alias("base"), added_column(F.col("nodes"), F.col("edges"), field).alias("more"))
     return out.select("doc_id", "base", F.array_sort(F.concat("base", "more")).alias("spans"))
 

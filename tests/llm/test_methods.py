@@ -214,6 +214,27 @@ def test_skip_chain_labels_a_repeated_number(spark):
     assert rows[i][1][s["start"] : s["stop"]] == rows[i][1].split("Once more: ")[1].split(" it")[0]
 
 
+def test_hundreds_of_repeats_keep_their_label(spark):
+    rng = random.Random(6)
+    number = lambda: f"{rng.randint(20, 99)} {rng.randint(10**6, 10**7 - 1)}"
+    rows = []
+    for i, repeats in enumerate([1, 2, 5, 31, 100, 400] * 4):
+        n = number()
+        rows.append((i, f"Tel: +49 {n}. " + f" {'word ' * 12} 0{n} it is." * repeats))
+    rows += [(100 + i, " ".join(f"order {rng.randint(10**8, 10**9)} {'went ' * 10}" for _ in range(60))) for i in range(20)]
+    got = {r["doc_id"]: r for r in pii_crf.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [len(got[i]["spans"]) for i in range(24)] == [2, 3, 6, 32, 101, 401] * 4
+    assert not any(got[100 + i]["spans"] for i in range(20))
+
+
+def test_messages_cross_a_long_chain():
+    pairwise = np.log(np.full((2, 5, 5), 1e-3) + np.eye(5))
+    field = pii_crf.Field({"x": np.zeros(5)}, pairwise, np.zeros(5))
+    p = field.beliefs([(3, "x")] + [(-1, "x")] * 100, [(i, i + 1, 0) for i in range(100)])
+    k = np.linalg.matrix_power(np.exp(pairwise[0]), 100)[4]
+    assert np.allclose(p[100], k / k.sum(), atol=1e-2)
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet="a.@1+0-_ ()%25\n4", max_size=60))
 def test_base_spans_equal_the_patterns(text):
