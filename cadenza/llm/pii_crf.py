@@ -1,7 +1,9 @@
 """Personal data: named patterns and a skip-chain conditional random field.
 
 Nodes of the field are the entity candidates of a whole document: every match
-of the base patterns, and every other number or address that looks like one.
+of the base patterns, and every other number or address that looks like one;
+a run of numbers between them gives its parts and their joins too, and of
+those found that overlap the one closest to a base match stays, else the surest.
 Neighbouring candidates are joined by chain edges; candidates that repeat or
 resemble each other (same digits, same last eight digits, same mailbox) are
 joined by skip edges, however far apart, through one hub variable for each
@@ -25,6 +27,7 @@ repeated results; a corpus without candidates needs no model.
 """
 from __future__ import annotations
 
+import bisect
 import re
 from dataclasses import dataclass
 
@@ -41,6 +44,7 @@ HUB = "hub"  # pattern of hub variables
 BELIEF = 0.6
 SETTLED = 1e-4  # largest move of a message
 PATIENCE = 32  # rounds, besides those to cross the field, in which the largest change must halve, else the step does
+FAR = 1 << 30
 NEAR = 40  # characters between neighbours of the chain
 L2 = 1e-3
 
@@ -52,6 +56,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NUMBER = re.compile(r"[+(]?[0-9][\x20()./0-9-]*[0-9]")
+_PART = re.compile(r"[+(]?[0-9](?:[().0-9-]*[0-9])?")
 _SEPARATOR = re.compile(r"@|\x20?[\[(]at[\])]\x20?")
 _SIDE = re.compile(r"[^\s@<>,;:]+")
 _CUE = re.compile(r"([^\W\d_]+)[\W_]*\Z")
@@ -128,8 +133,39 @@ def _node(text: str, start: int, stop: int, kind: int) -> Node:
     return Node(start, stop, kind, f"num|{cue}|{size}|{form}|{'luhn' if luhn(d) else '-'}", "#" + d, "#" + d[-8:])
 
 
-def _numbers(text: str) -> list[tuple[int, int]]:
-    return [m.span() for m in _NUMBER.finditer(text) if len(_digits(m.group())) >= 7]
+def _free(a: int, b: int, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What the sorted base matches leave of a run."""
+    out = []
+    for x, y in taken:
+        if a < x:
+            out.append((a, x))
+        a = max(a, y)
+    return [*out, (a, b)] if a < b else out
+
+
+def _numbers(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Number runs between base matches, their parts between blanks and slashes, and joins of parts of 7 to 19 digits."""
+    out, at = set(), 0
+    for m in _NUMBER.finditer(text):
+        while at < len(taken) and taken[at][1] <= m.start():
+            at += 1
+        stop = at
+        while stop < len(taken) and taken[stop][0] < m.end():
+            stop += 1
+        for x, y in _free(*m.span(), taken[at:stop]):
+            for run in _NUMBER.finditer(text, x, y):
+                if len(_digits(run.group())) >= 7:
+                    out.add(run.span())
+                parts = [(p.start(), p.end(), len(_digits(p.group()))) for p in _PART.finditer(text, *run.span())]
+                for i in range(len(parts)):
+                    n = 0
+                    for _, end, d in parts[i : i + 19]:
+                        n += d
+                        if n > 19:
+                            break
+                        if n >= 7:
+                            out.add((parts[i][0], end))
+    return sorted(out)
 
 
 def _addresses(text: str) -> list[tuple[int, int]]:
@@ -151,13 +187,19 @@ def nodes_of(text: str) -> list[Node]:
     base = base_spans(text)
     taken = sorted((a, b) for _, a, b in base)
     found = [_node(text, a, b, k) for k, a, b in base]
-    for others in (_numbers(text), _addresses(text)):
-        at = 0
-        for a, b in others:
-            while at < len(taken) and taken[at][1] <= a:
-                at += 1
-            if at == len(taken) or taken[at][0] >= b:  # no base match has it
-                found.append(_node(text, a, b, -1))
+    merged: list[tuple[int, int]] = []  # base matches may overlap
+    for a, b in taken:
+        if merged and a < merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
+        else:
+            merged.append((a, b))
+    found += [_node(text, a, b, -1) for a, b in _numbers(text, merged)]
+    at = 0
+    for a, b in _addresses(text):
+        while at < len(merged) and merged[at][1] <= a:
+            at += 1
+        if at == len(merged) or merged[at][0] >= b:  # no base match has it
+            found.append(_node(text, a, b, -1))
     return sorted(found, key=lambda n: (n.start, n.stop, n.kind))
 
 
@@ -185,10 +227,13 @@ def hubs_of(nodes: list[Node]) -> list[int]:
 
 def edges_of(nodes: list[Node]) -> list[tuple[int, int, int]]:
     """(a, b, type): 0 for neighbours, 1 from a hub (numbered after the candidates) to a candidate with its key."""
-    out = []
+    # candidates may overlap: the neighbour of one is the last that ends before it
+    out, ended, at = [], sorted(range(len(nodes)), key=lambda i: (nodes[i].stop, nodes[i].start)), 0
     for i, n in enumerate(nodes):
-        if i and 0 <= n.start - nodes[i - 1].stop <= NEAR:
-            out.append((i - 1, i, 0))
+        while at < len(ended) and nodes[ended[at]].stop <= n.start:
+            at += 1
+        if at and n.start - nodes[ended[at - 1]].stop <= NEAR:
+            out.append((ended[at - 1], i, 0))
     return out + [(len(nodes) + h, i, 1) for h, m in enumerate(_mentions(nodes)) for i in m]
 
 
@@ -198,6 +243,15 @@ def distant_labels(nodes: list[Node]) -> list[int]:
     return [1 + (n.kind if n.kind >= 0 else known.get(n.exact, known.get(n.similar, -1))) for n in nodes]
 
 
+def nearness(nodes: list[Node]) -> list[int]:
+    """Difference in length between each candidate's key and that of the closest base match with a similar key; FAR without one."""
+    known: dict[str, set[int]] = {}
+    for n in nodes:
+        if n.kind >= 0:
+            known.setdefault(n.similar, set()).add(len(n.exact))
+    return [min((abs(len(n.exact) - k) for k in known.get(n.similar, ())), default=FAR) for n in nodes]
+
+
 # ---------------------------------------------------------------------- model
 @dataclass
 class Field:
@@ -280,9 +334,9 @@ def train(patterns: list[tuple[str, int, int]], pairs: np.ndarray) -> Field:
 
 
 # ------------------------------------------------------------------- on Spark
-_NODE = pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("kind", pa.int32()), ("label", pa.int32()), ("pattern", pa.string())])
+_NODE = pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("kind", pa.int32()), ("label", pa.int32()), ("near", pa.int32()), ("pattern", pa.string())])
 _EDGE = pa.struct([("a", pa.int32()), ("b", pa.int32()), ("type", pa.int32())])
-CANDIDATES = "struct<nodes:array<struct<start:int, stop:int, kind:int, label:int, pattern:string>>, edges:array<struct<a:int, b:int, type:int>>>"
+CANDIDATES = "struct<nodes:array<struct<start:int, stop:int, kind:int, label:int, near:int, pattern:string>>, edges:array<struct<a:int, b:int, type:int>>>"
 
 
 def candidates_column(text: Column) -> Column:
@@ -293,9 +347,9 @@ def candidates_column(text: Column) -> Column:
             nodes = nodes_of(t.as_py() or "")
             labels = distant_labels(nodes)
             # hubs follow the candidates, without a place in the text
-            hubs = [{"start": -1, "stop": -1, "kind": k, "label": 1 + k, "pattern": HUB} for k in hubs_of(nodes)]
+            hubs = [{"start": -1, "stop": -1, "kind": k, "label": 1 + k, "near": FAR, "pattern": HUB} for k in hubs_of(nodes)]
             rows.append({
-                "nodes": [{"start": n.start, "stop": n.stop, "kind": n.kind, "label": y, "pattern": n.pattern} for n, y in zip(nodes, labels)] + hubs,
+                "nodes": [{"start": n.start, "stop": n.stop, "kind": n.kind, "label": y, "near": d, "pattern": n.pattern} for n, y, d in zip(nodes, labels, nearness(nodes))] + hubs,
                 "edges": [{"a": a, "b": b, "type": t} for a, b, t in edges_of(nodes)],
             })
         return pa.array(rows, pa.struct([("nodes", pa.list_(_NODE)), ("edges", pa.list_(_EDGE))]))
@@ -319,6 +373,17 @@ def fit(candidates: DataFrame) -> Field:
 SPANS = "array<struct<kind:int, start:int, stop:int>>"
 
 
+def apart(found: list[tuple[int, float, dict]]) -> list[dict]:
+    """Of (nearness, minus belief, span) that overlap, the one closest to a base match stays, then the surer, then the longer."""
+    starts, kept = [], []
+    for _, _, s in sorted(found, key=lambda x: (x[0], round(x[1], 3), x[2]["start"] - x[2]["stop"], x[2]["start"])):
+        i = bisect.bisect(starts, s["start"])
+        if (i == 0 or kept[i - 1]["stop"] <= s["start"]) and (i == len(kept) or kept[i]["start"] >= s["stop"]):
+            starts.insert(i, s["start"])
+            kept.insert(i, s)
+    return kept
+
+
 def added_column(nodes: Column, edges: Column, field: Field) -> Column:
     """Spans of candidates that no base pattern took and the field gives a kind."""
     @F.arrow_udf(SPANS)
@@ -331,8 +396,8 @@ def added_column(nodes: Column, edges: Column, field: Field) -> Column:
                 for n, q in zip(ns, p):
                     best = int(q.argmax())
                     if n["kind"] < 0 and n["pattern"] != HUB and best and q[best] > BELIEF:
-                        out.append({"kind": best - 1, "start": n["start"], "stop": n["stop"]})
-            rows.append(out)
+                        out.append((n["near"], -float(q[best]), {"kind": best - 1, "start": n["start"], "stop": n["stop"]}))
+            rows.append(apart(out))
         return pa.array(rows, pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("stop", pa.int32())])))
     return added(nodes, edges)
 

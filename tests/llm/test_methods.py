@@ -227,6 +227,21 @@ def test_hundreds_of_repeats_keep_their_label(spark):
     assert not any(got[100 + i]["spans"] for i in range(20))
 
 
+def test_numbers_in_one_run_are_candidates(spark):
+    text = "030 1234567 192.168.0.1 and 030 1234567 040 7654321"
+    got = {text[n.start : n.stop] for n in pii_crf.nodes_of(text) if n.kind < 0}
+    assert {"030 1234567", "040 7654321", "1234567", "7654321"} <= got and not any("192" in x for x in got)
+    rng, rows = random.Random(8), []
+    for i in range(60):
+        a, b = (f"{rng.randint(20, 99)} {rng.randint(10**6, 10**7 - 1)}" for _ in "ab")
+        rows.append((i, f"Tel: +49 {a}. {'word ' * 12} Fax: +49 {b}. {'word ' * 12} 0{a} 0{b} then. {'word ' * 12} 0{a} 192.168.0.1 end"))
+    for r in pii_crf.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        t = rows[r["doc_id"]][1]
+        a, b = t.split("Tel: +49 ")[1].split(".")[0], t.split("Fax: +49 ")[1].split(".")[0]
+        more = sorted(t[s["start"] : s["stop"]] for s in r["spans"] if s not in r["base"])
+        assert more == sorted([f"0{a}", f"0{b}", f"0{a}"]), t
+
+
 def test_messages_cross_a_long_chain():
     pairwise = np.log(np.full((2, 5, 5), 1e-3) + np.eye(5))
     field = pii_crf.Field({"x": np.zeros(5)}, pairwise, np.zeros(5))
