@@ -381,6 +381,22 @@ def sink_embedding(spark, sf):
     return r.select(*[F.round(f"UMAP_{i}", 6).alias(f"UMAP_{i}") for i in (1, 2, 3)], "label_id", "label")
 
 
+@query("sink_embedding_all", sql=f"""
+SELECT {", ".join(f"round(CAST(embedding[{i}] AS DOUBLE), 6) AS UMAP_{i}" for i in range(1, 65))}, label AS label_id, 'g' || label AS label FROM embeddings
+""")
+def sink_embedding_all(spark, sf):
+    """K5 over every coordinate of the embedding."""
+    e = read_table(spark, sf, "embeddings").select(
+        F.col("embedding").cast("array<double>").alias("xy"), F.col("label").alias("label_id"),
+        F.concat(F.lit("g"), F.col("label").cast("string")).alias("label"))
+    names = [f"UMAP_{i + 1}" for i in range(e.agg(F.max(F.size("xy"))).first()[0] or 0)]
+    path = shared_path(spark, "embedding-csv")
+    K.write_embedding(e, "xy", len(names), path)
+    schema = ", ".join([*(f"{c} double" for c in names), "label_id int", "label string"])
+    r = spark.read.option("header", True).schema(schema).csv(path)
+    return r.select(*[F.round(c, 6).alias(c) for c in names], "label_id", "label")
+
+
 _ORDER_HEADERS = ["#", " Track ", "Artist", "Energy%", "Key", "Popularity", "Release Date", "Key"]
 
 

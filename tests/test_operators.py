@@ -380,3 +380,14 @@ def test_broadcast_and_stream_ways_agree(spark, monkeypatch):
             monkeypatch.setattr(S, "SCORE_CELLS", 1000)
             monkeypatch.setattr(S, "KEPT_ROWS", 50)
             assert run() == run(block_rows=40) == run(strategy="seeds") and len(run()) == 2100
+
+
+def test_embedding_sink_and_valid_only_scaling_take_every_position(spark):
+    from cadenza.plans.registry import load_all
+    sf = "/root/testdata/sf0.001"
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    width, rows = max(len(r["embedding"]) for r in e.collect()), e.count()
+    sink = load_all()["sink_embedding_all"].fn(spark, sf)
+    assert [c for c in sink.columns if c.startswith("UMAP_")] == [f"UMAP_{i + 1}" for i in range(width)] and sink.count() == rows
+    scaled = load_all()["vec_valid_only_scale_all"].fn(spark, sf)
+    assert scaled.count() == rows * width and scaled.agg({"pos": "max"}).first()[0] == width - 1
