@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import decontaminate, license_scan, line_dedup, pii_crf, piece_bpe, quality_rff, quality_rules, secrets, simhash, token_files
+from cadenza.llm import decontaminate, lexical_lemp, license_scan, line_dedup, pii_crf, piece_bpe, quality_rff, quality_rules, secrets, simhash, token_files
 from cadenza.llm.common import LOWER, UPPER, read
 
 
@@ -75,6 +75,10 @@ def op10_license_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.summarise(license_scan.scan_licenses(read(spark, sf_dir, "documents")))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_lemp.rank_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), k=10)
+
+
 # ------------------------------------------------------------------------ SQL
 _STRIP = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -180,5 +184,23 @@ FROM texts LEFT JOIN kept USING (doc_id) GROUP BY doc_id
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_decontaminate, op3_token_files, op4_personal_data, op5_piece_bpe, op6_line_dedup, op7_quality, op8_simhash, op9_quality_rules, op10_license_scan, op10_license_passages)}
-ORACLES = {"op6_line_dedup": LINE_SQL, "op9_quality_rules": _rules_sql(), "op10_license_scan": _license_sql(), "op10_license_passages": _passage_sql()}
+_TERMS = rf"list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda w: w <> '')"
+
+LEXICAL_SQL = rf"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, {_TERMS} AS ws FROM documents),
+items AS (SELECT row_number() OVER () AS qid, item_id, list_distinct({_TERMS}) AS ts FROM benchmark),
+asked AS (SELECT qid, unnest(ts) AS term FROM items),
+known AS (SELECT count(*) AS nd, sum(len(ws))::BIGINT AS nt FROM docs WHERE len(ws) > 0),
+postings AS (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(ws) AS term FROM docs) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weights AS (SELECT term, floor(1000 * ln((2 * any_value(nd) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM postings, known GROUP BY term),
+lengths AS (SELECT rid, doc_id, 100 - 90 + (90 * len(ws) * nd) // nt AS m FROM docs, known WHERE len(ws) > 0),
+scores AS (
+  SELECT qid, rid, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM asked JOIN postings USING (term) JOIN weights USING (term) JOIN lengths USING (rid) GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id NULLS LAST) AS r FROM scores WHERE score > 0)
+SELECT item_id, r::INT AS rank, doc_id, score FROM ranked JOIN items USING (qid) WHERE r <= 10
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_decontaminate, op3_token_files, op4_personal_data, op5_piece_bpe, op6_line_dedup, op7_quality, op8_simhash, op9_quality_rules, op10_license_scan, op10_license_passages, op12_lexical_search)}
+ORACLES = {"op6_line_dedup": LINE_SQL, "op9_quality_rules": _rules_sql(), "op10_license_scan": _license_sql(), "op10_license_passages": _passage_sql(), "op12_lexical_search": LEXICAL_SQL}
