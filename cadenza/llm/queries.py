@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import decontaminate, lexical_lemp, license_scan, line_dedup, pii_crf, piece_bpe, quality_rff, quality_rules, secrets, simhash, token_files
+from cadenza.llm import decontaminate, lexical_lemp, license_scan, line_dedup, pii_crf, piece_bpe, prefix_trie, quality_rff, quality_rules, secrets, simhash, token_files
 from cadenza.llm.common import LOWER, UPPER, read
 
 
@@ -79,6 +79,10 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_lemp.rank_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), k=10)
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(read(spark, sf_dir, "conversations"))
+
+
 # ------------------------------------------------------------------------ SQL
 _STRIP = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -202,5 +206,34 @@ SELECT item_id, r::INT AS rank, doc_id, score FROM ranked JOIN items USING (qid)
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_decontaminate, op3_token_files, op4_personal_data, op5_piece_bpe, op6_line_dedup, op7_quality, op8_simhash, op9_quality_rules, op10_license_scan, op10_license_passages, op12_lexical_search)}
-ORACLES = {"op6_line_dedup": LINE_SQL, "op9_quality_rules": _rules_sql(), "op10_license_scan": _license_sql(), "op10_license_passages": _passage_sql(), "op12_lexical_search": LEXICAL_SQL}
+#: A list of steps for each character of the decimal conv_id: its byte plus 1 is mixed in, each 0 shifts one bit out.
+_CRC_STEPS = "[4294967295::BIGINT] || flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda x: [ord(x) + 1, 0, 0, 0, 0, 0, 0, 0, 0]))"
+_CRC = f"xor(list_reduce({_CRC_STEPS}, lambda c, s: CASE WHEN s > 0 THEN xor(c, s - 1) WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END), 4294967295)"
+
+TRIE_SQL = f"""
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT conv_id, conv_id - conv_id % 5 AS base, {_CRC} % 9 AS h FROM (SELECT DISTINCT conv_id FROM turns)),
+rebuilt AS (
+  SELECT c.conv_id, 0 AS piece, pos, role, text FROM convs c JOIN turns t ON t.conv_id = c.base WHERE pos <= h
+  UNION ALL SELECT t.conv_id, 1, pos, role, text FROM turns t JOIN convs c ON t.conv_id = c.conv_id WHERE pos > h),
+seqs AS (SELECT conv_id, list(md5(length(role) || ':' || role || text) ORDER BY piece, pos) AS k, list(strlen(text) ORDER BY piece, pos) AS b FROM rebuilt GROUP BY conv_id),
+whole AS (SELECT convs.conv_id, coalesce(k, []) AS k, coalesce(b, []) AS b FROM convs LEFT JOIN seqs ON convs.conv_id = seqs.conv_id),
+prefixes AS (SELECT conv_id, d, array_to_string(k[1:d], '') AS key, CASE WHEN d > 0 THEN b[d] ELSE 0 END AS size, len(k) = d AS ends FROM (SELECT *, unnest(range(len(k) + 1)) AS d FROM whole)),
+nodes AS (
+  SELECT d, key, min(conv_id) AS conv_id, count(*) AS n, any_value(size) AS size,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM prefixes GROUP BY d, key),
+kids AS (SELECT d - 1 AS d, substr(key, 1, 32 * (d - 1)) AS key, count(*) AS c FROM nodes WHERE d > 0 GROUP BY ALL),
+sized AS (SELECT nodes.*, coalesce(c, 0) AS c FROM nodes LEFT JOIN kids USING (d, key)),
+above AS (SELECT u, substr(key, 1, 32 * u) AS key, (n - 1) * size AS saved, (c = 0)::INT AS leaf FROM (SELECT *, unnest(range(d + 1)) AS u FROM sized)),
+sums AS (SELECT u AS d, key, sum(saved)::BIGINT AS saved, sum(leaf)::BIGINT AS leaves FROM above GROUP BY ALL)
+SELECT s.conv_id, s.d AS depth, p.conv_id AS parent_conv_id, s.n AS n_convs, s.c AS n_children, leaves AS n_leaves, saved AS saved_tokens, s.ends_sha256
+FROM sized s JOIN sums USING (d, key) LEFT JOIN nodes p ON p.d = s.d - 1 AND p.key = substr(s.key, 1, 32 * (s.d - 1))
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_decontaminate, op3_token_files, op4_personal_data, op5_piece_bpe, op6_line_dedup, op7_quality, op8_simhash, op9_quality_rules, op10_license_scan, op10_license_passages, op12_lexical_search, op13_prefix_trie)}
+ORACLES = {"op6_line_dedup": LINE_SQL, "op9_quality_rules": _rules_sql(), "op10_license_scan": _license_sql(), "op10_license_passages": _passage_sql(), "op12_lexical_search": LEXICAL_SQL, "op13_prefix_trie": TRIE_SQL}
