@@ -231,7 +231,7 @@ class Chunk:
         code = np.sort(lcp[grown] * n + grown)
         deep = np.concatenate([[0], np.cumsum(self.below["below_children"])])
         kids = np.searchsorted(code, depth * n + right, "right") - np.searchsorted(code, depth * n + left, "right") + (self.len[left] > depth)
-        kids = kids + np.where(self.len[left] == depth, deep[right + 1] - deep[left], 0)
+        kids = kids + np.where(self.len[right] == depth, deep[right + 1] - deep[left], 0)  # all members are as long as the prefix
         upto = total[self.cuts[left] + np.maximum(depth - 1, 0)] - total[self.cuts[left]]
         # conversations that end here: the first rows of the interval, if they are as long as the prefix
         same = np.concatenate([[False], (lcp[1:] == self.len[1:]) & (self.len[1:] == self.len[:-1]) & (self.more[1:] == self.more[:-1])])
