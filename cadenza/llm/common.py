@@ -1,6 +1,8 @@
 """Helpers shared by the training-data operators."""
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,3 +61,36 @@ def let(value: Column, body) -> Column:
 def word_array(text: Column) -> Column:
     """Maximal runs of characters other than `[\\x20\\x09-\\x0D]`."""
     return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+
+
+def join_skewed(rows: DataFrame, facts: DataFrame, on: list[str], weight: str, total: int, share: int = 10_000) -> DataFrame:
+    """Inner join of ``rows`` with ``facts`` (one row a key) where some keys hold a large part of the ``total`` rows.
+
+    ``weight`` names the column of ``facts`` with the rows of a key; it is
+    dropped.  Keys of over total / share rows are at most ``share`` and are
+    broadcast; every other key is small, so its shuffle is even.
+    """
+    hot = F.col(weight) * share > total
+    heavy, light = facts.where(hot).drop(weight), facts.where(~hot).drop(weight)
+    rest = rows.join(F.broadcast(heavy.select(*on)), on, "left_anti").join(light, on)
+    return rows.join(F.broadcast(heavy), on).unionByName(rest)
+
+
+def tables_by_key(batches, keys: list[str]):
+    """Arrow batches sorted by integer ``keys`` as one table a key, one after another."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        ks = np.stack([b[k].to_numpy() for k in keys], 1)
+        cuts = [0, *(np.flatnonzero((ks[1:] != ks[:-1]).any(1)) + 1).tolist(), b.num_rows]
+        if held and any(held[0][k][0].as_py() != int(v) for k, v in zip(keys, ks[0])):
+            yield pa.Table.from_batches(held).combine_chunks()
+            held = []
+        for s, e in zip(cuts[:-1], cuts[1:]):
+            held.append(b.slice(s, e - s))
+            if e < b.num_rows:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()

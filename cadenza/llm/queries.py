@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import decontaminate, lexical_lemp, license_scan, line_dedup, pii_crf, piece_bpe, prefix_trie, quality_rff, quality_rules, secrets, simhash, token_files
+from cadenza.llm import decontaminate, embed_graph, lexical_lemp, license_scan, line_dedup, pii_crf, piece_bpe, prefix_trie, quality_rff, quality_rules, secrets, simhash, token_files
 from cadenza.llm.common import LOWER, UPPER, read
 
 
@@ -75,6 +75,10 @@ def op10_license_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.summarise(license_scan.scan_licenses(read(spark, sf_dir, "documents")))
 
 
+def op11_embedding_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_graph.embedding_groups(read(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_lemp.rank_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), k=10)
 
@@ -235,5 +239,5 @@ FROM sized s JOIN sums USING (d, key) LEFT JOIN nodes p ON p.d = s.d - 1 AND p.k
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_decontaminate, op3_token_files, op4_personal_data, op5_piece_bpe, op6_line_dedup, op7_quality, op8_simhash, op9_quality_rules, op10_license_scan, op10_license_passages, op12_lexical_search, op13_prefix_trie)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_decontaminate, op3_token_files, op4_personal_data, op5_piece_bpe, op6_line_dedup, op7_quality, op8_simhash, op9_quality_rules, op10_license_scan, op10_license_passages, op11_embedding_groups, op12_lexical_search, op13_prefix_trie)}
 ORACLES = {"op6_line_dedup": LINE_SQL, "op9_quality_rules": _rules_sql(), "op10_license_scan": _license_sql(), "op10_license_passages": _passage_sql(), "op12_lexical_search": LEXICAL_SQL, "op13_prefix_trie": TRIE_SQL}
