@@ -318,6 +318,7 @@ def range_search(x: np.ndarray, adjacent: np.ndarray, queries: np.ndarray, medoi
     # greedy: always on from the best row of the beam that is not yet expanded
     pool = np.concatenate([np.full((many, 1), medoid), queries[:, None]], 1)
     done = np.zeros((many, n + 1), bool)
+    done[:, n] = True
     active = who
     while len(active):
         score = np.where(done[active[:, None], pool[active]], -3, seen[active[:, None], pool[active]])
@@ -337,7 +338,6 @@ def range_search(x: np.ndarray, adjacent: np.ndarray, queries: np.ndarray, medoi
             if pool.shape[1] > beam:
                 rank = np.where(pool == n, np.float32(-9), seen[who[:, None], pool])
                 pool = np.take_along_axis(pool, np.argpartition(-rank, beam - 1, axis=1)[:, :beam], 1)
-                done[:, n] = True
     # range: on from everything in range until nothing is new
     hit = seen[:, :n] >= least
     i, v = np.nonzero(hit & ~done[:, :n])
