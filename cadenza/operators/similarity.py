@@ -5,16 +5,15 @@ Three exact ways share one interface, chosen by checked sizes:
 * the seed matrix is small: it is broadcast, the candidate table streams
   through ``mapInPandas`` and each Arrow batch keeps its top-k per seed;
 * the candidate matrix is small: it is broadcast and the seed table streams;
-* both are large (``block``): seeds are dealt to blocks and never copied, each
-  block reads all candidates as a sorted stream behind its seeds and keeps a
-  running top-k, so a task holds one block of seeds, one batch of candidates
-  and k rows a seed.  No pair row and no per-block partial result is shuffled.
+* both are large (``block``): both sides are written once as blocks of a metric
+  index (``metric_index``); a task holds one unit of seeds and reads from the
+  shared files only the blocks that its running k-th best leaves possible.
+  Neither candidates nor pair rows are shuffled.
 
 Ordering is ``(round(score, 9), id)`` so ties are deterministic.
 """
 from __future__ import annotations
 
-import math
 from typing import Iterator
 
 import numpy as np
@@ -22,18 +21,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadenza.operators import metric_index as MI
 from cadenza.session import spread
 
-# Memory budget of one block task for the dense score matrix (bytes).
-TASK_BUDGET_BYTES = 256 * 1024 * 1024
 # Largest seed matrix we are willing to broadcast (bytes).
 SEED_BROADCAST_BYTES = 64 * 1024 * 1024
-MIN_BLOCK_ROWS = 256
 PARTITIONS_PER_CORE = 16
 
-# Score cells computed at a time, and rows of candidates kept before they are cut to the best.
+# Score cells computed at a time.
 SCORE_CELLS = 4_000_000
-KEPT_ROWS = 2_000_000
 
 _OUT_SCHEMA = "qid long, cid long, score double"
 
@@ -122,14 +118,6 @@ def _best(qid, Q, qgrp, cid, C, cgrp, k, metric, exclude_self):
             yield res
 
 
-def _cut_to_best(frames: list, k: int, metric: str) -> pd.DataFrame:
-    """The k best rows per query of several frames."""
-    f = pd.concat(frames, ignore_index=True)
-    key = np.round(f["score"].to_numpy(), 9)
-    f = f.iloc[np.lexsort((f["cid"].to_numpy(), key if metric == "euclidean" else -key, f["qid"].to_numpy()))]
-    return f[f.groupby("qid").cumcount() < k]
-
-
 def _unit(X: np.ndarray, metric: str) -> tuple[np.ndarray, str]:
     """Rows and metric with cosine turned into a dot product."""
     return (_unit_rows(X), "dot") if metric == "cosine" else (X, metric)
@@ -150,37 +138,6 @@ def _broadcast_fn(bc, seeds, k, metric, exclude_self):
     return fn
 
 
-def _stream_fn(grouped, k, metric, exclude_self):
-    """Blocks one after another: the queries of a block (side 0), then all candidates (side 1)."""
-    def fn(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        block, queries, ready, held, rows = None, [], None, [], 0
-        for pdf in it:
-            for (qb, side), part in pdf.groupby(["qb", "side"], sort=True):
-                if qb != block:
-                    if held:
-                        yield _cut_to_best(held, k, metric)
-                    block, queries, ready, held, rows = qb, [], None, [], 0
-                if side == 0:
-                    queries.append(part)
-                    continue
-                if not queries:
-                    continue
-                if ready is None:
-                    q = pd.concat(queries, ignore_index=True)
-                    Q, kind = _unit(_as_matrix(q["vec"]), metric)
-                    ready = q["id"].to_numpy(np.int64), Q, q["grp"].to_numpy() if grouped else None
-                C = _unit(_as_matrix(part["vec"]), metric)[0]
-                for f in _best(*ready, part["id"].to_numpy(np.int64), C, part["grp"].to_numpy() if grouped else None, k, kind, exclude_self):
-                    held.append(f)
-                    rows += len(f)
-                    if rows > KEPT_ROWS + 2 * k * len(ready[0]):
-                        held = [_cut_to_best(held, k, metric)]
-                        rows = len(held[0])
-        if held:
-            yield _cut_to_best(held, k, metric)
-    return fn
-
-
 def planned_partitions(n_pairs: int, parallelism: int) -> int:
     """Partitions of the block pairs: a few a core, however many pairs there are (each holds several pairs in turn)."""
     return max(parallelism, min(n_pairs, PARTITIONS_PER_CORE * parallelism))
@@ -250,12 +207,23 @@ def similarity_topk(queries: DataFrame, candidates: DataFrame | None = None, *,
         part = spread(c if side == "seeds" else q).mapInPandas(_broadcast_fn(bc, side == "seeds", k, metric, exclude_self), _OUT_SCHEMA)
         return _finish(part, k, metric, out_names)
 
-    blocks = query_blocks(n_q, dim_q, spark.sparkContext.defaultParallelism, block_rows)
-    own = q.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("side", F.lit(0))
-    every = c.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("side", F.lit(1))
-    dealt = own.unionByName(every).repartition(planned_partitions(blocks, spark.sparkContext.defaultParallelism), "qb")
-    part = dealt.sortWithinPartitions("qb", "side").mapInPandas(_stream_fn(grouped, k, metric, exclude_self), _OUT_SCHEMA)
-    return _finish(part, k, metric, out_names)
+    part = _indexed(q, c, n_q, n_c, dim_c, k, metric, exclude_self, grouped, block_rows, same=candidates is queries)
+    return _finish(part.where("qid is not null").select("qid", "cid", "score"), k, metric, out_names)
+
+
+def _indexed(q, c, n_q, n_c, dim, k, metric, exclude_self, grouped, block_rows, same):
+    """Rows of ``metric_index.search_index`` over the blocks of both sides."""
+    index, layout = MI.block_index(c, n_c, dim, metric=metric, grouped=grouped, block_rows=block_rows, name="candidates")
+    own = index if same else MI.block_index(q, n_q, dim, metric=metric, layout=layout, grouped=grouped, block_rows=block_rows, name="seeds")[0]
+    return MI.search_index(c.sparkSession, own, index, k=k, metric=metric, exclude_self=exclude_self, grouped=grouped, unit_rows_=MI.unit_rows_of(dim, block_rows))
+
+
+def block_pairs(items: DataFrame, *, k: int, id_col: str, vec_col: str, metric: str = "euclidean", block_rows: int | None = None) -> DataFrame:
+    """How much of the index a k-nearest search of all ``items`` reads: (tasks, block_pairs, read, discarded_share)."""
+    rows = items.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"), F.lit(None).cast("string").alias("grp")).where("vec is not null")
+    n, dim = _shape(rows)
+    found = _indexed(rows, rows, n, n, dim, k, metric, True, False, block_rows, same=True).where("qid is null")
+    return found.agg(F.count(F.lit(1)).alias("tasks"), F.sum("blocks").alias("block_pairs"), F.sum("read").alias("read"), (1 - F.sum("read") / F.sum("blocks")).alias("discarded_share"))
 
 
 def _shape(df: DataFrame) -> tuple[int, int]:
@@ -264,14 +232,6 @@ def _shape(df: DataFrame) -> tuple[int, int]:
     return r["n"], r["d"] or 1
 
 
-def query_blocks(n: int, dim: int, parallelism: int, block_rows: int | None = None) -> int:
-    """Blocks of queries: as few as memory allows (every block reads all candidates), but two a core if that leaves blocks of some size."""
-    if block_rows:
-        return max(1, math.ceil(n / block_rows))
-    by_mem = math.ceil(n * dim * 8 / TASK_BUDGET_BYTES)
-    return max(1, by_mem, min(2 * parallelism, math.ceil(n / MIN_BLOCK_ROWS)))
-
-
 def _finish(part: DataFrame, k: int, metric: str, out_names) -> DataFrame:
     r = F.round("score", 9)
     order = [r.desc(), F.col("cid")] if metric in ("cosine", "dot") else [r.asc(), F.col("cid")]
@@ -287,7 +247,7 @@ def knn_edges(items: DataFrame, *, k: int, id_col: str, vec_col: str,
               metric: str = "euclidean", **kw) -> DataFrame:
     """k nearest neighbours of every item, itself excluded by id: (src, dst, dist, rank)."""
     return similarity_topk(items, k=k, q_id=id_col, q_vec=vec_col, metric=metric,
-                           exclude_self=True, strategy=kw.pop("strategy", "block"),
+                           exclude_self=True, strategy=kw.pop("strategy", "auto"),
                            out_names=("src", "dst", "dist", "rank"), **kw)
 
 
@@ -296,69 +256,77 @@ _GSUM_SCHEMA = "qid long, clabel string, dsum double, cnt long"
 KEPT_SUMS = 4_000_000
 
 
-def _group_sum_fn():
-    """Blocks one after another: running distance sums of the block's items to each label."""
-    def fn(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        block, queries, ready, sums = None, [], None, {}
+class _LabelSums:
+    """Running distance sums of some items to each label."""
 
-        def handed():
-            qid = ready[0]
-            for label, (total, count) in sums.items():
-                yield pd.DataFrame({"qid": qid, "clabel": label, "dsum": total, "cnt": count})
-            sums.clear()
+    def __init__(self, qid, Q):
+        self.qid, self.Q, self.sums = qid, Q, {}
 
-        for pdf in it:
-            for (qb, side), part in pdf.groupby(["qb", "side"], sort=True):
-                if qb != block:
-                    if sums:
-                        yield from handed()
-                    block, queries, ready = qb, [], None
-                if side == 0:
-                    queries.append(part)
-                    continue
-                if not queries:
-                    continue
-                if ready is None:
-                    q = pd.concat(queries, ignore_index=True)
-                    ready = q["id"].to_numpy(np.int64), _as_matrix(q["vec"])
-                qid, Q = ready
-                cid, C = part["id"].to_numpy(np.int64), _as_matrix(part["vec"])
-                labels, inv = np.unique(part["label"].astype(str).to_numpy(), return_inverse=True)
-                one_hot = (inv[:, None] == np.arange(len(labels))[None, :]).astype(np.float64)
-                step = max(1, SCORE_CELLS // max(1, len(cid)))
-                total, count = np.zeros((len(qid), len(labels))), np.zeros((len(qid), len(labels)), np.int64)
-                for a in range(0, len(qid), step):
-                    D = _scores(Q[a:a + step], C, "euclidean")
-                    own = qid[a:a + step, None] == cid[None, :]  # self excluded
-                    D[own] = 0.0
-                    total[a:a + step] = D @ one_hot
-                    count[a:a + step] = one_hot.sum(0).astype(np.int64)[None, :] - (own @ one_hot).astype(np.int64)
-                for j, label in enumerate(labels):
-                    had = sums.get(label)
-                    sums[label] = (total[:, j], count[:, j]) if had is None else (had[0] + total[:, j], had[1] + count[:, j])
-                if len(sums) * len(qid) > KEPT_SUMS:
-                    yield from handed()
-        if sums:
-            yield from handed()
-    return fn
+    def add(self, cid, C, labels) -> None:
+        names, inv = np.unique(labels.astype(str), return_inverse=True)
+        one_hot = (inv[:, None] == np.arange(len(names))[None, :]).astype(np.float64)
+        step = max(1, SCORE_CELLS // max(1, len(cid)))
+        total, count = np.zeros((len(self.qid), len(names))), np.zeros((len(self.qid), len(names)), np.int64)
+        for a in range(0, len(self.qid), step):
+            D = _scores(self.Q[a:a + step], C, "euclidean")
+            own = self.qid[a:a + step, None] == cid[None, :]  # self excluded
+            D[own] = 0.0
+            total[a:a + step] = D @ one_hot
+            count[a:a + step] = one_hot.sum(0).astype(np.int64)[None, :] - (own @ one_hot).astype(np.int64)
+        for j, name in enumerate(names):
+            had = self.sums.get(name)
+            self.sums[name] = (total[:, j], count[:, j]) if had is None else (had[0] + total[:, j], had[1] + count[:, j])
+
+    def handed(self, more: int = 0) -> Iterator[pd.DataFrame]:
+        """The sums, if they are over ``more`` values."""
+        if len(self.sums) * len(self.qid) > more:
+            for name, (total, count) in self.sums.items():
+                yield pd.DataFrame({"qid": self.qid, "clabel": name, "dsum": total, "cnt": count})
+            self.sums.clear()
 
 
 def distance_sums_by_label(items: DataFrame, *, id_col: str, vec_col: str, label_col: str,
                            block_rows: int | None = None) -> DataFrame:
-    """Per item and per label: sum and count of Euclidean distances to that label's items.
+    """Per item and per label: sum and count of Euclidean distances to that label's items (self excluded by id).
 
-    Same layout as the ``block`` way of ``similarity_topk`` (self excluded by
-    id): a block of items reads all items as a stream and emits one row per
-    (item, label) it has met.  Output ``(item_id, label, dsum, cnt)``.
+    All items are broadcast if they fit; else they are written as blocks, and a
+    unit of items reads all block files one after another.  A task emits one
+    row per (item, label) it has met.  Output ``(item_id, label, dsum, cnt)``.
     """
     c = items.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"),
-                     F.col(label_col).cast("string").alias("label"))
+                     F.col(label_col).cast("string").alias("grp")).where(F.col("vec").isNotNull())
+    spark = items.sparkSession
     n, dim = _shape(c)
-    par = items.sparkSession.sparkContext.defaultParallelism
-    blocks = query_blocks(n, dim, par, block_rows)
-    own = c.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("side", F.lit(0))
-    every = c.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("side", F.lit(1))
-    dealt = own.unionByName(every).repartition(planned_partitions(blocks, par), "qb").sortWithinPartitions("qb", "side")
-    part = dealt.mapInPandas(_group_sum_fn(), _GSUM_SCHEMA)
+    if block_rows is None and n * max(dim, 1) * 8 <= SEED_BROADCAST_BYTES:
+        rows = c.collect()  # at most SEED_BROADCAST_BYTES of vectors
+        bc = spark.sparkContext.broadcast((np.array([r["id"] for r in rows], np.int64), np.array([r["vec"] for r in rows], np.float64), np.array([r["grp"] for r in rows], dtype=object)))
+
+        def each(frames):
+            for pdf in frames:
+                if len(pdf):
+                    sums = _LabelSums(pdf["id"].to_numpy(np.int64), _as_matrix(pdf["vec"]))
+                    sums.add(*bc.value)
+                    yield from sums.handed()
+
+        part = spread(c).mapInPandas(each, _GSUM_SCHEMA)
+    else:
+        index, _ = MI.block_index(c, n, dim, metric="euclidean", block_rows=block_rows, name="labelled")
+        units = MI.units_of(index, MI.unit_rows_of(dim, block_rows))
+        shares = max(1, min(2 * spark.sparkContext.defaultParallelism // max(1, len(units)), len(index.blocks)))
+        bc = spark.sparkContext.broadcast((index, units))
+
+        def shared(frames):
+            own, all_units = bc.value
+            for pdf in frames:
+                for u, s in zip(pdf["unit"], pdf["share"]):
+                    ids, Q, _ = MI.read_unit(own, all_units[u])
+                    sums = _LabelSums(ids, Q)
+                    for b in own.blocks[s::shares]:
+                        sums.add(*own.read(b.name))
+                        yield from sums.handed(KEPT_SUMS)
+                    yield from sums.handed()
+
+        tasks = [(u, s) for u in range(len(units)) for s in range(shares)]
+        part = spark.createDataFrame(tasks, "unit int, share int").repartition(max(1, len(tasks)), "unit", "share").mapInPandas(shared, _GSUM_SCHEMA)
     return (part.groupBy("qid", "clabel").agg(F.sum("dsum").alias("dsum"), F.sum("cnt").alias("cnt"))
                 .select(F.col("qid").alias("item_id"), F.col("clabel").alias("label"), "dsum", "cnt"))

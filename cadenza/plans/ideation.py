@@ -96,7 +96,7 @@ def similar(lib_scored, mode, k, seeds=None):
     col = _MODE_COL.get(mode, "final_embedding")
     q = lib_scored if seeds is None else seeds
     r = similarity_topk(q, lib_scored, k=k, q_id="song_id", q_vec=col, c_id="song_id", c_vec=col,
-                        exclude_self=True, strategy="block" if seeds is None else "auto")
+                        exclude_self=True)
     return r.withColumn("mode", F.lit(mode if mode in _MODE_COL else "balanced"))
 
 
@@ -433,7 +433,7 @@ SELECT seed_id, rec_id, round(sc, 6) AS score, rank FROM (SELECT *, row_number()
 def topk_similar(spark, sf, k=15):
     """Best k by text-vector similarity per seed (row_number <= k, ties by id)."""
     lib = library(spark, sf)
-    r = similarity_topk(lib, k=k, q_id="song_id", q_vec="text", exclude_self=True, strategy="block")
+    r = similarity_topk(lib, k=k, q_id="song_id", q_vec="text", exclude_self=True)
     return r.select("seed_id", "rec_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -526,8 +526,7 @@ def eva_compare_all_models(spark, sf):
     ids = items.select("item_id")
     cols = ["seed_id", "rec_id", "rank"]
     parts = [("Random", random_recs(ids, ids, id_col="item_id", seed_col="item_id", k=10, salt=42)),
-             ("Simple Audio", similarity_topk(items, k=10, q_id="item_id", q_vec="vec", exclude_self=True,
-                                              strategy="block"))]
+             ("Simple Audio", similarity_topk(items, k=10, q_id="item_id", q_vec="vec", exclude_self=True))]
     d = read_table(spark, sf, "documents").select(F.col("doc_id").alias("song_id"), F.col("text").alias("lyrics"))
     docs = s.select("song_id").join(d, "song_id", "left").withColumn("lyrics", F.coalesce("lyrics", F.lit("")))
     cands = random_recs(ids, ids, id_col="item_id", seed_col="item_id", k=100, salt=7).select("seed_id", "rec_id")

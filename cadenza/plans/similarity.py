@@ -20,8 +20,7 @@ SELECT seed_id, rec_id, round(s, 6) AS score, rank FROM r WHERE rank <= 5
 def rec_raw_vector(spark, sf_dir, k=5):
     """Top-k cosine neighbours of every item, the seed excluded."""
     v = vectors(spark, sf_dir)
-    r = similarity_topk(v, k=k, q_id="item_id", q_vec="vec", exclude_self=True,
-                        strategy="block")
+    r = similarity_topk(v, k=k, q_id="item_id", q_vec="vec", exclude_self=True)
     return r.select("seed_id", "rec_id", F.round("score", 6).alias("score"),
                     F.col("rank").cast("long").alias("rank"))
 

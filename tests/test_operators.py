@@ -361,11 +361,68 @@ def test_checkpoint_dir_must_be_named_on_a_cluster():
             ensure_checkpoint_dir(session(master))
 
 
-def test_block_partitions_stay_bounded_for_any_size():
-    from cadenza.operators.similarity import planned_partitions, query_blocks
-    for n in (10**3, 10**6, 10**9):
-        blocks = query_blocks(n, 64, 4000)
-        assert blocks <= max(8000, n // 100_000) and planned_partitions(blocks, 4000) <= 64_000
+def test_units_follow_memory_alone():
+    from cadenza.operators import metric_index as MI
+    from cadenza.operators.similarity import planned_partitions
+    for n in (10**3, 10**6, 10**8):
+        blocks = [MI.Block("all", i, str(i), MI.BLOCK_ROWS, np.zeros(1), 0.0, 1.0, False) for i in range(-(-n // MI.BLOCK_ROWS))]
+        units = MI.units_of(MI.BlockIndex("", 64, blocks), MI.unit_rows_of(64))
+        assert len(units) <= 1 + n * 64 * 8 / MI.UNIT_BYTES and sum(map(len, units)) == len(blocks)  # 200 copies of 1e8 candidates, on any number of cores
+    assert planned_partitions(10**9, 4000) <= 64_000
+
+
+def _clustered(spark, n=900, dim=6, seed=3):
+    rng = np.random.default_rng(seed)
+    x = np.repeat(4 * rng.normal(size=(12, dim)), n // 12, 0) + 0.2 * rng.normal(size=(n, dim))
+    x[::100] = x[0]  # copies: ties everywhere
+    x[7] = 0.0
+    order = rng.permutation(n)
+    return spark.createDataFrame([(int(i), x[i].tolist(), "abc"[i % 3] if i % 50 else None) for i in order], "i long, v array<double>, g string"), x
+
+
+@pytest.mark.parametrize("metric", ["cosine", "dot", "euclidean"])
+@pytest.mark.parametrize("grp", [None, "g"])
+def test_metric_index_equals_brute_force(spark, metric, grp):
+    df, x = _clustered(spark)
+    run = lambda q, **kw: sorted(map(tuple, similarity_topk(q, df, k=6, q_id="i", q_vec="v", c_id="i", c_vec="v", metric=metric, exclude_self=True, q_group=grp, c_group=grp, **kw)
+                                     .selectExpr("seed_id", "rec_id", "rank", "round(score, 7)").collect()))
+    assert run(df, strategy="block", block_rows=64) == run(df, strategy="seeds")
+    few = df.where("i % 7 = 0")
+    assert run(few, strategy="block", block_rows=50) == run(few, strategy="seeds")  # an index of the seeds beside that of the candidates
+
+
+def test_metric_index_discards_blocks(spark):
+    from cadenza.operators.similarity import block_pairs
+    df, _ = _clustered(spark)
+    r = block_pairs(df, k=5, id_col="i", vec_col="v", block_rows=64).first()
+    assert r["read"] < 0.5 * r["block_pairs"] and r["discarded_share"] > 0.5
+    rng = np.random.default_rng(0)
+    noise = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(300, 64)))], "i long, v array<double>")
+    assert block_pairs(noise, k=5, id_col="i", vec_col="v", block_rows=64).first()["discarded_share"] < 0.5  # no structure, nothing to discard: still exact
+
+
+def test_bounds_hold(spark):
+    from cadenza.operators import metric_index as MI
+    rng = np.random.default_rng(1)
+    for metric in ("cosine", "dot", "euclidean"):
+        for spread_ in (0.1, 1.0, 5.0):
+            c, q = rng.normal(size=4) + spread_ * rng.normal(size=(40, 4)), 2 * rng.normal(size=(30, 4))
+            c[0] = 0.0
+            if metric == "cosine":
+                c, q = MI.unit_rows(c), MI.unit_rows(q)
+            m = c.mean(0)
+            norms = np.sqrt((c * c).sum(1))
+            b = MI.Block("all", 0, "", 40, m, float(np.sqrt(((c - m) ** 2).sum(1).max())), float(norms.max()), True)
+            assert (MI.best_possible(q, b, metric) >= MI.values(q, c, metric).max(1)).all()
+
+
+def test_distance_sums_from_block_files(spark):
+    from cadenza.operators.similarity import distance_sums_by_label
+    df, x = _clustered(spark, 240)
+    df = df.withColumn("l", F.coalesce("g", F.lit("none")))
+    run = lambda **kw: {(r["item_id"], r["label"]): (round(r["dsum"], 6), r["cnt"]) for r in distance_sums_by_label(df, id_col="i", vec_col="v", label_col="l", **kw).collect()}
+    assert run() == run(block_rows=50)
+
 
 
 def test_broadcast_and_stream_ways_agree(spark, monkeypatch):
@@ -378,8 +435,8 @@ def test_broadcast_and_stream_ways_agree(spark, monkeypatch):
             run = lambda **kw: sorted(map(tuple, S.similarity_topk(df, k=7, q_id="i", q_vec="v", metric=metric, exclude_self=True, q_group=grp, **kw)
                                           .select("seed_id", "rec_id", "rank").collect()))
             monkeypatch.setattr(S, "SCORE_CELLS", 1000)
-            monkeypatch.setattr(S, "KEPT_ROWS", 50)
-            assert run() == run(block_rows=40) == run(strategy="seeds") and len(run()) == 2100
+            monkeypatch.setattr(S.MI, "CELLS", 1000)
+            assert run() == run(block_rows=40) == run(strategy="block", block_rows=300) == run(strategy="seeds") and len(run()) == 2100
 
 
 def test_embedding_sink_and_valid_only_scaling_take_every_position(spark):
