@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cadenza.operators.similarity import similarity_topk
+from cadenza.operators.similarity import block_pairs, knn_edges, similarity_topk
 from cadenza.plans.registry import query
 from cadenza.sources.tables import vectors
 
@@ -38,3 +38,20 @@ def join_all_pairs_similarity(spark, sf, k=10):
     r = similarity_topk(v, v, k=k, q_id="item_id", q_vec="vec", c_id="item_id", c_vec="vec",
                         exclude_self=True, strategy="auto")
     return r.select("seed_id", "rec_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("join_knn_indexed", sql=f"""
+WITH {_E}, p AS (SELECT a.vec_id AS src, b.vec_id AS dst, list_distance(a.v, b.v) AS d FROM e a JOIN e b ON a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(d, 9), dst) AS rank FROM p)
+SELECT src, dst, round(d, 6) AS dist, rank FROM r WHERE rank <= 10
+""")
+def join_knn_indexed(spark, sf, k=10, block_rows=1024):
+    """J6 through the metric block index, as where neither side fits a broadcast."""
+    e = knn_edges(vectors(spark, sf), k=k, id_col="item_id", vec_col="vec", strategy="block", block_rows=block_rows)
+    return e.select("src", "dst", F.round("dist", 6).alias("dist"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("idx_block_pairs")
+def idx_block_pairs(spark, sf, k=10, block_rows=256):
+    """How many pairs of blocks a k-nearest search could read, and how many the bounds leave to read."""
+    return block_pairs(vectors(spark, sf), k=k, id_col="item_id", vec_col="vec", block_rows=block_rows)

@@ -4,8 +4,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cadenza.operators import manifold as M
+from cadenza.operators import neighbour_graph as G
 from cadenza.operators import training as TR
 from cadenza.operators.model import GatedModel, score
+from cadenza.operators.similarity import knn_edges
 from cadenza.plans.common import h_sql, song_items
 from cadenza.plans.ideation import EMB, HID, IN, LIB_SQL, cos_sql
 from cadenza.plans.manifold import K, STANDARD_SQL, on_standardised
@@ -152,8 +154,52 @@ def man_cluster_settled(spark, sf):
 
 
 @query("man_reduce")
-def man_reduce(spark, sf, k=2):
-    """Q8: standardised embedding reduced to k principal components."""
+def man_reduce(spark, sf, k=2, n_neighbors=15, min_dist=0.1):
+    """Q8: standardised embedding laid out by its neighbour graph in k dimensions."""
+    v = vectors(spark, sf)
+    z = M.standardise_vectors(v, "vec", "z").select("item_id", "label", "z")
+    r = G.embed_graph(z, k, n_neighbors=n_neighbors, min_dist=min_dist, vec_col="z")
+    return r.join(v.select("item_id", "label"), "item_id").select("item_id", "label", *[F.col("coords")[i].alias(f"x{i + 1}") for i in range(k)])
+
+
+_NEAR = 15
+
+
+@query("man_graph_bandwidth", sql=f"""
+WITH {STANDARD_SQL}, p AS (SELECT a.vec_id AS src, b.vec_id AS dst, list_distance(a.v, b.v) AS d FROM e a JOIN e b ON a.vec_id <> b.vec_id),
+nb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(d, 9), dst) AS rank FROM p) WHERE rank <= {_NEAR})
+SELECT src AS item_id, round(min(d) FILTER (d > 0), 5) AS rho, count(*) AS neighbours, round(log2({_NEAR}), 4) AS total_weight FROM nb GROUP BY src
+""")
+def man_graph_bandwidth(spark, sf):
+    """Q8's fuzzy graph: each item's nearest distance, and its weights, whose bandwidth makes them add up to log2(k)."""
+    z = M.standardise_vectors(vectors(spark, sf), "vec", "z").select("item_id", "z")
+    near = knn_edges(z, k=_NEAR, id_col="item_id", vec_col="z").select("src", "dst", "dist")
+    w = G.neighbour_weights(near, _NEAR).groupBy(F.col("src").alias("item_id"))
+    return w.agg(F.round(F.max("rho"), 5).alias("rho"), F.count(F.lit(1)).alias("neighbours"), F.round(F.sum("w"), 4).alias("total_weight"))
+
+
+@query("man_layout_orthonormal", sql="""
+SELECT i, j, CASE WHEN i = j THEN 1.0 ELSE 0.0 END AS product FROM (SELECT unnest([1, 2, 3]) AS i) a, (SELECT unnest([1, 2, 3]) AS j) b
+WHERE EXISTS (SELECT 1 FROM embeddings)
+""")
+def man_layout_orthonormal(spark, sf, k=3):
+    """Q8's spectral layout: products of its vectors, which are orthonormal."""
+    z = M.standardise_vectors(vectors(spark, sf), "vec", "z").select("item_id", "z")
+    layout, _ = G.spectral_layout(G.fuzzy_graph(z, _NEAR, vec_col="z"), k, rounds=2)
+    cells = [F.struct(F.lit(i + 1).alias("i"), F.lit(j + 1).alias("j"), F.sum(F.col(f"y{i}") * F.col(f"y{j}")).alias("p")) for i in range(k) for j in range(k)]
+    return layout.agg(F.array(*cells).alias("c")).select(F.explode("c").alias("c")).select("c.i", "c.j", F.abs(F.round("c.p", 6)).alias("product"))
+
+
+@query("man_graph_sweep")
+def man_graph_sweep(spark, sf):
+    """Q9: quality metrics over n_neighbors x min_dist; one graph per n_neighbors."""
+    z = M.standardise_vectors(vectors(spark, sf), "vec", "z").select("item_id", "label", "z")
+    return G.sweep(z, [10, 30], [0.05, 0.5], dims=3, rounds=3, layout_rounds=2, vec_col="z")
+
+
+@query("man_reduce_pca")
+def man_reduce_pca(spark, sf, k=2):
+    """Q8, linear: standardised embedding reduced to k principal components."""
     r = M.reduce_dims(vectors(spark, sf), k, "vec", "coords")
     return r.select("item_id", "label", *[F.col("coords")[i].alias(f"pc{i + 1}") for i in range(k)])
 
