@@ -92,7 +92,8 @@ def _dist(x, y, eps=1e-6):
     return np.sqrt((d * d).sum(axis=1)), d
 
 
-def forward_cache(m: GatedModel, A: np.ndarray, T: np.ndarray) -> dict:
+def forward_cache(m: GatedModel, A: np.ndarray, T: np.ndarray, mask: np.ndarray | None = None) -> dict:
+    """Forward pass and what the backward pass needs; ``mask`` scales the gate's hidden units (dropout)."""
     Wa, ba = m.params["audio"]
     Wt, bt = m.params["text"]
     W1, b1 = m.params["gate1"]
@@ -101,12 +102,12 @@ def forward_cache(m: GatedModel, A: np.ndarray, T: np.ndarray) -> dict:
     pa, pt = np.maximum(za, 0), np.maximum(zt, 0)
     g = np.concatenate([pa, pt], axis=1)
     z1 = g @ W1.T + b1
-    h = np.maximum(z1, 0)
+    h = np.maximum(z1, 0) if mask is None else np.maximum(z1, 0) * mask
     al = 1.0 / (1.0 + np.exp(-(h @ W2.T + b2)))
     f = al * pa + (1 - al) * pt
     raw = np.sqrt((f * f).sum(axis=1, keepdims=True))
     nrm = np.maximum(raw, 1e-12)
-    return dict(A=A, T=T, za=za, zt=zt, pa=pa, pt=pt, g=g, z1=z1, h=h, al=al, f=f, raw=raw, nrm=nrm, e=f / nrm)
+    return dict(A=A, T=T, mask=mask, za=za, zt=zt, pa=pa, pt=pt, g=g, z1=z1, h=h, al=al, f=f, raw=raw, nrm=nrm, e=f / nrm)
 
 
 def backward(m: GatedModel, c: dict, de: np.ndarray, grads: dict) -> None:
@@ -122,6 +123,8 @@ def backward(m: GatedModel, c: dict, de: np.ndarray, grads: dict) -> None:
     grads["gate2"][0] += dz2.T @ c["h"]
     grads["gate2"][1] += dz2.sum(axis=0)
     dz1 = (dz2 @ W2) * (c["z1"] > 0)
+    if c["mask"] is not None:
+        dz1 = dz1 * c["mask"]
     grads["gate1"][0] += dz1.T @ c["g"]
     grads["gate1"][1] += dz1.sum(axis=0)
     dg = dz1 @ W1
@@ -136,9 +139,9 @@ def backward(m: GatedModel, c: dict, de: np.ndarray, grads: dict) -> None:
     grads["text"][1] += dzt.sum(axis=0)
 
 
-def triplet_loss_and_grads(m: GatedModel, Aa, Ta, Ap, Tp, An, Tn, margin: float):
+def triplet_loss_and_grads(m: GatedModel, Aa, Ta, Ap, Tp, An, Tn, margin: float, masks=(None, None, None)):
     """Sum of triplet margin losses of a batch and the gradient sums of every parameter."""
-    ca, cp, cn = forward_cache(m, Aa, Ta), forward_cache(m, Ap, Tp), forward_cache(m, An, Tn)
+    ca, cp, cn = (forward_cache(m, A, T, mask) for (A, T), mask in zip(((Aa, Ta), (Ap, Tp), (An, Tn)), masks))
     dap, vp = _dist(ca["e"], cp["e"])
     dan, vn = _dist(ca["e"], cn["e"])
     l = np.maximum(dap - dan + margin, 0.0)

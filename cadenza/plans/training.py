@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cadenza.operators import manifold as M
+from cadenza.operators import minibatch as MB
 from cadenza.operators import neighbour_graph as G
 from cadenza.operators import training as TR
 from cadenza.operators.model import GatedModel, score
@@ -106,8 +107,28 @@ def trip_vectors(spark, sf, epochs):
 
 
 @query("mod_train")
-def mod_train(spark, sf, epochs=3, lr=0.01):
-    """M6: data-parallel triplet training; one row of monitors per epoch (loss should fall)."""
+def mod_train(spark, sf, epochs=500, dim=256, hidden=64, batch=32, lr=7e-4, ahead=5):
+    """M6: mini-batch triplet training until the loss has settled; one row of monitors per epoch.
+
+    The triplets and vectors of ``ahead`` epochs are drawn and written at a time.
+    """
+    drawn = {}
+
+    def rows(e):
+        if e not in drawn:
+            drawn.clear()
+            tv = cut_lineage(trip_vectors(spark, sf, list(range(e, e + ahead))))
+            drawn.update({i: tv.where(F.col("epoch") == i) for i in range(e, e + ahead)})
+        return drawn[e]
+
+    _, hist = MB.train_minibatch(rows, GatedModel.from_formula(IN, IN, dim, hidden), epochs=epochs, batch=batch, lr=lr)
+    return spark.createDataFrame([(int(h["epoch"]), int(h["steps"]), float(h["loss"]), float(h["pos_sim"]), float(h["neg_sim"]), float(h["lr"])) for h in hist],
+                                 "epoch int, steps int, loss double, pos_sim double, neg_sim double, lr double")
+
+
+@query("mod_train_epochs")
+def mod_train_epochs(spark, sf, epochs=3, lr=0.01):
+    """M6: data-parallel training by whole-epoch gradients; one row of monitors per epoch (loss should fall)."""
     # iterative: every epoch re-reads the triplet vectors, so they are written once to the
     # shared checkpoint folder (reliable checkpoint; survives executor loss without recompute)
     tv = cut_lineage(trip_vectors(spark, sf, list(range(epochs))))
