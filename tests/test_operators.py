@@ -146,6 +146,25 @@ def test_item_cf_against_brute_force(spark, part_likes):
         assert [b for (x, b), _ in sorted(got.items(), key=lambda t: (t[0][0], -round(t[1], 9), t[0][1])) if x == a] == want
 
 
+def test_item_cf_bounds_and_split_seeds(spark):
+    """Rare seeds stop forming pairs with hot items, split seeds are added up, and no row changes."""
+    from cadenza.operators import recommend as REC
+    rng = np.random.default_rng(5)
+    likes = {(u, int(i)) for u in range(300) for i in rng.choice(60, size=5, replace=False)} | {(u, 1000) for u in range(300)}
+    likes |= {(u, 1000 * j + u // 2) for u in range(300) for j in range(2, 5)}  # rare items, each next to other rare ones
+    df = spark.createDataFrame([*likes], "user_id long, item_id long").repartition(4)
+    rows = lambda **kw: sorted((r["seed_id"], r["rec_id"], round(r["score"], 9), r["rank"]) for r in item_cf(df, k=3, **kw).collect())
+    whole = rows()
+    assert rows(held=200) == whole == rows(seed_likes=50, held=100) == rows(part_likes=2, seed_likes=100)
+    report = REC.co_like_report(df, k=3, held=200).first()
+    assert report["left_out"] > 0 and report["formed"] + report["left_out"] == sum(c * (c - 1) for c in df.groupBy("user_id").count().toPandas()["count"])
+    state = REC._CoLikes(2, 1)
+    a = lambda *v: np.array(v, np.int64)
+    state.add(a(1, 1, 5), a(2, 2, 50), a(2, 3, 9), a(2, 2, 100))
+    state.add(a(1, 1, 5), a(2, 2, 50), a(9, 8, 9), a(100, 8, 100))  # 1 has two others of 2 likes: none of over 2 * 2 * 2 can be among its best
+    assert state.left_out == 1 and state.formed == 5
+
+
 def test_item_cf_splits_a_heavy_user(spark):
     df = spark.range(2000).selectExpr("1L AS user_id", "id AS item_id")
     out = item_cf(df, k=2, part_likes=100)
