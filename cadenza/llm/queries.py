@@ -67,11 +67,6 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.summarise(license_scan.scan_licenses(read(spark, sf_dir, "documents"), passages=False))
-
-
-def op10_license_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op10 over paragraphs and wrapped passages too."""
     return license_scan.summarise(license_scan.scan_licenses(read(spark, sf_dir, "documents")))
 
 
@@ -137,28 +132,6 @@ FROM judged
 
 
 def _license_sql() -> str:
-    t = license_scan.THRESHOLD
-    rows = [(i, name, g) for i, (name, text) in enumerate(license_scan.TEMPLATES) for g in license_scan.template_bigrams(text)]
-    values = ", ".join(f"({i}, '{name}', '{g}')" for i, name, g in rows)
-    return rf"""
-WITH grams(tid, license, g) AS (VALUES {values}),
-sizes AS (SELECT tid, license, count(*) AS b FROM grams GROUP BY ALL),
-texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-units AS (SELECT doc_id, unnest(list_distinct([t] || string_split(t, chr(10)) || string_split(regexp_replace(t, '([.!?])\x20+', '\1' || chr(10), 'g'), chr(10)))) AS u FROM texts),
-words AS (SELECT doc_id, row_number() OVER () AS uid, list_filter(string_split_regex(translate(u, '{UPPER}', '{LOWER}'), '{license_scan.SPLIT}'), lambda w: w <> '') AS w FROM units),
-pairs AS (SELECT DISTINCT doc_id, uid, w[i] || ' ' || w[i + 1] AS g FROM (SELECT *, unnest(range(1, len(w))) AS i FROM words)),
-unit AS (SELECT uid, count(*) AS a FROM pairs GROUP BY uid),
-found AS (
-  SELECT doc_id, license, 2.0::DOUBLE * count(*) / (any_value(a) + any_value(b)) AS dice
-  FROM pairs JOIN grams USING (g) JOIN unit USING (uid) JOIN sizes USING (tid, license) GROUP BY doc_id, uid, tid, license),
-kept AS (SELECT * FROM found WHERE dice >= {t})
-SELECT doc_id, count(dice) AS n_matches, coalesce(string_agg(DISTINCT license, ',' ORDER BY license), '') AS licenses,
-       first(license ORDER BY dice DESC, license) AS best_license, max(dice) AS best_dice
-FROM texts LEFT JOIN kept USING (doc_id) GROUP BY doc_id
-"""
-
-
-def _passage_sql() -> str:
     t = license_scan.THRESHOLD
     rows = [(i, name, g) for i, (name, text) in enumerate(license_scan.TEMPLATES) for g in license_scan.template_bigrams(text)]
     values = ", ".join(f"({i}, '{name}', '{g}')" for i, name, g in rows)
@@ -169,7 +142,7 @@ WITH grams(tid, license, g) AS (VALUES {values}),
 sizes(tid, n) AS (VALUES {sizes}),
 templates AS (SELECT tid, license, n, list(g) AS tg, count(*) AS b FROM grams JOIN sizes USING (tid) GROUP BY ALL),
 texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-units AS (SELECT doc_id, unnest(list_distinct([t] || string_split(t, chr(10)) || string_split(regexp_replace(t, '([.!?]) +', '' || chr(10), 'g'), chr(10)) || string_split_regex(t, '{license_scan.PARAGRAPH}'))) AS u FROM texts),
+units AS (SELECT doc_id, unnest(list_distinct([t] || string_split(t, chr(10)) || string_split(regexp_replace(t, '([.!?])\x20+', '\1' || chr(10), 'g'), chr(10)) || string_split_regex(t, '{license_scan.PARAGRAPH}'))) AS u FROM texts),
 words AS (SELECT doc_id, row_number() OVER () AS uid, {words} AS w FROM units),
 pairs AS (SELECT DISTINCT doc_id, uid, w[i] || ' ' || w[i + 1] AS g FROM (SELECT *, unnest(range(1, len(w))) AS i FROM words)),
 unit AS (SELECT uid, count(*) AS a FROM pairs GROUP BY uid),
@@ -239,5 +212,5 @@ FROM sized s JOIN sums USING (d, key) LEFT JOIN nodes p ON p.d = s.d - 1 AND p.k
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_decontaminate, op3_token_files, op4_personal_data, op5_piece_bpe, op6_line_dedup, op7_quality, op8_simhash, op9_quality_rules, op10_license_scan, op10_license_passages, op11_embedding_groups, op12_lexical_search, op13_prefix_trie)}
-ORACLES = {"op6_line_dedup": LINE_SQL, "op9_quality_rules": _rules_sql(), "op10_license_scan": _license_sql(), "op10_license_passages": _passage_sql(), "op12_lexical_search": LEXICAL_SQL, "op13_prefix_trie": TRIE_SQL}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_decontaminate, op3_token_files, op4_personal_data, op5_piece_bpe, op6_line_dedup, op7_quality, op8_simhash, op9_quality_rules, op10_license_scan, op11_embedding_groups, op12_lexical_search, op13_prefix_trie)}
+ORACLES = {"op6_line_dedup": LINE_SQL, "op9_quality_rules": _rules_sql(), "op10_license_scan": _license_sql(), "op12_lexical_search": LEXICAL_SQL, "op13_prefix_trie": TRIE_SQL}
