@@ -7,9 +7,13 @@ from __future__ import annotations
 
 from typing import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.operators.numbering import number_by_range
+
 
 def run_counts(df: DataFrame, key_cols: Sequence[str], flags: Mapping[str, Column]) -> DataFrame:
     """A10: total rows, distinct keys and one ``count_if`` per flag, in one pass."""
@@ -48,23 +52,16 @@ def standard_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def label_index(df: DataFrame, label: str, out: str = "label_id") -> DataFrame:
     """A5: labels numbered 0..n-1 in alphabetical order (table of distinct labels).
 
-    The distinct label set is small (one row per class); the window runs over
-    that reduced table, never over the data.
+    The labels are reduced by a partial aggregate first and numbered by ranges.
     """
-    labels = df.select(label).distinct()
-    w = Window.orderBy(label)
-    return labels.withColumn(out, (F.row_number().over(w) - 1).cast("int"))
+    numbered = number_by_range(df.select(label).distinct(), [label], out)
+    return numbered.withColumn(out, F.col(out).cast("int"))
 
 
 def vector_mean(df: DataFrame, vec: str, group: Sequence[str] = ()) -> DataFrame:
     """Element-wise mean of equal-length vectors, optionally per group.
 
-    ``posexplode`` + ``avg`` by position: a plain aggregate with partial
-    aggregation; the per-group result has one row per position, re-assembled
-    in order by ``array_sort`` over (pos, value) structs.
+    One ``Summarizer`` aggregate: partial sums of whole vectors, no row per position.
     """
-    e = df.select(*group, F.posexplode(vec).alias("pos", "x"))
-    m = e.groupBy(*group, "pos").agg(F.avg("x").alias("x"))
-    return (m.groupBy(*group)
-             .agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("__s"))
-             .select(*group, F.transform("__s", lambda s: s["x"]).alias(f"{vec}_mean")))
+    v = df.where(F.col(vec).isNotNull()).select(*group, array_to_vector(F.col(vec).cast("array<double>")).alias("__v"))
+    return v.groupBy(*group).agg(Summarizer.mean(F.col("__v")).alias("__m")).select(*group, vector_to_array("__m").alias(f"{vec}_mean"))

@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from typing import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.operators.aggregates import nan_to_null
+from cadenza.operators.numbering import number_by_range
 from cadenza.session import bounded_collect
 
 # Vocabularies up to this are tested word by word in generated code, larger ones in a loop (same result).
@@ -62,11 +63,10 @@ def chord_tokens(prog, sections: Sequence[str] | None = None) -> Column:
 def fit_vocab(df: DataFrame, prog: str, sections: Sequence[str] | None = None) -> DataFrame:
     """A2: distinct chords sorted by code point, numbered from 0: (chord, idx).
 
-    The distinct set is reduced by a partial aggregate first; the numbering
-    window then runs over the (small) vocabulary only.
+    The distinct set is reduced by a partial aggregate first and numbered by ranges.
     """
     toks = df.select(F.explode(chord_tokens(prog, sections)).alias("chord")).distinct()
-    return toks.withColumn("idx", (F.row_number().over(Window.orderBy("chord")) - 1).cast("long"))
+    return number_by_range(toks, ["chord"], "idx")
 
 
 def multihot(df: DataFrame, prog: str, vocab: DataFrame, out: str = "harmonic_vector",

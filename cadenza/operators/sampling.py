@@ -12,10 +12,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadenza.operators.numbering import number_by_range
 from cadenza.session import spread
 
-# Items per hash range while a catalogue is numbered (a matter of the plan only).
-RANGE_ROWS = 4096
 # Draws beyond k, for positions drawn twice.
 SPARE_DRAWS = 16
 
@@ -50,20 +49,10 @@ def weighted_sample(df: DataFrame, group: str, item: str, weight: Column, n: int
     return keyed.withColumn("draw_rank", F.row_number().over(w)).where(F.col("draw_rank") <= n)
 
 
-def dense_order(items: DataFrame, id_col: str, n: int, salt: int) -> DataFrame:
-    """(rec_id, pos): positions 0 .. n-1 in a hashed order over the whole table.
-
-    Ranges of the hash are numbered on their own; a running sum over the range
-    sizes (one row for each ``RANGE_ROWS`` items) gives their offsets.
-    """
-    nb = max(1, n // RANGE_ROWS)
+def dense_order(items: DataFrame, id_col: str, salt: int) -> DataFrame:
+    """(rec_id, pos): positions 0 .. n-1 in a hashed order over the whole table."""
     it = items.select(F.col(id_col).alias("rec_id"), hash32("rk", salt, F.col(id_col)).alias("hk"))
-    it = it.withColumn("b", F.floor(F.col("hk") * F.lit(float(nb)) / F.lit(4294967296.0)).cast("long"))
-    it = it.withColumn("at", F.row_number().over(Window.partitionBy("b").orderBy("hk", "rec_id")) - 1)
-    sizes = it.groupBy("b").agg(F.count(F.lit(1)).alias("sz"))
-    before = F.sum("sz").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.select("b", F.coalesce(before, F.lit(0)).alias("off"))
-    return it.join(offsets, "b").select("rec_id", (F.col("off") + F.col("at")).alias("pos"))
+    return number_by_range(it, ["hk", "rec_id"], "pos").select("rec_id", "pos")
 
 
 def drawn_positions(seed: Column, own: Column, n: int, k: int, salt: int) -> Column:
@@ -103,7 +92,7 @@ def random_recs(items: DataFrame, seeds: DataFrame, *, id_col: str, seed_col: st
     every seed gets min(k, n - 1) items and the work is linear in the seeds.
     """
     n = items.count()
-    order = dense_order(items, id_col, n, salt)
+    order = dense_order(items, id_col, salt)
     own = order.select(F.col("rec_id").alias("seed_id"), F.col("pos").alias("own"))
     s = spread(seeds.select(F.col(seed_col).alias("seed_id")).join(own, "seed_id", "left"))
     s = s.select("seed_id", F.posexplode(drawn_positions(F.col("seed_id").cast("string"), F.coalesce("own", F.lit(-1)), n, k, salt)).alias("t", "pos"))

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions.vectors import cosine
 from cadenza.operators.model import GatedModel
+from cadenza.operators.numbering import number_by_range
 from cadenza.operators.sampling import hash32
 
 # Sub-buckets of every group, whatever its size: positions never depend on how many rows there are.
@@ -66,7 +67,7 @@ def triplets(items: DataFrame, epochs, *, id_col="song_id", genre="genre", seed:
     """
     pos = dense_positions(items.select(id_col, genre), genre, id_col)
     sizes = pos.groupBy(genre).agg(F.count(F.lit(1)).alias("n_g"))
-    g_idx = sizes.withColumn("gi", (F.row_number().over(Window.orderBy(genre)) - 1).cast("long"))
+    g_idx = number_by_range(sizes, [genre], "gi")
     n_genres = g_idx.count()  # one number (the genre table is small)
     if n_genres < 2:
         raise ValueError("triplets need at least two genres")

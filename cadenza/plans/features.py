@@ -118,29 +118,8 @@ def agg_label_encode(spark, sf):
     return s.join(labels, "genre").select("song_id", "genre", F.col("label_id").cast("long").alias("label_id"))
 
 
-_V5 = ("v AS (SELECT vec_id, CASE WHEN label = 3 THEN NULL ELSE CAST(embedding AS DOUBLE[])[1:13] END AS vec FROM embeddings), "
-       "e AS (SELECT vec_id, generate_subscripts(vec, 1) - 1 AS pos, unnest(vec) AS x FROM v WHERE vec IS NOT NULL), "
-       "st AS (SELECT pos, min(x) AS lo, max(x) AS hi FROM e GROUP BY pos)")
 
-
-@query("vec_valid_only_scale", sql=f"""
-WITH {_V5},
-grid AS (SELECT v.vec_id, r.pos, v.vec IS NULL AS miss, CASE WHEN v.vec IS NULL THEN 0.0 ELSE v.vec[r.pos + 1] END AS x
-         FROM v, (SELECT unnest(range(13)) AS pos) r)
-SELECT g.vec_id, g.pos, round(CASE WHEN miss THEN 0.0 ELSE (x - lo) / CASE WHEN hi - lo = 0 THEN 1 ELSE hi - lo END END, 6) AS x
-FROM grid g JOIN st ON g.pos = st.pos
-""")
-def vec_valid_only_scale(spark, sf):
-    """V5: per-position min-max over present vectors only; missing vectors become zeros."""
-    e = read_table(spark, sf, "embeddings")
-    v = e.select("vec_id", F.when(F.col("label") == 3, F.lit(None))
-                 .otherwise(F.slice(F.col("embedding").cast("array<double>"), 1, 13)).alias("vec"))
-    s = V.valid_only_scale(v, "vec", 13, "scaled")
-    return s.select("vec_id", F.posexplode("scaled").alias("pos", "x")).select(
-        "vec_id", F.col("pos").cast("long").alias("pos"), F.round("x", 6).alias("x"))
-
-
-@query("vec_valid_only_scale_all", sql="""
+@query("vec_valid_only_scale", sql="""
 WITH v AS (SELECT vec_id, CASE WHEN label = 3 THEN NULL ELSE CAST(embedding AS DOUBLE[]) END AS vec FROM embeddings),
 e AS (SELECT vec_id, generate_subscripts(vec, 1) - 1 AS pos, unnest(vec) AS x FROM v WHERE vec IS NOT NULL),
 st AS (SELECT pos, min(x) AS lo, max(x) AS hi FROM e GROUP BY pos),
@@ -149,8 +128,8 @@ grid AS (SELECT v.vec_id, r.pos, v.vec IS NULL AS miss, CASE WHEN v.vec IS NULL
 SELECT g.vec_id, g.pos, round(CASE WHEN miss THEN 0.0 ELSE (x - lo) / CASE WHEN hi - lo = 0 THEN 1 ELSE hi - lo END END, 6) AS x
 FROM grid g JOIN st ON g.pos = st.pos
 """)
-def vec_valid_only_scale_all(spark, sf):
-    """V5 over every position of the embedding."""
+def vec_valid_only_scale(spark, sf):
+    """V5: per-position min-max over present vectors only; missing vectors become zeros."""
     e = read_table(spark, sf, "embeddings")
     width = e.agg(F.max(F.size("embedding"))).first()[0] or 0
     v = e.select("vec_id", F.when(F.col("label") == 3, F.lit(None))

@@ -366,26 +366,11 @@ def sink_update_in_place(spark, sf):
     return spark.read.parquet(path)
 
 
-@query("sink_embedding", sql="""
-SELECT round(CAST(embedding[1] AS DOUBLE), 6) AS UMAP_1, round(CAST(embedding[2] AS DOUBLE), 6) AS UMAP_2,
-       round(CAST(embedding[3] AS DOUBLE), 6) AS UMAP_3, label AS label_id, 'g' || label AS label FROM embeddings
+@query("sink_embedding", sql=f"""
+SELECT {", ".join(f"round(CAST(embedding[{i}] AS DOUBLE), 6) AS UMAP_{i}" for i in range(1, 65))}, label AS label_id, 'g' || label AS label FROM embeddings
 """)
 def sink_embedding(spark, sf):
     """K5: coordinates as UMAP_1..n plus label_id and label, CSV with header, read back."""
-    e = read_table(spark, sf, "embeddings").select(
-        F.slice(F.col("embedding").cast("array<double>"), 1, 3).alias("xy"), F.col("label").alias("label_id"),
-        F.concat(F.lit("g"), F.col("label").cast("string")).alias("label"))
-    path = shared_path(spark, "embedding-csv")
-    K.write_embedding(e, "xy", 3, path)
-    r = spark.read.option("header", True).schema("UMAP_1 double, UMAP_2 double, UMAP_3 double, label_id int, label string").csv(path)
-    return r.select(*[F.round(f"UMAP_{i}", 6).alias(f"UMAP_{i}") for i in (1, 2, 3)], "label_id", "label")
-
-
-@query("sink_embedding_all", sql=f"""
-SELECT {", ".join(f"round(CAST(embedding[{i}] AS DOUBLE), 6) AS UMAP_{i}" for i in range(1, 65))}, label AS label_id, 'g' || label AS label FROM embeddings
-""")
-def sink_embedding_all(spark, sf):
-    """K5 over every coordinate of the embedding."""
     e = read_table(spark, sf, "embeddings").select(
         F.col("embedding").cast("array<double>").alias("xy"), F.col("label").alias("label_id"),
         F.concat(F.lit("g"), F.col("label").cast("string")).alias("label"))

@@ -463,7 +463,24 @@ def test_embedding_sink_and_valid_only_scaling_take_every_position(spark):
     sf = "/root/testdata/sf0.001"
     e = spark.read.parquet(f"{sf}/embeddings.parquet")
     width, rows = max(len(r["embedding"]) for r in e.collect()), e.count()
-    sink = load_all()["sink_embedding_all"].fn(spark, sf)
+    sink = load_all()["sink_embedding"].fn(spark, sf)
     assert [c for c in sink.columns if c.startswith("UMAP_")] == [f"UMAP_{i + 1}" for i in range(width)] and sink.count() == rows
-    scaled = load_all()["vec_valid_only_scale_all"].fn(spark, sf)
+    scaled = load_all()["vec_valid_only_scale"].fn(spark, sf)
     assert scaled.count() == rows * width and scaled.agg({"pos": "max"}).first()[0] == width - 1
+
+
+def test_numbering_has_no_window_and_follows_the_order(spark):
+    from cadenza.operators.aggregates import label_index, vector_mean
+    from cadenza.operators.numbering import number_by_range
+    rng = np.random.default_rng(4)
+    rows = [(None if i % 50 == 0 else f"k{int(rng.integers(0, 400)):04d}", i) for i in range(900)]
+    df = spark.createDataFrame(rows, "k string, i int").repartition(5)
+    out = number_by_range(df, ["k", "i"], "n")
+    assert [(r["k"], r["i"]) for r in out.orderBy("n").collect()] == sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1]))
+    assert sorted(r["n"] for r in out.collect()) == list(range(900))
+    assert number_by_range(df.limit(0), ["k"], "n").count() == 0
+    chords = spark.createDataFrame([(1, {"main": "C - G - Am"})], "id int, prog map<string,string>")
+    for plan in (out, label_index(df, "k"), V.fit_vocab(chords, "prog")):
+        assert "Window" not in plan._jdf.queryExecution().executedPlan().toString()
+    v = spark.createDataFrame([("a", [1.0, 2.0]), ("a", [3.0, 6.0]), ("b", None), ("c", [5.0, 5.0])], "g string, v array<double>")
+    assert {r["g"]: r["v_mean"] for r in vector_mean(v, "v", ["g"]).collect()} == {"a": [2.0, 4.0], "c": [5.0, 5.0]}
