@@ -46,7 +46,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their token ids (end id included) and the text decoded from them."""
     prepare(spark)
-    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "ids", "n_tokens")]
+    others = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("text", "ids", "n_tokens")]
     name = free_name(docs, "_pieces")
     both = piece_bpe.round_trip_column(text_of(docs), public_tokenizers.path("piece_bpe_32k.model"))
     encoded = docs.select(*others, both.alias(name))
