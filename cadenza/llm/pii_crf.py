@@ -59,6 +59,7 @@ _NUMBER = re.compile(r"[+(]?[0-9][\x20()./0-9-]*[0-9]")
 _PART = re.compile(r"[+(]?[0-9](?:[().0-9-]*[0-9])?")
 _SEPARATOR = re.compile(r"@|\x20?[\[(]at[\])]\x20?")
 _SIDE = re.compile(r"[^\s@<>,;:]+")
+_HOST = re.compile(r"[^\s@<>,;:]+(?:\x20?[\[(]dot[\])]\x20?[^\s@<>,;:\[(]+)*")
 _CUE = re.compile(r"([^\W\d_]+)[\W_]*\Z")
 #: Words that announce an entity.
 CUES = {
@@ -122,7 +123,7 @@ def _node(text: str, start: int, stop: int, kind: int) -> Node:
     cue = _CUE.search(text[max(0, start - 24) : start])
     cue = CUES.get(cue.group(1).lower(), "-") if cue else "-"
     if kind == 0 or "@" in s or "at]" in s or "at)" in s:
-        exact = re.sub(r"\x20?[\[(]at[\])]\x20?", "@", s.lower())
+        exact = re.sub(r"\x20?[\[(]dot[\])]\x20?", ".", re.sub(r"\x20?[\[(]at[\])]\x20?", "@", s.lower()))
         box, _, host = exact.partition("@")
         return Node(start, stop, kind, f"at|{cue}|{'dot' if '.' in host else 'bare'}", exact, "@" + box)
     d = _digits(s)
@@ -143,9 +144,21 @@ def _free(a: int, b: int, taken: list[tuple[int, int]]) -> list[tuple[int, int]]
     return [*out, (a, b)] if a < b else out
 
 
+def _keys(digits: str) -> tuple[str, str]:
+    return digits, digits[-8:]
+
+
 def _numbers(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Number runs between base matches, their parts between blanks and slashes, and joins of parts of 7 to 19 digits."""
-    out, at = set(), 0
+    """Number runs between base matches, their parts of 7 to 19 digits, and joins of parts that stand elsewhere on their own.
+
+    A join of neighbouring parts is a candidate only if its digits, or the last
+    eight, are those of a base match or of a whole run or part.  So a table of
+    short numbers gives no more candidates than it has runs and parts, and the
+    joins are only looked up.
+    """
+    out, known, split, at = set(), set(), [], 0
+    for a, b in taken:
+        known.update(_keys(_digits(text[a:b])))
     for m in _NUMBER.finditer(text):
         while at < len(taken) and taken[at][1] <= m.start():
             at += 1
@@ -154,17 +167,33 @@ def _numbers(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
             stop += 1
         for x, y in _free(*m.span(), taken[at:stop]):
             for run in _NUMBER.finditer(text, x, y):
-                if len(_digits(run.group())) >= 7:
+                digits = _digits(run.group())
+                if len(digits) >= 7:
                     out.add(run.span())
-                parts = [(p.start(), p.end(), len(_digits(p.group()))) for p in _PART.finditer(text, *run.span())]
-                for i in range(len(parts)):
-                    n = 0
-                    for _, end, d in parts[i : i + 19]:
-                        n += d
-                        if n > 19:
-                            break
-                        if n >= 7:
-                            out.add((parts[i][0], end))
+                if len(digits) <= 19:
+                    known.update(_keys(digits))
+                if len(digits) > 7:
+                    split.append((*run.span(), digits))
+    pieces = []
+    for x, y, digits in split:
+        parts, n = [], 0
+        for p in _PART.finditer(text, x, y):
+            d = len(_digits(p.group()))
+            parts.append((p.start(), p.end(), n, n + d))
+            if 7 <= d <= 19:
+                out.add(p.span())
+                known.update(_keys(digits[n : n + d]))
+            n += d
+        if len(parts) > 1:
+            pieces.append((digits, parts))
+    for digits, parts in pieces:
+        for i, (start, _, first, _) in enumerate(parts):
+            for _, end, _, last in parts[i + 1 : i + 19]:
+                n = last - first
+                if n > 19:
+                    break
+                if n >= 7 and (digits[last - 8 : last] if n >= 8 else digits[first:last]) in known:
+                    out.add((start, end))
     return sorted(out)
 
 
@@ -175,7 +204,7 @@ def _addresses(text: str) -> list[tuple[int, int]]:
     out, last, n, back = [], 0, len(text), text[::-1]
     for m in _SEPARATOR.finditer(text):
         left = _SIDE.match(back, n - m.start(), n - last) if m.start() >= last else None
-        right = _SIDE.match(text, m.end()) if left else None
+        right = _HOST.match(text, m.end()) if left else None
         if right:
             last = right.end()
             out.append((n - left.end(), last))

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import LOWER, UPPER, free_name, materialise
+from cadenza.llm.common import LOWER, UPPER, free_name, join_skewed, materialise
 
 SEED = 42
 #: Fingerprints of one side of a tile.
@@ -230,34 +230,38 @@ def components(links: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------- operator
 def group_fingerprints(prints: DataFrame, radius: int) -> DataFrame:
-    """(fp, component_id) for distinct fingerprints with their smallest doc_id (fp, least_id)."""
+    """(fp, root, component_id) for distinct fingerprints with their smallest doc_id (fp, least_id); root is one fingerprint of the group."""
     k = blocks_to_agree(prints.count(), radius)
     roots = components(link_tiles(tiles(prints, radius, k), radius))
     named = prints.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = materialise(named, "named")
-    linked = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return named.join(linked, "root").select("fp", "component_id")
+    linked = named.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("size"))
+    return join_skewed(named, linked, ["root"], "size", named.count()).select("fp", "root", "component_id")  # one component may hold a third of all
 
 
 def simhash_groups(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
     """doc_id, fp (bigint) and component_id of every document (doc_id, text)."""
     marked = materialise(docs.select("doc_id", fingerprint_column(docs["text"], shingle).alias("fp")), "prints")
-    prints = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
-    return marked.join(group_fingerprints(prints, radius), "fp").select("doc_id", "fp", "component_id")
+    prints = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies")), "distinct")
+    groups = group_fingerprints(prints.select("fp", "least_id"), radius).join(prints.select("fp", "copies"), "fp")
+    return join_skewed(marked, materialise(groups, "groups"), ["fp"], "copies", marked.count()).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
     """``docs`` (all columns) with the document of smallest doc_id of each group.
 
     Rows without a doc_id stay only where a whole group has none, one row a
-    fingerprint; of rows that share the smallest doc_id one stays.
+    fingerprint; of rows of a group that share the smallest doc_id one stays,
+    but rows of different groups are kept apart whatever their doc_id.
     """
     prints = docs.select("doc_id", fingerprint_column(docs["text"], shingle).alias("fp"))
     distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
     groups = materialise(group_fingerprints(distinct, radius), "groups")
-    keepers = groups.where("component_id is not null").select(F.col("component_id").alias("doc_id")).distinct()
-    kept = docs.join(keepers, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    fp = free_name(docs, "_fp")
+    fp, key = free_name(docs, "_fp"), free_name(docs, "_key")
+    marked = docs.where("doc_id is not null").withColumn(fp, fingerprint_column(docs["text"], shingle))
+    # of each group the first document, by the smallest fingerprint where rows of the group share its doc_id
+    first = distinct.join(groups, "fp").where("least_id = component_id").groupBy("root").agg(F.min("fp").alias(fp), F.min("component_id").alias(key))
+    kept = marked.join(first, (marked["doc_id"] == first[key]) & (marked[fp] == first[fp]), "left_semi").dropDuplicates(["doc_id", fp])
     lone = groups.where("component_id is null").select(F.col("fp").alias(fp))
     unnamed = docs.where("doc_id is null").withColumn(fp, fingerprint_column(docs["text"], shingle))
     unnamed = unnamed.join(lone, fp, "left_semi").dropDuplicates([fp]).drop(fp)

@@ -25,6 +25,8 @@ def empty(spark, edge, tmp_path_factory):
     d = str(tmp_path_factory.mktemp("empty"))
     for t in ("documents", "benchmark", "labels"):
         spark.read.parquet(f"{edge}/{t}.parquet").limit(0).write.parquet(f"{d}/{t}.parquet")
+    for t in ("embeddings", "conversations"):
+        spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(f"{d}/{t}.parquet")
     return d
 
 

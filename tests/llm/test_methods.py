@@ -412,3 +412,34 @@ def test_repeated_rows_and_rows_without_id(spark):
     rows = [(1, brute.LINE), (1, brute.LINE), (2, brute.LINE), (None, brute.LINE), (3, f"x\n{brute.LINE}")]
     got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(tuple, got), key=str) == sorted([(1, ""), (1, ""), (2, ""), (None, brute.LINE), (3, f"x\n{brute.LINE}")], key=str)
+
+
+# ------------------------------------------------------------- later findings
+def test_keep_one_keeps_each_group_where_rows_share_a_doc_id(spark):
+    near = "the quick brown fox jumps over the lazy dog near the old river bank today while birds sing loudly above"
+    rows = [(1, "alpha beta gamma delta epsilon"), (1, "one two three four five six"), (2, "alpha beta gamma delta epsilon"), (3, near), (3, near), (4, near), (5, None), (6, ""), (None, "alpha beta gamma delta epsilon")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = sorted((r["doc_id"], r["text"]) for r in simhash.keep_one(docs).collect())
+    assert kept == [(1, rows[0][1]), (1, rows[1][1]), (3, near), (5, None)]
+
+
+def test_a_third_of_blank_texts(spark):
+    rows = [(i, " " * (i % 3) if i % 3 == 0 else f"text number {i} of its own kind with words {i * 7919}") for i in range(600)]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.simhash_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == brute.components({i: brute.simhash(t) for i, t in rows})
+
+
+def test_tables_of_digits_stay_small():
+    began = time.time()
+    nodes = pii_crf.nodes_of(" ".join(random.Random(1).choices("0123456789", k=200_000)))
+    assert time.time() - began < 15 and len(nodes) < 1000
+    text = "call +49 30 1234567 now; 030 1234567 040 7654321 / 49 30 1234567"
+    keys = {n.exact for n in pii_crf.nodes_of(text)}
+    assert {"#49301234567", "#1234567", "#7654321"} <= keys
+    assert any(text[n.start : n.stop] == "030 1234567" for n in pii_crf.nodes_of(text))  # a join that stands elsewhere on its own
+
+
+def test_spelt_out_hosts_are_taken_whole():
+    text = "bob [at] example [dot] com and bob@example.com"
+    spans = {text[n.start : n.stop]: n.exact for n in pii_crf.nodes_of(text)}
+    assert spans["bob [at] example [dot] com"] == "bob@example.com" == spans["bob@example.com"]

@@ -81,3 +81,9 @@ def test_benchmark_and_lines_change_n_chars(spark, folder):
     docs = table(spark, [(1, "some lead words of a text that goes on for long enough to stay in the corpus when a passage is cut out of it " + PASSAGE)])
     r = STAGES["benchmark decontamination"](spark, docs, folder).first()
     assert "theta" not in r["text"] and r["n_chars"] == len(r["text"])
+
+
+def test_token_columns_in_other_letter_case(spark, folder):
+    docs = table(spark, ROWS[:8]).selectExpr("doc_id", "text", "lang", "1 as IDS", "2 as N_Tokens")
+    out = STAGES["sentencepiece encoding and decoding"](spark, docs, folder)
+    assert [c for c in out.columns if c.lower() in ("ids", "n_tokens")] == ["n_tokens", "ids"] and out.count() == 8
