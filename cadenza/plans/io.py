@@ -18,6 +18,7 @@ from cadenza.plans.registry import REGISTRY, query
 from cadenza.session import shared_path
 from cadenza.sources import files as S
 from cadenza.sources import sinks as K
+from cadenza.sources import versions as VS
 from cadenza.sources.tables import catalogue, read_table
 
 _SONGS_SQL = ("SELECT p.p_name AS title, p.p_brand AS artist, p.p_type AS main_genre, p.p_retailprice AS popularity, "
@@ -360,10 +361,11 @@ def sink_lyrics(spark, sf):
 
 @query("sink_update_in_place", sql=REGISTRY["join_chord_merge"].sql)
 def sink_update_in_place(spark, sf):
-    """K4: the merged catalogue goes to a new versioned path; the inputs stay untouched."""
+    """K4: the catalogue is committed, then its merged form as the next version, which readers resolve."""
     base = shared_path(spark, "catalogue")
-    path = K.write_version(join_chord_merge(spark, sf), base, 1)
-    return spark.read.parquet(path)
+    VS.update(spark, base, lambda old: catalogue(spark, sf))
+    VS.update(spark, base, lambda old: join_chord_merge(spark, sf), consumed=["X-cp"])
+    return VS.read_version(spark, base)
 
 
 @query("sink_embedding", sql=f"""

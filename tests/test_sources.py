@@ -122,3 +122,35 @@ def test_resolve_link_cases(spark):
                                 ("http://a.b/", "https://o.p/")], "u string, h string")
     got = [r[0] for r in df.select(S.resolve_link(F.col("u"), F.col("h"))).collect()]
     assert got == ["https://a.b/x/z", "https://a.b/r", "http://c.d/e", "https://o.p/"]
+
+
+def test_versions_are_committed_by_compare_and_set(spark, tmp_path):
+    import pytest
+
+    from cadenza.sources import versions as VS
+    base = f"file://{tmp_path}/table"
+    rows = lambda *v: spark.createDataFrame([(x,) for x in v], "x int")
+    assert VS.current_version(spark, base).number == 0
+    with pytest.raises(ValueError):
+        VS.read_version(spark, base)
+    VS.commit_version(spark, rows(1), base, 0)
+    # two writers from version 1: the second one must start anew
+    VS.commit_version(spark, rows(1, 2), base, 1, consumed=["side-a"])
+    with pytest.raises(VS.VersionConflict):
+        VS.commit_version(spark, rows(1, 3), base, 1, consumed=["side-b"])
+    # a writer that dies before its commit leaves files that no reader sees
+    rows(9).write.parquet(f"{base}/data-dead")
+    assert sorted(r.x for r in VS.read_version(spark, base).collect()) == [1, 2]
+    assert VS.pending(spark, base, ["side-a", "side-b"]) == ["side-b"]  # consumed by the commit itself
+    calls = []
+
+    def change(old):
+        calls.append(1)
+        if len(calls) == 1:  # another writer comes first
+            VS.commit_version(spark, rows(1, 2, 4), base, 2)
+        return old.unionByName(rows(5))
+
+    done = VS.update(spark, base, change, consumed=["side-b"])
+    assert done.number == 4 and len(calls) == 2
+    assert sorted(r.x for r in VS.read_version(spark, base).collect()) == [1, 2, 4, 5]
+    assert [r.x for r in VS.read_version(spark, base, 1).collect()] == [1] and VS.pending(spark, base, ["side-a", "side-b"]) == []
