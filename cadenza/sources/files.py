@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from cadenza.functions import text as T
+from cadenza.sources.records import read_records
 
 SCALARS = ["bpm", "danceability", "energy", "acousticness", "instrumentalness", "liveness",
            "loudness", "speechiness", "valence"]
@@ -120,7 +121,7 @@ def read_tracks_csv(spark: SparkSession, path: str) -> DataFrame:
     return df.select(*[T.standardise(named(df, c)).alias(ren.get(c, c)) for c in TRACK_COLS])
 
 
-_QUOTED = r'^"((?:[^"]|"")*)"(.*)$'
+_QUOTED = r'(?s)^"((?:[^"]|"")*)"(.*)$'
 
 
 def csv_field(v: Column) -> Column:
@@ -133,21 +134,21 @@ def csv_field(v: Column) -> Column:
 def read_mixed_delim(spark: SparkSession, path: str,
                      wanted: Sequence[tuple[str, str]] = (("spotify_id", "spotify_id"), ("name", "title"),
                                                           ("artist", "artist"))) -> DataFrame:
-    """Header line split on commas, data lines on semicolons.
+    """Header line split on commas, data records on semicolons.
 
     Short rows keep only the columns they have ('' for the rest); quotes then
-    blanks are stripped from every value.  The header is read as one small
-    row; data lines are split on executors.
+    blanks are stripped from every value.  A quoted field may hold line feeds,
+    also across the border of two file splits.  The header is the first line of
+    the first file; a file that begins with the same line has it too.
     """
-    lines = spark.read.text(path)
-    first_file = lines.agg(F.min(F.col("_metadata.file_path")).alias("f")).first()["f"]
-    if first_file is None:
+    files = sorted(spark.read.text(path).inputFiles())  # a listing, nothing is read
+    header = next((h for h in (spark.read.text(f).limit(1).first() for f in files) if h is not None), None)
+    if header is None:
         raise ValueError(f"no lines in {path}")
-    header = spark.read.text(first_file).limit(1).first()  # the header line of the first file
     names = [h.strip('"') for h in header["value"].strip().split(",")]
-    data = lines.where(F.col("value") != F.lit(header["value"]))
-    # split on ';' outside double quotes, then apply the csv field rule per value
-    parts = F.split(F.col("value"), r';(?=(?:[^"]*"[^"]*")*[^"]*$)', -1)
+    data = read_records(spark, path).where(~(F.col("first") & (F.col("value") == F.lit(header["value"]))))
+    # a field that begins with a quote ends at the first ';' after its closing quote, any other at the next ';'
+    parts = F.regexp_extract_all(F.concat(F.lit(";"), "value"), F.lit(r';("(?:[^"]|"")*+"[^;]*|[^;]*)'), F.lit(1))
     out = []
     for w, alias in wanted:
         if w in names:

@@ -154,3 +154,37 @@ def test_versions_are_committed_by_compare_and_set(spark, tmp_path):
     assert done.number == 4 and len(calls) == 2
     assert sorted(r.x for r in VS.read_version(spark, base).collect()) == [1, 2, 4, 5]
     assert [r.x for r in VS.read_version(spark, base, 1).collect()] == [1] and VS.pending(spark, base, ["side-a", "side-b"]) == []
+
+
+def test_quoted_line_feeds_across_split_borders(spark, tmp_path):
+    import csv
+    import io
+    import random
+
+    from cadenza.sources.records import ends_quoted, read_records
+    rng = random.Random(3)
+    rows = [[f"id{i}", rng.choice(['plain', 'two\nlines', 'semi;colon', 'a "quoted" word', 'three\n\n"lines";\nhere', '5" disk']), "x" * rng.randrange(40)] for i in range(300)]
+    lines = []
+    for r in rows:
+        if r[1] == '5" disk':  # a quote inside an unquoted field opens nothing
+            lines.append(";".join(r))
+        else:
+            f = io.StringIO()
+            csv.writer(f, delimiter=";", quoting=csv.QUOTE_ALL, lineterminator="").writerow(r)
+            lines.append(f.getvalue())
+    head = '"spotify_id","name","artist"'
+    for name, part in (("a.csv", lines[:150]), ("b.csv", lines[150:])):
+        (tmp_path / name).write_text("\n".join([head, *part, ""]))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "257")  # splits end in the middle of records
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 20
+        got = read_records(spark, str(tmp_path)).collect()
+        assert sum(r["first"] for r in got) == 2 and sorted(r["value"] for r in got if not r["first"]) == sorted(lines)
+        names = {r["spotify_id"]: r["title"] for r in S.read_mixed_delim(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", old[1])
+    assert names == {r[0]: r[1].strip('"') for r in rows}
+    assert ends_quoted('a;"b', ";", False) and not ends_quoted('b";c', ";", True) and ends_quoted('b"";c', ";", True) and not ends_quoted('5" disk;x', ";", False)
