@@ -179,7 +179,7 @@ def man_reduce(spark, sf, k=2, n_neighbors=15, min_dist=0.1):
     """Q8: standardised embedding laid out by its neighbour graph in k dimensions."""
     v = vectors(spark, sf)
     z = M.standardise_vectors(v, "vec", "z").select("item_id", "label", "z")
-    r = G.embed_graph(z, k, n_neighbors=n_neighbors, min_dist=min_dist, vec_col="z")
+    r = G.embed_graph(z, k, n_neighbors=n_neighbors, min_dist=min_dist, rounds=3, layout_rounds=3, vec_col="z")
     return r.join(v.select("item_id", "label"), "item_id").select("item_id", "label", *[F.col("coords")[i].alias(f"x{i + 1}") for i in range(k)])
 
 
@@ -215,7 +215,7 @@ def man_layout_orthonormal(spark, sf, k=3):
 def man_graph_sweep(spark, sf):
     """Q9: quality metrics over n_neighbors x min_dist; one graph per n_neighbors."""
     z = M.standardise_vectors(vectors(spark, sf), "vec", "z").select("item_id", "label", "z")
-    return G.sweep(z, [10, 30], [0.05, 0.5], dims=3, rounds=3, layout_rounds=2, vec_col="z")
+    return G.sweep(z, [10, 30], [0.05, 0.5], dims=3, rounds=1, layout_rounds=1, vec_col="z")
 
 
 @query("man_reduce_pca")
