@@ -200,7 +200,7 @@ def man_graph_bandwidth(spark, sf):
 
 
 @query("man_layout_orthonormal", sql="""
-SELECT i, j, CASE WHEN i = j THEN 1.0 ELSE 0.0 END AS product FROM (SELECT unnest([1, 2, 3]) AS i) a, (SELECT unnest([1, 2, 3]) AS j) b
+SELECT i, j, CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS product FROM (SELECT unnest([1, 2, 3]) AS i) a, (SELECT unnest([1, 2, 3]) AS j) b
 WHERE EXISTS (SELECT 1 FROM embeddings)
 """)
 def man_layout_orthonormal(spark, sf, k=3):
