@@ -5,15 +5,20 @@ from pyspark.sql import functions as F
 
 from cadenza.operators import features as V
 from cadenza.operators.sampling import weighted_sample
+from cadenza.session import spread
 from cadenza.sources.tables import catalogue, interactions
 
 SALT = 42
+# Songs beyond which vectors are built on all cores.
+SPREAD_SONGS = 50_000
 
 
 def song_items(spark, sf):
     """(item_id, genre, title, artist, popularity, popularity_score, lyrics, vec):
     catalogue songs with their assembled audio vector (V1 + V3 + zero MFCC slots)."""
     songs = catalogue(spark, sf)
+    if songs.count() > SPREAD_SONGS:  # one file may hold them all
+        songs = spread(songs)
     stats = V.fit_minmax(songs, ["size", "popularity"])
     vocab = V.fit_vocab(songs, "chord_progression")
     s = V.multihot(songs, "chord_progression", vocab, "hv")
