@@ -63,3 +63,35 @@ def test_block_join_with_leaves_equals_the_broadcast_join(spark):
         a, b = (sorted(map(tuple, similarity_topk(df, k=4, q_id="id", q_vec="vec", exclude_self=True, q_group=group, strategy=s, block_rows=n)
                            .select("seed_id", "rec_id", "rank").collect())) for s, n in (("auto", None), ("block", 700)))
         assert a == b
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean", "dot"])
+def test_no_pair_of_leaves_is_better_than_its_bound(metric):
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(size=(400, 5)), np.zeros((60, 5)), -3 * np.eye(5)[rng.integers(0, 5, 300)]])
+    x = MI.unit_rows(x) if metric == "cosine" else x
+    order, leaf = MI.leaves_of(x, 32)
+    x, leaves = x[order], MI.Leaves.of(x[order], leaf)
+    bound = MI.best_of_leaves(leaves, leaves, metric)
+    val = MI.values(x, x, metric)
+    assert all(val[leaf == i][:, leaf == j].max() <= bound[i, j] for i in range(leaf[-1] + 1) for j in range(leaf[-1] + 1))
+
+
+def test_far_leaves_are_left_out_before_any_query_is_compared(monkeypatch):
+    rng = np.random.default_rng(10)
+    x = np.repeat(10 * rng.normal(size=(40, 6)), 100, axis=0) + 0.01 * rng.normal(size=(4000, 6))
+    cells, real = [], MI.best_in_leaves
+    monkeypatch.setattr(MI, "best_in_leaves", lambda q, b, m: cells.append(len(q) * len(b.starts)) or real(q, b, m))
+    state, (val, best), _ = _searched(x, np.arange(4000), 5, "euclidean", monkeypatch)
+    assert np.allclose(state.val, val, atol=1e-6)
+    assert sum(cells) < 0.2 * len(state.ids) * 40  # every query with every leaf, before
+
+
+def test_units_are_dealt_evenly(spark):
+    df = spark.createDataFrame([(i, [float(i % 97), float(i % 89)]) for i in range(3000)], "id long, vec array<double>")
+    rows = df.selectExpr("id", "vec", "cast(null as string) grp")
+    index, _ = MI.block_index(rows, 3000, 2, metric="euclidean", block_rows=256)
+    found = MI.search_index(spark, index, index, k=3, metric="euclidean", exclude_self=True, grouped=False, unit_rows_=256)
+    units = len(MI.units_of(index, 256))
+    tasks = found.where("qid is null").rdd.glom().map(len).collect()
+    assert sum(tasks) == units * max(1, min(8 // units, len(index.blocks))) and max(tasks) == 1
