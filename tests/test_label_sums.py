@@ -44,3 +44,18 @@ def test_label_sums_are_handed_on_once_an_item(spark, monkeypatch):
     monkeypatch.setattr(MI, "units_of", lambda *a: units.append(real(*a)) or units[-1])
     S.distance_sums_by_label(_items(spark, np.random.default_rng(5).normal(size=(5000, 2))), id_col="item_id", vec_col="vec", label_col="label").count()
     assert len(units[-1]) >= 4  # one unit, dealt to all tasks, before: each handed on all items
+
+
+def test_label_sums_collect_no_row_objects(spark, monkeypatch):
+    """615,384 items of two or three dimensions fit the broadcast, but were that many rows of Python objects on the driver."""
+    x, labels = np.random.default_rng(6).normal(size=(60, 2)), ["a", None, "b"]
+    df = _items(spark, x, labels=labels)
+
+    many, real = [], type(df).collect
+    with monkeypatch.context() as m:
+        m.setattr(type(df), "collect", lambda self: many.append(real(self)) or many[-1])
+        sums = S.distance_sums_by_label(df, id_col="item_id", vec_col="vec", label_col="label")
+    assert max(map(len, many), default=0) <= 1  # counts only
+    got = {(r["item_id"], r["label"]): r for r in sums.collect()}
+    want = _sums(x, list(range(60)), ["a", "None", "b"])
+    assert got.keys() == want.keys() and all(abs(got[k]["dsum"] - v[0]) < 1e-9 and got[k]["cnt"] == v[1] for k, v in want.items())
